@@ -75,13 +75,17 @@ def compounded_index(df: DataFrame, change: str, out: str = "price_index", beta:
                      key: str = "key", period: str = "period") -> DataFrame:
     """P0 = start; Pt = Pt-1 * (1 + beta * change / 100); NULL change carries forward.
 
-    Expressed as a running product of factors.  With ``floor`` the loop clamps
-    at 0 every step; 0 is absorbing, so the price is 0 from the first factor
-    <= 0 onwards, which a running ``min`` of the factors detects.
+    Expressed as a running product of factors.  The start value is folded
+    into the first factor, so the running frame (which Spark updates one row
+    at a time) multiplies in exactly the order of the step-by-step loop.
+    With ``floor`` the loop clamps at 0 every step; 0 is absorbing, so the
+    price is 0 from the first factor <= 0 onwards, which a running ``min`` of
+    the factors detects.
     """
     factor = F.coalesce(1 + beta * (F.col(change) / 100), F.lit(1.0))
+    first = F.row_number().over(_w(key, period)) == 1
     w = _w_running(key, period)
-    price = F.lit(start) * F.product(factor).over(w)
+    price = F.product(F.when(first, F.lit(start) * factor).otherwise(factor)).over(w)
     if floor:
         price = F.when(F.min(factor).over(w) <= 0, F.lit(0.0)).otherwise(price)
     return df.withColumn(out, price)

@@ -45,8 +45,8 @@ def _sql_score(h: int) -> str:
 
 
 RISK_SCORE_SQL = _sql_components() + f"""
-SELECT key, round({_sql_score(5)}, 6) AS risk_score_5, round({_sql_score(10)}, 6) AS risk_score_10,
-       {', '.join(f'round({c}, 6) AS {c}' for c in _COMP)}
+SELECT key, round({_sql_score(5)}, 6) + 0.0 AS risk_score_5, round({_sql_score(10)}, 6) + 0.0 AS risk_score_10,
+       {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _COMP)}
 FROM comp"""
 
 
@@ -57,14 +57,14 @@ def q_risk_score(spark, sf_dir):
 
 
 @register("risk_components", _sql_components() + f"""
-SELECT key, {', '.join(f'round({c}, 6) AS {c}' for c in _COMP)} FROM comp""")
+SELECT key, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _COMP)} FROM comp""")
 def q_risk_components(spark, sf_dir):
     chain = series.index_chain(nation_month(spark, sf_dir))
     return rounded(risk.tail_risk(chain))
 
 
 @register("minmax_norm", _sql_components() + f"""
-SELECT key, {', '.join(f'round({_sql_norm(c)}, 6) AS norm_{c}' for c in _COMP)} FROM comp""")
+SELECT key, {', '.join(f'round({_sql_norm(c)}, 6) + 0.0 AS norm_{c}' for c in _COMP)} FROM comp""")
 def q_minmax_norm(spark, sf_dir):
     chain = series.index_chain(nation_month(spark, sf_dir))
     normed = risk.min_max_norm(risk.tail_risk(chain), _COMP)

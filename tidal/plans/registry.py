@@ -21,7 +21,10 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name!r}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            text = sql.strip()
+            if text.upper().startswith("WITH ") and not text.upper().startswith("WITH RECURSIVE"):
+                text = "WITH RECURSIVE " + text[5:]
+            ORACLE[name] = text
         return fn
     return deco
 

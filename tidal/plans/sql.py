@@ -26,6 +26,18 @@ supplier_month_zero AS (
   LEFT JOIN supplier_month m ON m.key = s.key AND m.period = g.period)"""
 
 
+def seq_product(src: str, factor: str, out: str, floor: bool, rec: str,
+                start: float = 100.0) -> str:
+    """Step-by-step compounding (recursive CTE ``rec``) over ``src`` rows numbered ``rn``."""
+    step = f"r.{out} * s.{factor}"
+    if floor:
+        step = f"CASE WHEN {step} <= 0 THEN 0.0 ELSE {step} END"
+    return f"""{rec} AS (
+  SELECT key, rn, {start} * {factor} AS {out} FROM {src} WHERE rn = 1
+  UNION ALL
+  SELECT s.key, s.rn, {step} FROM {rec} r JOIN {src} s ON s.key = r.key AND s.rn = r.rn + 1)"""
+
+
 def index_chain(src: str, value: str = "value", prefix: str = "ix") -> str:
     """Relative index (positive baseline, zero -> NULL), % change, floored price, inflation.
 
@@ -43,13 +55,14 @@ def index_chain(src: str, value: str = "value", prefix: str = "ix") -> str:
                  THEN (ofr - lag(ofr) OVER (PARTITION BY key ORDER BY period))
                       / lag(ofr) OVER (PARTITION BY key ORDER BY period) * 100 END AS ofr_change
   FROM {prefix}_ofr),
+{prefix}_fac AS (
+  SELECT *, coalesce(1 + 0.5 * (ofr_change / 100), 1.0) AS factor,
+         row_number() OVER (PARTITION BY key ORDER BY period) AS rn
+  FROM {prefix}_chg),
+{seq_product(prefix + '_fac', 'factor', 'price_index', floor=True, rec=prefix + '_rec')},
 {prefix}_px AS (
-  SELECT * EXCLUDE (factor),
-         CASE WHEN min(factor) OVER (PARTITION BY key ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 0
-              THEN 0.0
-              ELSE 100.0 * product(factor) OVER (PARTITION BY key ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-         END AS price_index
-  FROM (SELECT *, coalesce(1 + 0.5 * (ofr_change / 100), 1.0) AS factor FROM {prefix}_chg)),
+  SELECT f.* EXCLUDE (factor, rn), r.price_index
+  FROM {prefix}_fac f JOIN {prefix}_rec r ON f.key = r.key AND f.rn = r.rn),
 {prefix} AS (
   SELECT *, CASE WHEN lag(price_index) OVER (PARTITION BY key ORDER BY period) <> 0
                  THEN (price_index - lag(price_index) OVER (PARTITION BY key ORDER BY period))
@@ -68,3 +81,19 @@ def slope(y: str, x: str) -> str:
 
 def fsum(y: str) -> str:
     return f"coalesce(sum(coalesce({finite(y)}, 0.0)), 0.0)"
+
+PREDICTIONS = SUPPLIER_MONTH + """,
+pred_keys AS (SELECT DISTINCT key FROM supplier_month WHERE period BETWEEN 0 AND 75),
+pred_grid AS (
+  SELECT k.key, CAST(g.period AS INTEGER) AS period, m.value
+  FROM pred_keys k CROSS JOIN range(0, 76) g(period)
+  LEFT JOIN supplier_month m ON m.key = k.key AND m.period = g.period),
+pred_imp AS (
+  SELECT *, CASE WHEN period <= 50 THEN coalesce(value, avg(CASE WHEN period <= 50 THEN value END) OVER (PARTITION BY key)) END AS imp
+  FROM pred_grid),
+predictions AS (
+  SELECT key, period,
+         CASE WHEN period <= 68 THEN value END AS actual,
+         CASE WHEN period <= 50 THEN lag(imp) OVER (PARTITION BY key ORDER BY period)
+              ELSE max(CASE WHEN period = 50 THEN imp END) OVER (PARTITION BY key) END AS forecast
+  FROM pred_imp)"""

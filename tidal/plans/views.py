@@ -78,3 +78,35 @@ def supplier_month_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``supplier_month`` densified over each key's own period range, gaps = 0."""
     from tidal.operators.reshape import densify
     return densify(supplier_month(spark, sf_dir), fill=0.0, per_key_range=True)
+
+
+def split_of(period: Column) -> Column:
+    """train / val / test / future tag of a period (NULL outside the bounds)."""
+    return (F.when(period.between(*TRAIN), "train").when(period.between(*VAL), "val")
+            .when(period.between(*TEST), "test").when(period.between(*FUTURE), "future"))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction table ``(key, period, actual, forecast)`` on the supplier series.
+
+    Dense grid of periods 0..75 per supplier; actual = quantity shipped up to
+    the last test period (NULL after); forecast = naive model fitted on the
+    mean-imputed train series: the previous period in-sample, the last train
+    value for val / test / future.
+    """
+    from tidal.operators.reshape import densify
+    from pyspark.sql import Window
+    sm = supplier_month(spark, sf_dir).filter(F.col("period").between(TRAIN[0], FUTURE[1]))
+    dense = densify(sm, lo=TRAIN[0], hi=FUTURE[1])
+    by_key = Window.partitionBy("key")
+    ordered = by_key.orderBy("period")
+    is_train = F.col("period") <= TRAIN[1]
+    train_mean = F.avg(F.when(is_train, F.col("value"))).over(by_key)
+    imputed = F.when(is_train, F.coalesce(F.col("value"), train_mean))
+    last_train = F.last(imputed, ignorenulls=True).over(
+        ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return (dense.withColumn("_imp", imputed)
+            .select("key", "period",
+                    F.when(F.col("period") <= TEST[1], F.col("value")).alias("actual"),
+                    F.when(is_train, F.lag("_imp").over(ordered)).otherwise(last_train)
+                    .alias("forecast")))
