@@ -96,3 +96,26 @@ def tail_risk(series: DataFrame, key: str = "key", period: str = "period",
 
 def banded(df: DataFrame, score: str, out: str, policy: str = "raw") -> DataFrame:
     return df.withColumn(out, risk_band(F.col(score), policy))
+
+
+def horizon_risk(series: DataFrame, horizons: dict[str, tuple[int, int]], key: str = "key",
+                 period: str = "period") -> DataFrame:
+    """Risk components of every forecast horizon (period range) in one ``groupBy(key)``.
+
+    This replaces computing each horizon separately and joining them side by
+    side: one pass, one exchange, and keys line up by construction.
+    """
+    aggs = []
+    for name, (lo, hi) in horizons.items():
+        aggs += risk_components(series, key, period, suffix=f"_{name}",
+                                where=F.col(period).between(lo, hi))
+    return series.groupBy(key).agg(*aggs)
+
+
+def join_horizons(parts: dict[str, DataFrame], key: str = "key") -> DataFrame:
+    """Per-horizon component tables side by side, joined on the key (full outer)."""
+    out = None
+    for name, df in parts.items():
+        d = df.select(key, *[F.col(c).alias(f"{c}_{name}") for c in df.columns if c != key])
+        out = d if out is None else out.join(d, key, "full")
+    return out

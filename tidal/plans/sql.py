@@ -97,3 +97,20 @@ predictions AS (
          CASE WHEN period <= 50 THEN lag(imp) OVER (PARTITION BY key ORDER BY period)
               ELSE max(CASE WHEN period = 50 THEN imp END) OVER (PARTITION BY key) END AS forecast
   FROM pred_imp)"""
+
+
+def feature_chain(src: str, prefix: str = "fc") -> str:
+    """Feature rules (non-zero baseline, zeros kept, x/0 = +-inf, no floor), sequential price."""
+    return f"""
+{prefix}_b AS (SELECT key, arg_min(value, period) FILTER (WHERE value <> 0) AS base FROM {src} GROUP BY key),
+{prefix}_o AS (SELECT s.*, CASE WHEN b.base IS NOT NULL THEN s.value / b.base * 100 END AS ofr
+               FROM {src} s LEFT JOIN {prefix}_b b ON s.key = b.key),
+{prefix}_c AS (SELECT *, CASE WHEN lag(ofr) OVER (PARTITION BY key ORDER BY period) = 0
+                              THEN CASE WHEN ofr > 0 THEN 'inf'::DOUBLE WHEN ofr < 0 THEN '-inf'::DOUBLE END
+                              ELSE (ofr / lag(ofr) OVER (PARTITION BY key ORDER BY period) - 1) * 100 END AS ofr_change
+               FROM {prefix}_o),
+{prefix}_f AS (SELECT *, coalesce(1 + 0.5 * (ofr_change / 100), 1.0) AS factor,
+                      row_number() OVER (PARTITION BY key ORDER BY period) AS rn FROM {prefix}_c),
+{seq_product(prefix + '_f', 'factor', 'price_index', False, prefix + '_r')},
+{prefix} AS (SELECT f.* EXCLUDE (factor, rn), r.price_index
+             FROM {prefix}_f f JOIN {prefix}_r r ON f.key = r.key AND f.rn = r.rn)"""
