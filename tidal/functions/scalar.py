@@ -51,15 +51,20 @@ def standardize_name(c, aliases: dict[str, str] | None = None) -> Column:
     """strip -> collapse whitespace -> title-case -> alias (title-cased, then raw stripped)."""
     aliases = NAME_ALIASES if aliases is None else aliases
     raw = F.trim(_c(c).cast("string"))
-    norm = title_case(F.regexp_replace(raw, r"(?U)\s+", " "))
+    norm = title_case(F.regexp_replace(raw, WS + "+", " "))
     amap = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
     mapped = F.coalesce(F.element_at(amap, norm), F.element_at(amap, raw), norm)
     return F.when(raw == "", raw).otherwise(mapped)
 
 
+# The characters Python's ``str.split()`` / ``\s`` treat as
+# whitespace, spelled out so the JVM regex and the RE2 oracle agree.
+WS = r"[\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]"
+
+
 def clean_text(c) -> Column:
-    """Collapse Unicode whitespace runs to one space and trim."""
-    return F.trim(F.regexp_replace(_c(c), r"(?U)\s+", " "))
+    """Collapse whitespace runs (Python's definition) to one space and trim."""
+    return F.trim(F.regexp_replace(_c(c), WS + "+", " "))
 
 
 def safe_filename(c) -> Column:
