@@ -68,9 +68,14 @@ def clean_text(c) -> Column:
 
 
 def safe_filename(c) -> Column:
-    """Remove ``[^\\w\\s-]``, trim, spaces to ``_``; empty -> ``Unknown``."""
-    kept = F.trim(F.regexp_replace(_c(c), r"(?U)[^\w\s-]", ""))
-    under = F.regexp_replace(kept, r"(?U)\s+", "_")
+    """Drop characters other than word characters, whitespace and '-', strip, spaces to '_'.
+
+    An empty result becomes ``Unknown``.
+    """
+    inner = WS[1:-1]
+    kept = F.regexp_replace(_c(c), r"[^\p{L}\p{N}_" + inner + "-]", "")
+    stripped = F.regexp_replace(kept, f"^{WS}+|{WS}+$", "")
+    under = F.replace(stripped, F.lit(" "), F.lit("_"))
     return F.when(under == "", F.lit("Unknown")).otherwise(under)
 
 
