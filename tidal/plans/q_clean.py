@@ -118,12 +118,12 @@ def coordinates(spark, sf_dir):
     sup = read_table(spark, sf_dir, "supplier")
     return (sup.filter(F.col("s_acctbal") >= 0)
             .select(F.col("s_suppkey").cast("string").alias("key"),
-                    F.round(F.col("s_acctbal") / 10000 * 90, 4).alias("lat"),
+                    (F.col("s_acctbal") / 10000 * 90).alias("lat"),
                     (F.col("s_nationkey") * 14.4 - 180).alias("lon")))
 
 
 @register("attach_coordinates", f"""WITH {sql.SUPPLIER_MONTH},
-geo AS (SELECT CAST(s_suppkey AS VARCHAR) AS key, round(s_acctbal / 10000 * 90, 4) AS lat,
+geo AS (SELECT CAST(s_suppkey AS VARCHAR) AS key, s_acctbal / 10000 * 90 AS lat,
                CAST(s_nationkey AS DOUBLE) * 14.4 - 180 AS lon FROM supplier WHERE s_acctbal >= 0)
 SELECT m.key, m.period, m.value, round(g.lat, 6) + 0.0 AS lat, round(g.lon, 6) + 0.0 AS lon
 FROM supplier_month m LEFT JOIN geo g ON m.key = g.key""")
