@@ -121,18 +121,23 @@ def validate_chunks(chunks: DataFrame, allowed_sources: list[str], by: str = "so
     return out.withColumn("valid", ok)
 
 
-def global_index(df: DataFrame, order: list[str], bucket: Column, out: str = "idx") -> DataFrame:
-    """0-based position of each row in ``order`` across the whole table, without a global sort.
-
-    ``bucket`` must be monotone in the order (e.g. ``doc_id div 100000``) and
-    bound the rows per bucket.  Rows are ranked inside their bucket; the
-    bucket offsets come from a small per-bucket count table (one row per
-    bucket) whose running sum is broadcast back.
+def global_index(df: DataFrame, order: list[str], bucket: Column, out: str = "idx",
+                 partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """0-based position of each row in ``order`` (within ``partition_by``), without a global sort.
+
+    ``bucket`` must be monotone in the order (e.g. ``doc_id div 100000`` or a
+    hash prefix when ordering by that hash) and bound the rows per bucket.
+    Rows are ranked inside their bucket; bucket offsets come from a small
+    per-bucket count table (one row per partition value and bucket) whose
+    running sum is broadcast back.  No task ever sees more than one bucket.
     """
+    parts = list(partition_by)
     b = df.withColumn("_bucket", bucket)
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n"))
-                            .alias("_off"))
-    return (b.withColumn("_local", local).join(F.broadcast(offsets), "_bucket")
+    local = F.row_number().over(Window.partitionBy(*parts, "_bucket").orderBy(*order)) - 1
+    counts = b.groupBy(*parts, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*parts).orderBy("_bucket") if parts else Window.orderBy("_bucket")
+    offsets = counts.select(*parts, "_bucket", (F.sum("_n").over(w) - F.col("_n")).alias("_off"),
+                            F.sum("_n").over(Window.partitionBy(*parts)).alias(f"{out}_total")
+                            if parts else F.sum("_n").over(Window.partitionBy()).alias(f"{out}_total"))
+    return (b.withColumn("_local", local).join(F.broadcast(offsets), [*parts, "_bucket"])
             .withColumn(out, F.col("_off") + F.col("_local")).drop("_bucket", "_local", "_off"))

@@ -171,14 +171,20 @@ def _sql_norm(c: str) -> str:
             f"ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END")
 
 
-@register("risk_from_horizons", SQL_HORIZON + ",\n" + _sql_horizon_components() + f"""
-SELECT key, {', '.join(
+RISK_CTE = SQL_HORIZON + ",\n" + _sql_horizon_components() + f""",
+risk AS (SELECT key, {', '.join(
     f"round(round_even(({' + '.join(_sql_norm(f'{c}_{h}') for c in risk.COMPONENTS)}) / 4, 6), 6) + 0.0 AS risk_score_{h}"
     for h in HORIZONS)},
        {', '.join(r6(c, c) for c in _HCOMP)}
-FROM comp""")
+FROM comp)"""
+
+
+@register("risk_from_horizons", RISK_CTE + " SELECT * FROM risk")
 def q_risk_from_horizons(spark, sf_dir):
-    """History -> drift forecast -> index chain -> per-horizon components -> min-max -> score."""
+    """History -> drift forecast -> index chain -> per-horizon components -> min-max -> score.
+
+    This is the reference's risk path end to end, one row per supplier.
+    """
     comps = risk.horizon_risk(horizon_chain(spark, sf_dir), HORIZONS)
     scored = risk.risk_score(comps, horizons=tuple(HORIZONS))
     return rounded(scored.select("key", *[f"risk_score_{h}" for h in HORIZONS], *_HCOMP))
