@@ -1 +1,49 @@
-"""Queries (filled in below)."""
+"""Model training queries (rows-only: forests are not expressible in SQL)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidal.functions import scalar
+from tidal.operators import bands, ml, series
+from tidal.plans.q_forecast import q_risk_from_horizons
+from tidal.plans.q_series import median_filled
+from tidal.plans.registry import register
+from tidal.plans.views import TEST, TRAIN, VAL, predictions
+
+# Three positional windows of 10 periods, each labelled by the price index at its end.
+WINDOWS = (("train", TRAIN[1] - 9), ("val", VAL[1] - 9), ("test", TEST[1] - 9))
+
+
+def window_features(spark, sf_dir):
+    """Per key and split: 10 median-filled values (f0..f9) and the price index at the window end."""
+    filled = median_filled(spark, sf_dir)
+    price = series.enrich_predictions(predictions(spark, sf_dir)).select("key", "period", "price_index")
+    parts = None
+    for name, start in WINDOWS:
+        w = filled.filter(F.col("period").between(start, start + 9)).withColumn("offset", F.col("period") - start)
+        wide = w.groupBy("key").pivot("offset", list(range(10))).agg(F.first("actual_filled"))
+        wide = wide.select("key", *[F.col(str(i)).alias(f"f{i}") for i in range(10)])
+        tgt = price.filter(F.col("period") == start + 9).select("key", F.col("price_index").alias("target"))
+        d = wide.join(tgt, "key").withColumn("split", F.lit(name))
+        parts = d if parts is None else parts.unionByName(d)
+    return parts
+
+
+@register("price_model_eval")
+def q_price_model_eval(spark, sf_dir):
+    """Random-forest price-index regressor on 10-period windows: MAE / RMSE per split."""
+    data = window_features(spark, sf_dir)
+    _, pred = ml.train_price_regressor(data, [f"f{i}" for i in range(10)])
+    return ml.regression_report(pred)
+
+
+@register("risk_classifier")
+def q_risk_classifier(spark, sf_dir):
+    """Random-forest band classifier on the raw 5-period components; accuracy per split."""
+    risk = q_risk_from_horizons(spark, sf_dir)
+    feats = [f"{c}_5" for c in ("slope_ofr_change", "slope_inflation_pct", "sum_ofr_change", "sum_inflation_pct")]
+    data = risk.select("key", *feats, scalar.risk_band(F.col("risk_score_5"), "raw").alias("band"))
+    data = bands.stratified_split(data, "key", "band")
+    _, pred = ml.train_risk_classifier(data, feats)
+    return ml.accuracy_report(pred)

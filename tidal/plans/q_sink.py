@@ -1 +1,153 @@
-"""Queries (filled in below)."""
+"""Loading queries: upsert, row descriptions, source unions, embeddings, approximate k-NN."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidal.functions import scalar
+from tidal.operators import bands, embed, reshape, series
+from tidal.plans import sql
+from tidal.plans.q_forecast import RISK_CTE, SQL_HORIZON, q_forecast_horizons, q_risk_from_horizons
+from tidal.plans.q_text import _SQL_SENT, _sql_html_text, _sql_lines, _sql_pack, q_page_chunks, q_pack_chunks
+from tidal.plans.registry import register, rounded
+from tidal.plans.views import FUTURE, predictions
+from tidal.sources import io
+from tidal.sources.tables import read_table
+from tidal.operators import text
+
+KEYS = ["key", "period", "horizon"]
+
+
+def upsert_batch(spark, sf_dir):
+    """New forecast rows: the naive-forecast chain over the future periods.
+
+    Tagged horizon '10' they hit existing keys (update); tagged '3' they are new.
+    """
+    e = series.enrich_predictions(predictions(spark, sf_dir)).filter(F.col("period").between(*FUTURE))
+    e = rounded(e.select("key", "period", "ofr_change", "inflation_pct"))
+    return reshape.tag_union({"10": e, "3": e.filter(F.col("period") <= FUTURE[0] + 2)}, "horizon")
+
+
+_SQL_BATCH = f""",
+pc AS (SELECT key, period, actual, forecast, coalesce(actual, forecast) AS value FROM predictions),
+{sql.index_chain('pc', prefix='ex')},
+src AS (SELECT key, period, round(ofr_change, 6) + 0.0 AS ofr_change, round(inflation_pct, 6) + 0.0 AS inflation_pct,
+               '10' AS horizon FROM ex WHERE period BETWEEN {FUTURE[0]} AND {FUTURE[1]}
+        UNION ALL
+        SELECT key, period, round(ofr_change, 6) + 0.0, round(inflation_pct, 6) + 0.0, '3'
+        FROM ex WHERE period BETWEEN {FUTURE[0]} AND {FUTURE[0] + 2}),
+tgt AS (SELECT key, period, round(ofr_change, 6) + 0.0 AS ofr_change, round(inflation_pct, 6) + 0.0 AS inflation_pct,
+               h AS horizon, 'base forecast' AS context_meaning
+        FROM ix, (VALUES ('5', {FUTURE[0]}, {FUTURE[0] + 4}), ('10', {FUTURE[0]}, {FUTURE[0] + 9})) v(h, lo, hi)
+        WHERE period BETWEEN lo AND hi)"""
+
+
+@register("upsert_forecast", SQL_HORIZON + _SQL_BATCH + """
+SELECT coalesce(t.key, s.key) AS key, coalesce(t.period, s.period) AS period,
+       CASE WHEN s.key IS NOT NULL THEN s.ofr_change ELSE t.ofr_change END AS ofr_change,
+       CASE WHEN s.key IS NOT NULL THEN s.inflation_pct ELSE t.inflation_pct END AS inflation_pct,
+       coalesce(t.horizon, s.horizon) AS horizon, t.context_meaning
+FROM tgt t FULL OUTER JOIN src s ON t.key = s.key AND t.period = s.period AND t.horizon = s.horizon""")
+def q_upsert_forecast(spark, sf_dir):
+    """ON CONFLICT (key, period, horizon) DO UPDATE of the two value columns; context survives."""
+    target = q_forecast_horizons(spark, sf_dir).withColumn("context_meaning", F.lit("base forecast"))
+    return io.upsert(target, upsert_batch(spark, sf_dir), KEYS, ["ofr_change", "inflation_pct"], check=False)
+
+
+def _band_sql(s: str) -> str:
+    lo, mid = scalar.BAND_LOW_MAX, scalar.BAND_MEDIUM_MAX
+    return (f"CASE WHEN {s} IS NULL OR isnan({s}) THEN 'medium' WHEN {s} < 0 THEN 'low' "
+            f"WHEN {s} < {lo} THEN 'low' WHEN {s} < {mid} THEN 'medium' ELSE 'high' END")
+
+
+def _f6(x: str) -> str:
+    return f"coalesce(printf('%.6f', round({x}, 6)), 'None')"
+
+
+_BAND_VALUES = ", ".join(f"('{b}', '{ctx}')" for b, _, _, ctx, _ in bands.BAND_ROWS)
+
+
+@register("describe_rows", RISK_CTE + f""",
+fh AS (SELECT key, period, ofr_change, inflation_pct, '5' AS horizon FROM ix WHERE period BETWEEN {FUTURE[0]} AND {FUTURE[0] + 4}
+       UNION ALL
+       SELECT key, period, ofr_change, inflation_pct, '10' FROM ix WHERE period BETWEEN {FUTURE[0]} AND {FUTURE[0] + 9})
+SELECT 'country_risk_category' AS source_type, key AS source_id,
+       'Country: ' || key || '. 5-year risk: ' || {_band_sql('risk_score_5')} || ' (score ' || {_f6('risk_score_5')}
+       || '). 10-year risk: ' || {_band_sql('risk_score_10')} || ' (score ' || {_f6('risk_score_10')} || ').' AS content
+FROM risk
+UNION ALL
+SELECT 'risk_score_intervals', b, ctx FROM (VALUES {_BAND_VALUES}) v(b, ctx)
+UNION ALL
+SELECT 'forecast_metrics', key || '|' || CAST(period AS VARCHAR) || '|' || horizon,
+       'Country: ' || key || ', Year: ' || CAST(period AS VARCHAR) || ', Horizon: ' || horizon || '. OFR change: '
+       || {_f6('ofr_change')} || ', Inflation %: ' || {_f6('inflation_pct')} || '.'
+FROM fh""")
+def q_describe_rows(spark, sf_dir):
+    """Embedding source rows from three tables: context text if present, else a sentence."""
+    return describe_rows(spark, sf_dir)
+
+
+def describe_rows(spark, sf_dir):
+    risk = q_risk_from_horizons(spark, sf_dir)
+    no_ctx = F.lit(None).cast("string")
+    b5 = scalar.risk_band(F.col("risk_score_5"), "raw")
+    b10 = scalar.risk_band(F.col("risk_score_10"), "raw")
+    r = risk.select(F.lit("country_risk_category").alias("source_type"), F.col("key").alias("source_id"),
+                    embed.describe_row(no_ctx, F.concat(
+                        F.lit("Country: "), F.col("key"), F.lit(". 5-year risk: "), b5, F.lit(" (score "),
+                        embed.fmt6(F.col("risk_score_5")), F.lit("). 10-year risk: "), b10,
+                        F.lit(" (score "), embed.fmt6(F.col("risk_score_10")), F.lit(")."))).alias("content"))
+    dim = bands.band_dimension(spark).select(
+        F.lit("risk_score_intervals").alias("source_type"), F.col("band_name").alias("source_id"),
+        F.col("context_meaning").alias("content")).filter(F.length(F.trim("content")) > 0)
+    fh = q_forecast_horizons(spark, sf_dir)
+    f = fh.select(F.lit("forecast_metrics").alias("source_type"),
+                  F.concat_ws("|", "key", F.col("period").cast("string"), "horizon").alias("source_id"),
+                  embed.describe_row(no_ctx, F.concat(
+                      F.lit("Country: "), F.col("key"), F.lit(", Year: "), F.col("period").cast("string"),
+                      F.lit(", Horizon: "), F.col("horizon"), F.lit(". OFR change: "),
+                      embed.fmt6(F.col("ofr_change")), F.lit(", Inflation %: "),
+                      embed.fmt6(F.col("inflation_pct")), F.lit("."))).alias("content"))
+    return r.unionByName(dim).unionByName(f)
+
+
+@register("union_sources", f"""WITH RECURSIVE {_SQL_SENT}, {_sql_pack('sent', 'doc_id', 'd_')},
+arr AS (SELECT page_id, {_sql_lines(_sql_html_text('html'), text.MIN_LINE_CHARS)} AS a FROM pages),
+{_sql_pack('arr', 'page_id', 'p_')}
+SELECT 'documents' AS source, CAST(k AS VARCHAR) AS source_id, chunk_no, content FROM d_chunks
+UNION ALL
+SELECT 'pages', CAST(k AS VARCHAR), chunk_no, content FROM p_chunks""")
+def q_union_sources(spark, sf_dir):
+    """Chunks from documents and from pages appended into one chunk table."""
+    d = q_pack_chunks(spark, sf_dir).select(F.lit("documents").alias("source"),
+                                            F.col("doc_id").cast("string").alias("source_id"),
+                                            "chunk_no", "content")
+    p = q_page_chunks(spark, sf_dir).select(F.lit("pages").alias("source"),
+                                            F.col("page_id").cast("string").alias("source_id"),
+                                            "chunk_no", "content")
+    return d.unionByName(p)
+
+
+@register("embed_hash")
+def q_embed_hash(spark, sf_dir):
+    """Every document chunk embedded with the built-in TF-IDF hashing embedder."""
+    chunks = q_pack_chunks(spark, sf_dir).select("doc_id", "chunk_no", "content")
+    return embed.embed_texts(chunks).select("doc_id", "chunk_no", "embedding")
+
+
+@register("embedding_table")
+def q_embedding_table(spark, sf_dir):
+    """Row descriptions embedded and upserted on (source_type, source_id)."""
+    rows = describe_rows(spark, sf_dir)
+    vecs = embed.embed_texts(rows)
+    empty = vecs.limit(0)
+    return io.upsert(empty, vecs, ["source_type", "source_id"], ["content", "embedding"], check=False)
+
+
+@register("knn_lsh")
+def q_knn_lsh(spark, sf_dir):
+    """Approximate cosine neighbours: random-projection LSH on unit vectors, exact re-rank."""
+    from tidal.operators.ann import knn_lsh
+    from tidal.operators.retrieve import label_queries
+    emb = read_table(spark, sf_dir, "embeddings")
+    return knn_lsh(emb, label_queries(emb), 5)
