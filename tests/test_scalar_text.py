@@ -86,8 +86,8 @@ def _pack_loop(pieces, lo=150, hi=800):
 @pytest.mark.parametrize("lengths", [[149], [150], [399, 399], [400, 399], [900], [100, 20, 700, 50, 60]])
 def test_pack_edges(spark, lengths):
     pieces = ["x" * n for n in lengths]
-    df = spark.createDataFrame([(pieces,)], "a array<string>")
-    got = df.select(text.pack(F.col("a"))).collect()[0][0]
+    df = spark.createDataFrame([(0, pieces)], "i int, a array<string>")
+    got = [r.content for r in text.pack_chunks(df, F.col("a"), ["i"]).orderBy("chunk_no").collect()]
     assert got == _pack_loop(pieces)
 
 
@@ -96,7 +96,9 @@ def test_pack_property_random(spark):
     rng = random.Random(3)
     docs = [["y" * rng.randint(31, 500) for _ in range(rng.randint(0, 40))] for _ in range(50)]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, a array<string>")
-    got = {r.i: r.c for r in df.select("i", text.pack(F.col("a")).alias("c")).collect()}
+    got = {i: [] for i in range(len(docs))}
+    for r in text.pack_chunks(df, F.col("a"), ["i"]).orderBy("i", "chunk_no").collect():
+        got[r.i].append(r.content)
     for i, d in enumerate(docs):
         assert got[i] == _pack_loop(d)
         for c in got[i]:

@@ -88,21 +88,29 @@ def extend_linear(features: DataFrame, horizon_from: int, horizon_to: int, last_
                       chg.alias("ofr_change_frac"))
 
 
-def drift_forecast(history: DataFrame, window: int, steps: int, last_period: int,
-                   key: str = "key", period: str = "period", value: str = "value") -> DataFrame:
-    """Random walk with drift fitted on each key's last ``window`` points.
-
-    y_{T+h} = y_T + h * (y_T - y_{T-window+1}) / (window - 1); one aggregate
-    per key and an ``explode`` of the horizon.
+def extend_drift(history: DataFrame, window: int, steps: int, key: str = "key",
+                 period: str = "period", value: str = "value") -> DataFrame:
+    """History plus a random-walk-with-drift forecast of ``steps`` periods per key.
+
+    The drift is fitted on each key's last ``window`` periods:
+    y_{T+h} = y_T + h * (y_T - y_{T-window+1}) / (window - 1).  The future
+    rows are generated from each key's last row with ``explode`` inside its
+    own partition, so history and forecast stay partitioned by key (no
+    union, no extra exchange before the per-key windows that follow).
     """
-    lo = last_period - window + 1
-    ends = (history.filter(F.col(period) >= lo).groupBy(key)
-            .agg(F.max_by(value, period).alias("_last"), F.min_by(value, period).alias("_first")))
-    h = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("_h")
-    return (ends.select(key, "_last", "_first", h)
-            .select(key, (F.col("_h") + last_period).alias(period),
-                    (F.col("_last") + F.col("_h") * (F.col("_last") - F.col("_first")) / (window - 1))
-                    .alias(value)))
+    by_key = Window.partitionBy(key)
+    t_last = F.max(period).over(by_key)
+    in_win = F.col(period) >= t_last - (window - 1)
+    h = history.select(
+        "*", (F.col(period) == t_last).alias("_is_last"),
+        F.max_by(F.col(value), F.col(period)).over(by_key).alias("_y_last"),
+        F.min_by(F.col(value), F.when(in_win, F.col(period))).over(by_key).alias("_y_first"))
+    steps_col = F.when(F.col("_is_last"), F.sequence(F.lit(0), F.lit(steps))).otherwise(F.array(F.lit(0)))
+    h = h.select("*", F.explode(steps_col).alias("_h"))
+    drift = F.col("_y_last") + F.col("_h") * (F.col("_y_last") - F.col("_y_first")) / (window - 1)
+    cols = [c for c in history.columns if c not in (period, value)]
+    return h.select(*cols, (F.col(period) + F.col("_h")).alias(period),
+                    F.when(F.col("_h") == 0, F.col(value)).otherwise(drift).alias(value))
 
 
 # ---------------------------------------------------------------- selection
@@ -229,7 +237,7 @@ def fit_candidates(train: DataFrame, first_future: int, steps: int, cap: int = T
         y = pdf[value].to_numpy(dtype=float)
         per = pdf[period].to_numpy()
         k = pdf[key].iloc[0]
-        out = []
+        parts = []
         windows = [("full", y, per)]
         if len(y) > cap:
             windows.append(("capped", y[-cap:], per[-cap:]))
@@ -239,11 +247,17 @@ def fit_candidates(train: DataFrame, first_future: int, steps: int, cap: int = T
                 if res is None:
                     continue
                 fitted, fc = res
-                for t, fv in zip(pp, fitted):
-                    out.append((k, wname, idx, p, q, int(t), "fit", None if np.isnan(fv) else float(fv)))
-                for h, fv in enumerate(fc):
-                    out.append((k, wname, idx, p, q, first_future + h, "fc", float(fv)))
-        return pd.DataFrame(out, columns=["key", "train_window", "order_idx", "p", "q", "period",
-                                          "kind", "forecast"])
+                n_fit, n_fc = len(pp), len(fc)
+                parts.append(pd.DataFrame({
+                    "train_window": wname, "order_idx": idx, "p": p, "q": q,
+                    "period": np.concatenate([pp, first_future + np.arange(n_fc)]).astype("int32"),
+                    "kind": ["fit"] * n_fit + ["fc"] * n_fc,
+                    "forecast": np.concatenate([fitted, fc])}))
+        if not parts:
+            return pd.DataFrame({c: [] for c in ["key", "train_window", "order_idx", "p", "q",
+                                                 "period", "kind", "forecast"]})
+        out = pd.concat(parts, ignore_index=True)
+        out.insert(0, "key", k)
+        return out
 
     return train.select(key, period, value).groupBy(key).applyInPandas(per_key, CANDIDATE_SCHEMA)

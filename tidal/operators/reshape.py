@@ -11,18 +11,21 @@ def densify(df: DataFrame, lo: int | None = None, hi: int | None = None, fill=No
             value: str = "value") -> DataFrame:
     """Every period of a range exists for every key; missing cells get ``fill``.
 
-    The grid is generated per key with ``explode(sequence(...))`` (no cross
-    join) and left-joined back on ``(key, period)``; both sides are
-    partitioned by key, so the join is one co-partitioned exchange.
-    ``per_key_range`` uses each key's own first..last period.
+    Each key's observations are gathered into one map (bounded by the length
+    of the period axis, not by the data volume) and the range is generated
+    with ``explode(sequence(...))``; no join, no cross join.  The output stays
+    hash-partitioned by key, so the per-key windows that usually follow need
+    no further exchange.  ``per_key_range`` uses each key's own first..last
+    period.  Duplicate (key, period) cells are an error.
     """
-    if per_key_range:
-        spans = df.groupBy(key).agg(F.min(period).alias("_lo"), F.max(period).alias("_hi"))
-        grid = spans.select(key, F.explode(F.sequence("_lo", "_hi")).alias(period))
-    else:
-        grid = df.select(key).distinct().select(
-            key, F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias(period))
-    out = grid.join(df, [key, period], "left")
+    others = [c for c in df.columns if c not in (key, period)]
+    g = df.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(period), F.struct(*others)))).alias("_m"),
+        F.min(period).alias("_lo"), F.max(period).alias("_hi"))
+    rng = F.sequence("_lo", "_hi") if per_key_range else F.sequence(F.lit(lo), F.lit(hi))
+    out = g.select(key, "_m", F.explode(rng).alias(period))
+    cell = F.try_element_at(F.col("_m"), F.col(period))
+    out = out.select(key, period, *[cell[c].alias(c) for c in others])
     if fill is not None:
         out = out.withColumn(value, F.coalesce(F.col(value), F.lit(fill)))
     return out

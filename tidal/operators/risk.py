@@ -63,9 +63,19 @@ def min_max_norm(df: DataFrame, cols: list[str], prefix: str = "norm_") -> DataF
     return joined.drop(*[f"__mn_{c}" for c in cols], *[f"__mx_{c}" for c in cols])
 
 
-def risk_score(components: DataFrame, horizons=("5", "10"), digits: int = 6) -> DataFrame:
-    """Mean of the four normalised components per horizon, rounded half-even."""
+def risk_score(components: DataFrame, horizons=("5", "10"), digits: int = 6,
+               persist: bool = True) -> DataFrame:
+    """Mean of the four normalised components per horizon, rounded half-even.
+
+    The per-key component table feeds both the global extremes and the
+    final projection; it is written once to the shared checkpoint folder
+    (one row per key) so the upstream plan, which scans the raw tables,
+    runs once instead of once per branch.
+    """
     cols = [f"{c}_{h}" for h in horizons for c in COMPONENTS]
+    if persist:
+        from tidal.session import materialize
+        components = materialize(components, "risk_components")
     normed = min_max_norm(components, cols)
     for h in horizons:
         parts = [F.col(f"norm_{c}_{h}") for c in COMPONENTS]

@@ -63,39 +63,49 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: F.length(s) > MIN_SENTENCE_CHARS)
 
 
-def pack(segments: Column, min_chars: int = MIN_CHUNK_CHARS, max_chars: int = MAX_CHUNK_CHARS) -> Column:
-    """Greedy in-order packing of text pieces into chunks joined by one space.
+def chunk_starts(segments: Column, max_chars: int = MAX_CHUNK_CHARS) -> Column:
+    """Start index of every greedy chunk (one ``aggregate`` folding only integers).
 
-    A chunk is flushed when ``cur_len + len(piece) + 1 > max_chars`` and it is
-    not empty (``cur_len`` counts one separator per piece); flushed or final
-    chunks shorter than ``min_chars`` are dropped; an over-long piece stays
-    whole.  Expressed as one ``aggregate`` with a struct accumulator.
+    A new chunk starts at the first piece and whenever
+    ``cur_len + len(piece) + 1 > max_chars`` (``cur_len`` counts one
+    separator per piece), so a packed chunk is at most ``max_chars - 1``
+    characters unless a single piece is longer.
     """
-    init = F.struct(F.array().cast("array<string>").alias("chunks"),
-                    F.lit("").alias("cur"), F.lit(0).alias("cur_len"))
+    init = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("cur_len"),
+                    F.lit(0).alias("i"))
 
     def step(acc, s):
         n = F.length(s)
-        flush = (acc["cur_len"] + n + 1 > max_chars) & (acc["cur_len"] > 0)
-        keep = F.length(acc["cur"]) >= min_chars
-        flushed = F.when(keep, F.concat(acc["chunks"], F.array(acc["cur"]))).otherwise(acc["chunks"])
-        return F.when(flush, F.struct(flushed.alias("chunks"), s.alias("cur"),
-                                      (n + 1).alias("cur_len"))) \
-            .otherwise(F.struct(acc["chunks"].alias("chunks"),
-                                F.when(acc["cur_len"] == 0, s)
-                                .otherwise(F.concat(acc["cur"], F.lit(" "), s)).alias("cur"),
-                                (acc["cur_len"] + n + 1).alias("cur_len")))
-
-    def finish(acc):
-        keep = (acc["cur_len"] > 0) & (F.length(acc["cur"]) >= min_chars)
-        return F.when(keep, F.concat(acc["chunks"], F.array(acc["cur"]))).otherwise(acc["chunks"])
-
-    return F.aggregate(segments, init, step, finish)
-
-
-def pack_chunks(df: DataFrame, segments: Column, keep_cols: list[str]) -> DataFrame:
-    """One row per chunk: ``keep_cols`` + ``chunk_no`` + ``content``."""
-    return df.select(*keep_cols, F.posexplode(pack(segments)).alias("chunk_no", "content"))
+        new = (acc["cur_len"] == 0) | (acc["cur_len"] + n + 1 > max_chars)
+        return F.struct(
+            F.when(new, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
+            F.when(new, n + 1).otherwise(acc["cur_len"] + n + 1).alias("cur_len"),
+            (acc["i"] + 1).alias("i"))
+
+    return F.aggregate(segments, init, step, lambda acc: acc["starts"])
+
+
+def chunks_from_starts(segments: Column, starts: Column, min_chars: int = MIN_CHUNK_CHARS) -> Column:
+    """Chunk texts (pieces joined by one space), dropping chunks shorter than ``min_chars``.
+
+    ``starts`` must be a column computed in an earlier projection: it is
+    referenced inside the lambda, and a lambda re-evaluates any expression it
+    references for every element.
+    """
+    def build(st, j):
+        end = F.when(j + 1 < F.size(starts), F.element_at(starts, j + 2)).otherwise(F.size(segments))
+        return F.array_join(F.slice(segments, st + 1, end - st), " ")
+
+    return F.filter(F.transform(starts, build), lambda c: F.length(c) >= min_chars)
+
+
+def pack_chunks(df: DataFrame, segments: Column, keep_cols: list[str],
+                min_chars: int = MIN_CHUNK_CHARS, max_chars: int = MAX_CHUNK_CHARS) -> DataFrame:
+    """Greedy in-order packing: one row per chunk with ``keep_cols`` + ``chunk_no`` + ``content``."""
+    s = df.select(*keep_cols, segments.alias("_segs"))
+    s = s.select(*keep_cols, "_segs", chunk_starts(F.col("_segs"), max_chars).alias("_starts"))
+    chunks = chunks_from_starts(F.col("_segs"), F.col("_starts"), min_chars)
+    return s.select(*keep_cols, F.posexplode(chunks).alias("chunk_no", "content"))
 
 
 def truncate_doc(html: Column) -> Column:

@@ -9,6 +9,7 @@ from tidal.operators import evaluate, forecast, reshape, risk, series
 from tidal.plans import sql
 from tidal.plans.registry import register, rounded
 from tidal.plans.views import FUTURE, TEST, TRAIN, VAL, predictions
+from tidal.session import materialize
 
 SPAN = TEST[1] - TRAIN[0]
 CAP_FROM = TRAIN[1] - forecast.TRAIN_CAP + 1
@@ -122,8 +123,7 @@ def q_forecast_naive(spark, sf_dir):
 def horizon_chain(spark, sf_dir):
     """History (mean-imputed) + 10-step drift forecast, then the floored index chain."""
     hist = series.impute_series_mean(history(spark, sf_dir))
-    fut = forecast.drift_forecast(hist, forecast.TRAIN_CAP, 10, TEST[1])
-    return series.index_chain(hist.unionByName(fut))
+    return series.index_chain(forecast.extend_drift(hist, forecast.TRAIN_CAP, 10))
 
 
 SQL_HORIZON = f"""WITH {sql.PREDICTIONS},
@@ -279,17 +279,21 @@ def q_choose_order_best(spark, sf_dir):
 # ------------------------------------------------------------- ARIMA (rows-only)
 
 def arima_candidate_table(spark, sf_dir):
+    """ARIMA fits and forecasts of every candidate, written once to the shared checkpoint folder.
+
+    The Python fits are the expensive step and both the selection and the
+    final metrics read them, so they are computed once and kept on shared
+    storage (safe against executor loss) rather than recomputed per branch.
+    """
     p = predictions(spark, sf_dir)
     train = series.impute_series_mean(
         p.filter(F.col("period") <= TRAIN[1]).select("key", "period", F.col("actual").alias("value")))
     steps = TEST[1] - VAL[0] + 1
-    return forecast.fit_candidates(train, VAL[0], steps)
+    return materialize(forecast.fit_candidates(train, VAL[0], steps), "arima_candidates")
 
 
-@register("arima_candidates")
-def q_arima_candidates(spark, sf_dir):
-    """Validation MAE of every (window, order) ARIMA candidate per key."""
-    fc = arima_candidate_table(spark, sf_dir).filter(F.col("kind") == "fc")
+def candidate_maes(cands, spark, sf_dir):
+    fc = cands.filter(F.col("kind") == "fc")
     val = predictions(spark, sf_dir).filter(F.col("period").between(*VAL) & F.col("actual").isNotNull())
     j = fc.join(val.select("key", "period", "actual"), ["key", "period"])
     return (j.groupBy("key", "train_window", "order_idx", "p", "q")
@@ -297,13 +301,19 @@ def q_arima_candidates(spark, sf_dir):
             .withColumn("complexity", F.col("p") + F.col("q")))
 
 
+@register("arima_candidates")
+def q_arima_candidates(spark, sf_dir):
+    """Validation MAE of every (window, order) ARIMA candidate per key."""
+    return candidate_maes(arima_candidate_table(spark, sf_dir), spark, sf_dir)
+
+
 @register("backtest")
 def q_backtest(spark, sf_dir):
     """Window choice -> order choice -> val / test metrics (rounded to 4) per key."""
-    cands_fc = arima_candidate_table(spark, sf_dir)
-    maes = q_arima_candidates(spark, sf_dir)
+    cands = arima_candidate_table(spark, sf_dir)
+    maes = candidate_maes(cands, spark, sf_dir)
     chosen = forecast.choose_order(maes.join(forecast.choose_window(maes), ["key", "train_window"]), "simple")
-    rows = (cands_fc.join(chosen.select("key", "train_window", "order_idx"), ["key", "train_window", "order_idx"])
+    rows = (cands.join(chosen.select("key", "train_window", "order_idx"), ["key", "train_window", "order_idx"])
             .join(predictions(spark, sf_dir).select("key", "period", "actual"), ["key", "period"]))
     rows = rows.withColumn("split", F.when(F.col("kind") == "fit", "train")
                            .when(F.col("period") <= VAL[1], "val").otherwise("test"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,10 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Per-key series work is small in bytes but heavy in CPU (windows, array
+    # folds, Python model fits); a low floor keeps AQE from merging such a
+    # shuffle into a single task.  Large shuffles are still sized by bytes.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -67,3 +72,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder; survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Used for small per-key tables that feed two branches of a plan (for
+    example the per-key components and their global extremes): the upstream
+    plan, which may scan the raw tables, then runs once, and the written
+    table survives the loss of any executor.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df: DataFrame, min_per_core: int = 1) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has cores.
+
+    Parquet files with a single row group scan in one task; CPU-heavy
+    per-row work (regexes, array folds) would then run on one core.  On a
+    cluster reading many files the scan is already wide and this is a no-op.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * min_per_core < cores:
+        return df.repartition(cores * min_per_core)
+    return df
