@@ -84,44 +84,48 @@ def confusion_matrix(df: DataFrame, y: str, pred: str, labels=LABELS) -> DataFra
 def classification_report(df: DataFrame, y: str, pred: str, labels=LABELS) -> DataFrame:
     """Per label precision / recall / F1 / support, then accuracy, macro and weighted averages.
 
-    Divisions by zero give 0.  One aggregation over the rows; the rest is
-    arithmetic on a handful of counts.
+    Divisions by zero give 0.  One aggregation produces a single row of
+    counts; every report line is column arithmetic on that row, exploded
+    into rows at the end (the input is read once).
     """
-    aggs = [F.count(F.lit(1)).alias("_total"), F.sum((F.col(y) == F.col(pred)).cast("long")).alias("_correct")]
+    aggs = [F.count(F.lit(1)).alias("_n"), F.sum((F.col(y) == F.col(pred)).cast("long")).alias("_k")]
     for lab in labels:
         aggs += [F.sum(((F.col(y) == lab) & (F.col(pred) == lab)).cast("long")).alias(f"tp_{lab}"),
                  F.sum((F.col(pred) == lab).cast("long")).alias(f"pp_{lab}"),
                  F.sum((F.col(y) == lab).cast("long")).alias(f"sup_{lab}")]
-    c = df.agg(*aggs)
 
     def z(num, den):
         return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
-    def _row(name, p, r, f):
-        return F.struct(F.lit(name).alias("label"), F.col(p).alias("precision"),
-                        F.col(r).alias("recall"), F.col(f).alias("f1"), F.col("n").alias("support"))
-
-    rows = []
+    c = df.agg(*aggs)
+    cols = []
     for lab in labels:
         p = z(F.col(f"tp_{lab}"), F.col(f"pp_{lab}"))
         r = z(F.col(f"tp_{lab}"), F.col(f"sup_{lab}"))
-        f1 = z(2 * p * r, p + r)
-        rows.append(F.struct(F.lit(lab).alias("label"), p.alias("precision"), r.alias("recall"),
-                             f1.alias("f1"), F.col(f"sup_{lab}").alias("support")))
-    per = c.select(F.explode(F.array(*rows)).alias("r"), "_total", "_correct").select("r.*", "_total", "_correct")
-    summary = per.groupBy().agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"),
-        F.first("_total").alias("n"), F.first("_correct").alias("k"))
-    extra = summary.select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"), z(F.col("k"), F.col("n")).alias("f1"),
-                 F.col("n").alias("support")),
-        _row("macro avg", "mp", "mr", "mf"), _row("weighted avg", "wp", "wr", "wf"))).alias("r")
-    ).select("r.*")
-    return per.drop("_total", "_correct").unionByName(extra)
+        cols += [p.alias(f"p_{lab}"), r.alias(f"r_{lab}")]
+    c = c.select("*", *cols)
+    c = c.select("*", *[z(2 * F.col(f"p_{lab}") * F.col(f"r_{lab}"), F.col(f"p_{lab}") + F.col(f"r_{lab}"))
+                        .alias(f"f_{lab}") for lab in labels])
+    n_lab = float(len(labels))
+    sup_total = sum((F.col(f"sup_{lab}") for lab in labels), F.lit(0))
+
+    def mean(m):
+        return sum((F.col(f"{m}_{lab}") for lab in labels), F.lit(0.0)) / n_lab
+
+    def weighted(m):
+        return z(sum((F.col(f"{m}_{lab}") * F.col(f"sup_{lab}") for lab in labels), F.lit(0.0)), sup_total)
+
+    def row(label, p, r, f, support):
+        return F.struct(F.lit(label).alias("label"), p.alias("precision"), r.alias("recall"),
+                        f.alias("f1"), support.cast("long").alias("support"))
+
+    none = F.lit(None).cast("double")
+    rows = [row(lab, F.col(f"p_{lab}"), F.col(f"r_{lab}"), F.col(f"f_{lab}"), F.col(f"sup_{lab}"))
+            for lab in labels]
+    rows += [row("accuracy", none, none, z(F.col("_k"), F.col("_n")), F.col("_n")),
+             row("macro avg", mean("p"), mean("r"), mean("f"), F.col("_n")),
+             row("weighted avg", weighted("p"), weighted("r"), weighted("f"), F.col("_n"))]
+    return c.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42,

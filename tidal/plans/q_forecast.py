@@ -146,11 +146,40 @@ SELECT key, period, {r6('ofr_change', 'ofr_change')}, {r6('inflation_pct', 'infl
 FROM ix WHERE period BETWEEN {HORIZONS['10'][0]} AND {HORIZONS['10'][1]}""")
 def q_forecast_horizons(spark, sf_dir):
     """Change and inflation over the next 5 and 10 periods (the 5-step set is inside the 10)."""
-    chain = horizon_chain(spark, sf_dir).select("key", "period", "ofr_change", "inflation_pct")
-    parts = {h: chain.filter(F.col("period").between(lo, hi)) for h, (lo, hi) in HORIZONS.items()}
+    return horizons_from(horizon_rows(spark, sf_dir))
+
+
+def horizon_rows(spark, sf_dir):
+    """The index chain's rows inside the forecast horizons, written once to the shared folder.
+
+    Both the horizon table and the risk components read only these rows
+    (keys x 10 periods); writing them once means the history windows, which
+    start from the raw tables, run once per query even when several
+    consumers (descriptions, upserts, risk) use them.
+    """
+    lo = min(a for a, _ in HORIZONS.values())
+    hi = max(b for _, b in HORIZONS.values())
+    chain = horizon_chain(spark, sf_dir).filter(F.col("period").between(lo, hi))
+    return materialize(chain.select("key", "period", "ofr_change", "inflation_pct"), "horizon_rows")
+
+
+def horizons_from(rows):
+    parts = {h: rows.filter(F.col("period").between(lo, hi)) for h, (lo, hi) in HORIZONS.items()}
     return rounded(reshape.tag_union(parts, "horizon"))
 
 
+def risk_from(rows):
+    comps = risk.horizon_risk(rows, HORIZONS)
+    scored = risk.risk_score(comps, horizons=tuple(HORIZONS), persist=False)
+    return rounded(scored.select("key", *[f"risk_score_{h}" for h in HORIZONS], *_HCOMP))
+
+
+def risk_and_horizons(spark, sf_dir):
+    """(risk table, horizon table) from one written set of horizon rows."""
+    rows = horizon_rows(spark, sf_dir)
+    return risk_from(rows), horizons_from(rows)
+
+
 _HCOMP = [f"{c}_{h}" for h in HORIZONS for c in risk.COMPONENTS]
 
 
@@ -185,9 +214,7 @@ def q_risk_from_horizons(spark, sf_dir):
 
     This is the reference's risk path end to end, one row per supplier.
     """
-    comps = risk.horizon_risk(horizon_chain(spark, sf_dir), HORIZONS)
-    scored = risk.risk_score(comps, horizons=tuple(HORIZONS))
-    return rounded(scored.select("key", *[f"risk_score_{h}" for h in HORIZONS], *_HCOMP))
+    return risk_from(horizon_rows(spark, sf_dir))
 
 
 # ------------------------------------------------------------- model selection

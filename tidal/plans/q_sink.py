@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidal.functions import scalar
 from tidal.operators import bands, embed, reshape, series
 from tidal.plans import sql
-from tidal.plans.q_forecast import RISK_CTE, SQL_HORIZON, q_forecast_horizons, q_risk_from_horizons
+from tidal.plans.q_forecast import RISK_CTE, SQL_HORIZON, q_forecast_horizons, risk_and_horizons
 from tidal.plans.q_text import _SQL_SENT, _sql_html_text, _sql_lines, _sql_pack, q_page_chunks, q_pack_chunks
 from tidal.plans.registry import register, rounded
 from tidal.plans.views import FUTURE, predictions
@@ -88,7 +88,7 @@ def q_describe_rows(spark, sf_dir):
 
 
 def describe_rows(spark, sf_dir):
-    risk = q_risk_from_horizons(spark, sf_dir)
+    risk, fh = risk_and_horizons(spark, sf_dir)
     no_ctx = F.lit(None).cast("string")
     b5 = scalar.risk_band(F.col("risk_score_5"), "raw")
     b10 = scalar.risk_band(F.col("risk_score_10"), "raw")
@@ -100,7 +100,6 @@ def describe_rows(spark, sf_dir):
     dim = bands.band_dimension(spark).select(
         F.lit("risk_score_intervals").alias("source_type"), F.col("band_name").alias("source_id"),
         F.col("context_meaning").alias("content")).filter(F.length(F.trim("content")) > 0)
-    fh = q_forecast_horizons(spark, sf_dir)
     f = fh.select(F.lit("forecast_metrics").alias("source_type"),
                   F.concat_ws("|", "key", F.col("period").cast("string"), "horizon").alias("source_id"),
                   embed.describe_row(no_ctx, F.concat(
