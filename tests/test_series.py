@@ -124,3 +124,38 @@ def test_impute_and_tail(spark):
     filled = {r.period: r.value for r in series.impute_series_mean(df).collect()}
     assert filled[2] == (0 + 1 + 3 + 4 + 5) / 5
     assert sorted(r.period for r in series.tail_window(df, 2).collect()) == [4, 5]
+
+
+def test_golden_anomaly_row(spark):
+    from tidal.operators.evaluate import forecast_anomalies
+    actual = {2011: 4000.0, 2012: 4780.0, 2013: 5560.0, 2014: 6360.0, 2015: 7200.0}
+    rows = [("a", y, v, 1300.0) for y, v in actual.items()]
+    pred = spark.createDataFrame(rows, "key string, period int, actual double, forecast double")
+    out = {r.period: r for r in forecast_anomalies(pred, 2011).collect()}
+    assert out[2015].last_actual == 6360.0 and out[2015].deviation == -5060.0
+
+
+def test_join_horizons_matches_single_pass(spark):
+    from tidal.operators import risk
+    rows = [("k", p, float(p % 3) - 1.0, float(p % 2)) for p in range(10)]
+    rows += [("j", p, float(p), None) for p in range(10)]
+    df = spark.createDataFrame(rows, "key string, period int, ofr_change double, inflation_pct double")
+    one = risk.horizon_risk(df, {"5": (0, 4), "10": (0, 9)})
+    parts = {h: df.filter(F.col("period").between(lo, hi)).groupBy("key").agg(*risk.risk_components(df))
+             for h, (lo, hi) in {"5": (0, 4), "10": (0, 9)}.items()}
+    two = risk.join_horizons(parts)
+    a = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in one.select(sorted(one.columns)).collect())
+    b = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in two.select(sorted(two.columns)).collect())
+    assert a == b
+
+
+def test_eval_rollup_pooled_equals_overall(spark):
+    from tidal.operators.evaluate import eval_overall, eval_rollup
+    rows = [(k, p, float(p * (i + 1)), float(p), "train" if p < 5 else "val")
+            for i, k in enumerate("abc") for p in range(10)]
+    df = spark.createDataFrame(rows, "key string, period int, actual double, forecast double, split string")
+    pooled = {r.split: (r.mae, r.rmse) for r in eval_rollup(df).filter("level = 'pooled'").collect()}
+    overall = {r.split: (r.mae, r.rmse) for r in eval_overall(df).collect()}
+    assert pooled.keys() == overall.keys()
+    for s in pooled:
+        assert all(abs(x - y) < 1e-9 for x, y in zip(pooled[s], overall[s]))

@@ -90,3 +90,20 @@ def forecast_anomalies(pred: DataFrame, eval_from: int, key: str = "key", period
                        & (F.abs(F.col(forecast) - F.col("last_actual")) > F.col("_thr")))
             .select(key, period, forecast, "last_actual",
                     (F.col(forecast) - F.col("last_actual")).alias("deviation")))
+
+
+def eval_rollup(df: DataFrame, split: str = "split", key: str = "key", actual: str = "actual",
+                forecast: str = "forecast") -> DataFrame:
+    """Per (split, key) and pooled per split metrics in one aggregation (GROUPING SETS).
+
+    ``level`` is 'key' for per-key rows and 'pooled' for the per-split rows
+    (whose ``key`` is NULL).  Partial aggregates are combined map-side, so
+    the pooled rows cost no second pass over the data.
+    """
+    err = _err(actual, forecast)
+    out = (df.filter(F.col(split).isNotNull()).rollup(split, key)
+           .agg(mae(err).alias("mae"), rmse(err).alias("rmse"), F.count(err).alias("n"),
+                F.grouping(key).alias("_gk"), F.grouping(split).alias("_gs")))
+    out = out.filter(F.col("_gs") == 0)
+    return out.select(split, key, F.when(F.col("_gk") == 1, "pooled").otherwise("key").alias("level"),
+                      "mae", "rmse", "n")

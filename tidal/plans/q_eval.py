@@ -65,6 +65,15 @@ def q_eval_overall(spark, sf_dir):
     return rounded(evaluate.eval_overall(tagged(spark, sf_dir)))
 
 
+@register("eval_rollup", SQL_TAGGED + """
+SELECT split, key, CASE WHEN grouping(key) = 1 THEN 'pooled' ELSE 'key' END AS level,
+       round(avg(abs(err)), 6) + 0.0 AS mae, round(sqrt(avg(err * err)), 6) + 0.0 AS rmse, count(err) AS n
+FROM tagged WHERE split IS NOT NULL GROUP BY GROUPING SETS ((split, key), (split))""")
+def q_eval_rollup(spark, sf_dir):
+    """Per-key and pooled metrics per split in one aggregation pass."""
+    return rounded(evaluate.eval_rollup(tagged(spark, sf_dir)))
+
+
 @register("overfit_keys", SQL_METRICS + """
 SELECT key, train_mae, val_mae FROM metrics
 WHERE train_mae IS NOT NULL AND val_mae IS NOT NULL AND train_mae * 2 < val_mae""")
