@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidal.operators import evaluate, series
 from tidal.plans import sql
 from tidal.plans.registry import register, rounded
-from tidal.plans.views import FUTURE, TEST, TRAIN, VAL, predictions
+from tidal.session import materialize
+from tidal.plans.views import FUTURE, TEST, TRAIN, VAL, predictions, shared_predictions
 
 # Evaluation splits: the test split runs through the future periods (rows
 # without an actual simply do not count), as in the reference evaluation.
@@ -85,7 +86,9 @@ def q_overfit_keys(spark, sf_dir):
 SELECT key, train_mae, val_mae FROM metrics
 WHERE train_mae IS NOT NULL AND train_mae > (SELECT quantile_cont(val_mae, 0.9) FROM metrics)""")
 def q_underfit_keys(spark, sf_dir):
-    return evaluate.underfit_flags(metrics(spark, sf_dir)).select("key", "train_mae", "val_mae")
+    """Train MAE above the 90th percentile of val MAE (the per-key table is written once)."""
+    m = materialize(metrics(spark, sf_dir), "eval_metrics")
+    return evaluate.underfit_flags(m).select("key", "train_mae", "val_mae")
 
 
 @register("forecast_anomalies", f"""WITH {sql.PREDICTIONS},
@@ -106,7 +109,7 @@ SELECT key, period, forecast, round(last_actual, 6) + 0.0 AS last_actual,
 FROM rows_ WHERE last_actual IS NOT NULL AND abs(forecast - last_actual) > thr""")
 def q_forecast_anomalies(spark, sf_dir):
     """|forecast - last actual| > 2 std over the test and future periods."""
-    return rounded(evaluate.forecast_anomalies(predictions(spark, sf_dir), TEST[0]))
+    return rounded(evaluate.forecast_anomalies(shared_predictions(spark, sf_dir), TEST[0]))
 
 
 @register("last_known", f"""WITH {sql.PREDICTIONS}

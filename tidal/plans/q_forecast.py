@@ -8,7 +8,7 @@ from tidal.functions.scalar import finite_or_null
 from tidal.operators import evaluate, forecast, reshape, risk, series
 from tidal.plans import sql
 from tidal.plans.registry import register, rounded
-from tidal.plans.views import FUTURE, TEST, TRAIN, VAL, predictions
+from tidal.plans.views import FUTURE, TEST, TRAIN, VAL, predictions, shared_predictions
 from tidal.session import materialize
 
 SPAN = TEST[1] - TRAIN[0]
@@ -55,8 +55,13 @@ lin2 AS (SELECT *, greatest(0.0, CASE WHEN coalesce(ofr <> 0, true)
                                       ELSE price0 END) AS price_forecast FROM lin)"""
 
 
+def shared_features(spark, sf_dir):
+    """Per-key feature rows written once (the forecast reads them for the median and the rows)."""
+    return materialize(feature_rows(spark, sf_dir), "feature_rows")
+
+
 def linear(spark, sf_dir):
-    return forecast.linear_forecast(feature_rows(spark, sf_dir), FUTURE[0], FUTURE[1], TEST[1], SPAN)
+    return forecast.linear_forecast(shared_features(spark, sf_dir), FUTURE[0], FUTURE[1], TEST[1], SPAN)
 
 
 @register("forecast_linear", SQL_FEATURES + f"""
@@ -78,7 +83,7 @@ SELECT e.key, e.period, {r6('e.value_ext', 'value_ext')}, {r6('coalesce(n.ofr_ne
 FROM ext e LEFT JOIN fin n ON e.key = n.key""")
 def q_extend_linear(spark, sf_dir):
     """Extrapolated values plus the feature row replaced by the final-horizon forecast."""
-    out = forecast.extend_linear(feature_rows(spark, sf_dir), FUTURE[0], FUTURE[1], TEST[1], SPAN)
+    out = forecast.extend_linear(shared_features(spark, sf_dir), FUTURE[0], FUTURE[1], TEST[1], SPAN)
     return rounded(out)
 
 
@@ -93,8 +98,8 @@ SELECT l.key, l.period,
 FROM lin2 l JOIN base b ON l.key = b.key JOIN med m ON l.period = m.period""")
 def q_rebased_price(spark, sf_dir):
     """P0 * (1 + beta * (OFR_t - OFR0) / OFR0) with median-filled bases; NULL ratio -> 0."""
-    lin = linear(spark, sf_dir)
-    feats = feature_rows(spark, sf_dir)
+    feats = shared_features(spark, sf_dir)
+    lin = forecast.linear_forecast(feats, FUTURE[0], FUTURE[1], TEST[1], SPAN)
     meds = feats.agg(F.median(finite_or_null(F.col("ofr"))).alias("_mo"))
     base = (feats.crossJoin(F.broadcast(meds))
             .select("key", F.nullif(F.coalesce(finite_or_null(F.col("ofr")), F.col("_mo")), F.lit(0.0))
@@ -228,7 +233,7 @@ def simple_candidates(spark, sf_dir):
     val MAE is kept at 1e-9 resolution so that equal models tie exactly and
     the list position decides, whatever order partial sums were added in.
     """
-    p = predictions(spark, sf_dir)
+    p = shared_predictions(spark, sf_dir)
     train = series.impute_series_mean(
         p.filter(F.col("period") <= TRAIN[1]).select("key", "period", F.col("actual").alias("value")))
     val = p.filter(F.col("period").between(*VAL) & F.col("actual").isNotNull()).select("key", "period", "actual")
@@ -305,23 +310,23 @@ def q_choose_order_best(spark, sf_dir):
 
 # ------------------------------------------------------------- ARIMA (rows-only)
 
-def arima_candidate_table(spark, sf_dir):
+def arima_candidate_table(spark, sf_dir, p=None):
     """ARIMA fits and forecasts of every candidate, written once to the shared checkpoint folder.
 
     The Python fits are the expensive step and both the selection and the
     final metrics read them, so they are computed once and kept on shared
     storage (safe against executor loss) rather than recomputed per branch.
     """
-    p = predictions(spark, sf_dir)
+    p = predictions(spark, sf_dir) if p is None else p
     train = series.impute_series_mean(
         p.filter(F.col("period") <= TRAIN[1]).select("key", "period", F.col("actual").alias("value")))
     steps = TEST[1] - VAL[0] + 1
     return materialize(forecast.fit_candidates(train, VAL[0], steps), "arima_candidates")
 
 
-def candidate_maes(cands, spark, sf_dir):
+def candidate_maes(cands, p):
     fc = cands.filter(F.col("kind") == "fc")
-    val = predictions(spark, sf_dir).filter(F.col("period").between(*VAL) & F.col("actual").isNotNull())
+    val = p.filter(F.col("period").between(*VAL) & F.col("actual").isNotNull())
     j = fc.join(val.select("key", "period", "actual"), ["key", "period"])
     return (j.groupBy("key", "train_window", "order_idx", "p", "q")
             .agg(F.avg(F.abs(F.col("actual") - F.col("forecast"))).alias("val_mae"))
@@ -331,17 +336,19 @@ def candidate_maes(cands, spark, sf_dir):
 @register("arima_candidates")
 def q_arima_candidates(spark, sf_dir):
     """Validation MAE of every (window, order) ARIMA candidate per key."""
-    return candidate_maes(arima_candidate_table(spark, sf_dir), spark, sf_dir)
+    p = shared_predictions(spark, sf_dir)
+    return candidate_maes(arima_candidate_table(spark, sf_dir, p), p)
 
 
 @register("backtest")
 def q_backtest(spark, sf_dir):
     """Window choice -> order choice -> val / test metrics (rounded to 4) per key."""
-    cands = arima_candidate_table(spark, sf_dir)
-    maes = candidate_maes(cands, spark, sf_dir)
+    p = shared_predictions(spark, sf_dir)
+    cands = arima_candidate_table(spark, sf_dir, p)
+    maes = candidate_maes(cands, p)
     chosen = forecast.choose_order(maes.join(forecast.choose_window(maes), ["key", "train_window"]), "simple")
     rows = (cands.join(chosen.select("key", "train_window", "order_idx"), ["key", "train_window", "order_idx"])
-            .join(predictions(spark, sf_dir).select("key", "period", "actual"), ["key", "period"]))
+            .join(p.select("key", "period", "actual"), ["key", "period"]))
     rows = rows.withColumn("split", F.when(F.col("kind") == "fit", "train")
                            .when(F.col("period") <= VAL[1], "val").otherwise("test"))
     m = evaluate.eval_by_split(rows)

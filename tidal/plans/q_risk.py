@@ -8,6 +8,7 @@ from tidal.operators import risk, series
 from tidal.plans import sql
 from tidal.plans.registry import register, rounded
 from tidal.plans.views import nation_month
+from tidal.session import materialize
 from tidal.sources.tables import read_table
 
 _COMP = [f"{c}_{h}" for h in (5, 10) for c in risk.COMPONENTS]
@@ -68,7 +69,7 @@ def q_risk_components(spark, sf_dir):
 SELECT key, {', '.join(f'round({_sql_norm(c)}, 6) + 0.0 AS norm_{c}' for c in _COMP)} FROM comp""")
 def q_minmax_norm(spark, sf_dir):
     chain = series.index_chain(nation_month(spark, sf_dir))
-    normed = risk.min_max_norm(risk.tail_risk(chain), _COMP)
+    normed = risk.min_max_norm(materialize(risk.tail_risk(chain), "risk_components"), _COMP)
     return rounded(normed.select("key", *[f"norm_{c}" for c in _COMP]))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidal.operators import reshape, series
 from tidal.plans import sql
 from tidal.plans.registry import register, rounded
-from tidal.plans.views import (FUTURE, TEST, TRAIN, VAL, predictions, split_of, supplier_month,
-                               supplier_month_zero)
+from tidal.plans.views import (FUTURE, TEST, TRAIN, VAL, predictions, shared_predictions, split_of,
+                               supplier_month, supplier_month_zero)
 from tidal.sources.tables import read_table
 
 W_KP = "OVER (PARTITION BY key ORDER BY period)"
@@ -250,7 +250,7 @@ filled AS (SELECT p.key, p.period, coalesce(p.actual, m.med) AS actual_filled
 
 def median_filled(spark, sf_dir):
     """Per-period exact median over keys replaces NULL (one aggregate + join on period)."""
-    p = predictions(spark, sf_dir)
+    p = shared_predictions(spark, sf_dir)
     med = p.groupBy("period").agg(F.median("actual").alias("med"))
     return (p.join(med, "period")
             .select("key", "period", F.coalesce("actual", "med").alias("actual_filled")))

@@ -110,3 +110,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("period") <= TEST[1], F.col("value")).alias("actual"),
                     F.when(is_train, F.lag("_imp").over(ordered)).otherwise(last_train)
                     .alias("forecast")))
+
+
+def shared_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``predictions`` written once to the shared checkpoint folder.
+
+    For queries that read the prediction grid more than once (statistics and
+    rows, train and validation, candidates and actuals): one scan of the raw
+    tables and one small written table (keys x 76 periods) instead of a
+    rescan of ``lineitem`` per branch.
+    """
+    from tidal.session import materialize
+    return materialize(predictions(spark, sf_dir), "predictions")
