@@ -318,8 +318,13 @@ def arima_candidate_table(spark, sf_dir, p=None):
     storage (safe against executor loss) rather than recomputed per branch.
     """
     p = predictions(spark, sf_dir) if p is None else p
-    train = series.impute_series_mean(
-        p.filter(F.col("period") <= TRAIN[1]).select("key", "period", F.col("actual").alias("value")))
+    # Key partitioning with an explicit count: AQE does not merge it (the
+    # input is small in bytes but the fits are CPU-heavy), and both the
+    # imputation window and the grouped map reuse it without another exchange.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    raw = (p.filter(F.col("period") <= TRAIN[1])
+           .select("key", "period", F.col("actual").alias("value")).repartition(n, "key"))
+    train = series.impute_series_mean(raw)
     steps = TEST[1] - VAL[0] + 1
     return materialize(forecast.fit_candidates(train, VAL[0], steps), "arima_candidates")
 
