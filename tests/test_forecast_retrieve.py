@@ -73,3 +73,28 @@ def test_lsh_recall_vs_exact(spark):
     exact = {(r.qid, r.vec_id) for r in retrieve.knn(emb, q, 5, "cosine").collect()}
     approx = {(r.qid, r.vec_id) for r in knn_lsh(emb, q, 5).collect()}
     assert len(exact & approx) / len(exact) >= 0.8
+
+
+def test_pluggable_embedder_batches(spark):
+    from tidal.operators import embed
+    calls = []
+
+    def toy(texts):
+        calls.append(len(texts))
+        return [[float(len(t)), float(t.count("a"))] for t in texts]
+
+    df = spark.range(0, 300).select(F.col("id"), F.concat(F.lit("a" * 3), F.col("id").cast("string")).alias("content"))
+    out = embed.embed_with(df.coalesce(1), toy, batch=96).orderBy("id").collect()
+    assert len(out) == 300 and list(out[0].embedding) == [4.0, 3.0]
+
+
+def test_regressor_save_and_report(spark, tmp_path):
+    from tidal.operators import ml
+    rows = [(float(i), float(i % 7), float(2 * i + 1), "train" if i < 80 else "test") for i in range(100)]
+    df = spark.createDataFrame(rows, "f0 double, f1 double, target double, split string")
+    model, pred = ml.train_price_regressor(df, ["f0", "f1"], max_depth=4)
+    rep = ml.regression_report(pred)
+    ml.save_model_and_report(model, rep, str(tmp_path / "m"))
+    from pyspark.ml.regression import RandomForestRegressionModel
+    assert RandomForestRegressionModel.load(str(tmp_path / "m" / "model")).getNumTrees == ml.N_TREES
+    assert spark.read.json(str(tmp_path / "m" / "report")).count() == 2

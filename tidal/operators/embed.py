@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EMBED_BATCH = 96       # texts per embedder call
 HASH_FEATURES = 1024   # vector width of the built-in embedder
@@ -38,7 +39,7 @@ def embed_hashing(df: DataFrame, text_col: str = "content", out: str = "embeddin
 def embed_with(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
                text_col: str = "content", out: str = "embedding", batch: int = EMBED_BATCH) -> DataFrame:
     """Apply ``embedder`` to texts in batches of ``batch`` inside ``mapInPandas``."""
-    schema = df.schema.add(out, "array<float>")
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:

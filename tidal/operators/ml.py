@@ -66,3 +66,13 @@ def accuracy_report(pred: DataFrame, label: str = "band", split: str = "split")
     return pred.groupBy(split).agg(F.avg(ok.cast("double")).alias("accuracy"),
                                    (F.count(F.lit(1)) - F.sum(ok)).alias("errors"),
                                    F.count(F.lit(1)).alias("n"))
+
+
+def save_model_and_report(model, report: DataFrame, path: str) -> None:
+    """Persist a fitted model and its metrics report (JSON lines) under ``path``.
+
+    ``path`` should be on shared storage (for example under the session's
+    ``spark.checkpoint.dir``); both writes are distributed Spark writes.
+    """
+    model.write().overwrite().save(f"{path.rstrip('/')}/model")
+    report.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/report")

@@ -61,10 +61,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
-        return current
+        # the context's folder (set by this function earlier in the session)
+        return current.rsplit("/", 1)[0] if current.rstrip("/").count("/") > 1 else current
     local = tempfile.mkdtemp(prefix="tidal-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # noqa: BLE001 - a read-only config; the context setting suffices
+        pass
     return local
 
 
