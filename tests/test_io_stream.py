@@ -99,3 +99,14 @@ def test_streaming_upsert(spark):
     q.awaitTermination(120)
     out = sorted(tuple(r)[:3] for r in spark.read.parquet(io.latest_version(spark, table)).collect())
     assert out == [("a", 1, 9.0), ("b", 1, 2.0)]
+
+
+def test_split_partitions_are_pruned(spark):
+    from tidal.operators.evaluate import SPLIT_NAMES
+    df = spark.createDataFrame([("a", i, float(i), SPLIT_NAMES[i % 3]) for i in range(30)],
+                               "key string, period int, value double, split string")
+    out = f"{_tmp()}/splits"
+    io.write_splits(df, out)
+    val = spark.read.parquet(out).filter(F.col("split") == "val")
+    plan = val._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and val.count() == 10

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidal.functions import scalar
 from tidal.plans import sql
 from tidal.plans.registry import register, rounded
-from tidal.plans.views import month_index, supplier_month
+from tidal.operators import series
+from tidal.plans.views import month_index, supplier_month, supplier_month_zero
 from tidal.sources.tables import read_table
 
 WS = scalar.WS
@@ -43,17 +44,11 @@ c AS (SELECT key, period, CASE WHEN lag(ofr) OVER (PARTITION BY key ORDER BY per
 SELECT key, period, round(CASE WHEN isfinite(chg) THEN chg END, 6) + 0.0 AS chg_finite FROM c""")
 def q_finite_or_null(spark, sf_dir):
     """Percent changes with x/0 = +-inf, then +-inf / NaN turned into NULL."""
-    from tidal.operators import series
-    df = series.relative_index(supplier_month_zero_(spark, sf_dir), "value", "ofr", zero="keep")
+    df = series.relative_index(supplier_month_zero(spark, sf_dir), "value", "ofr", zero="keep")
     df = series.pct_change(df, "ofr", "chg", zero="keep")
     return rounded(df.select("key", "period", scalar.finite_or_null(F.col("chg")).alias("chg_finite")))
 
 
-def supplier_month_zero_(spark, sf_dir):
-    from tidal.plans.views import supplier_month_zero
-    return supplier_month_zero(spark, sf_dir)
-
-
 @register("clean_observations", f"""WITH raw AS (
   SELECT event_id, event_type AS key, CAST((year(ts) - 1995) * 12 + month(ts) - 1 AS INTEGER) AS period,
          {_sql_to_numeric("json_extract_string(props, '$.k')")} AS value

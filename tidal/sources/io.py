@@ -120,3 +120,12 @@ def upsert_table(spark: SparkSession, base: str, batch: DataFrame, keys: list[st
     out = f"{base.rstrip('/')}/v={n:06d}"
     merged.write.mode("errorifexists").parquet(out)
     return out
+
+
+def write_splits(df: DataFrame, path: str, split: str = "split", mode: str = "overwrite") -> None:
+    """Write a split-tagged table partitioned by split folder.
+
+    Readers filtering on the split then prune whole folders
+    (``PartitionFilters`` in the scan) instead of reading every file.
+    """
+    df.write.mode(mode).partitionBy(split).parquet(path)
