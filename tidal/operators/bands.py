@@ -50,9 +50,9 @@ def band_for_score(df: DataFrame, score: str, bands: DataFrame, prefix: str = ""
     The dimension has three rows, so the non-equi join is a broadcast
     nested-loop join whose cost is three comparisons per row.
     """
-    top = bands.agg(F.max("sort_order").alias("_top"))
-    b = bands.crossJoin(top).select(*[F.col(c).alias(prefix + c) for c in bands.columns],
-                                    (F.col("sort_order") == F.col("_top")).alias("_is_top"))
+    top = bands.agg(F.max("sort_order")).scalar()
+    b = bands.select(*[F.col(c).alias(prefix + c) for c in bands.columns],
+                     (F.col("sort_order") == top).alias("_is_top"))
     s = F.col(score)
     cond = (s >= F.col(prefix + "min_score")) & (
         (s < F.col(prefix + "max_score")) | (F.col("_is_top") & (s <= F.col(prefix + "max_score"))))

@@ -1,8 +1,8 @@
 """Forecast evaluation: error metrics, fit flags and anomalies.
 
 Per-key metrics are conditional aggregates in one ``groupBy(key)``; pooled
-metrics and thresholds (90th percentile, global std) are one-row aggregates
-broadcast back, never an un-partitioned window.
+metrics and thresholds (90th percentile, global std) are one-row scalar
+subqueries, never an un-partitioned window.
 """
 
 from __future__ import annotations
@@ -55,9 +55,8 @@ def overfit_flags(metrics: DataFrame, train: str = "train_mae", val: str = "val_
 def underfit_flags(metrics: DataFrame, train: str = "train_mae", val: str = "val_mae",
                    q: float = 0.9) -> DataFrame:
     """Keys whose train error exceeds the q-quantile (exact, interpolated) of val errors."""
-    thr = metrics.agg(F.percentile(F.col(val), q).alias("_thr"))
-    return (metrics.crossJoin(F.broadcast(thr))
-            .filter(F.col(train).isNotNull() & (F.col(train) > F.col("_thr"))).drop("_thr"))
+    thr = metrics.agg(F.percentile(F.col(val), q)).scalar()
+    return metrics.filter(F.col(train).isNotNull() & (F.col(train) > thr))
 
 
 def forecast_anomalies(pred: DataFrame, eval_from: int, key: str = "key", period: str = "period",
@@ -75,15 +74,15 @@ def forecast_anomalies(pred: DataFrame, eval_from: int, key: str = "key", period
     stats = pred.groupBy(key).agg(
         F.stddev_pop(actual).alias("_sd"), F.count(F.lit(1)).alias("_n"),
         F.max_by(F.col(actual), F.when(F.col(actual).isNotNull(), F.col(period))).alias("_known"))
-    glob = pred.agg(F.stddev_pop(actual).alias("_gsd"))
-    g = F.when(F.col("_gsd") == 0, F.lit(1.0)).otherwise(F.col("_gsd"))
+    gsd = pred.agg(F.stddev_pop(actual)).scalar()
+    g = F.when(gsd == 0, F.lit(1.0)).otherwise(gsd)
     sd = F.when((F.col("_n") <= 1) | (F.col("_sd") == 0), g).otherwise(F.col("_sd"))
     rows = (pred.withColumn("_prev", F.when(prev_is_adjacent, F.lag(actual).over(w)))
             .withColumn("_has_prev", F.coalesce(prev_is_adjacent, F.lit(False)))
             .filter(F.col(period) >= eval_from))
     last = F.coalesce(F.when(F.col("_has_prev"), F.col("_prev")).otherwise(F.col(actual)),
                       F.col("_known"))
-    out = (rows.join(stats, key).crossJoin(F.broadcast(glob))
+    out = (rows.join(stats, key)
            .withColumn("last_actual", last)
            .withColumn("_thr", sd * k))
     return (out.filter(F.col("last_actual").isNotNull()

@@ -41,9 +41,9 @@ def linear_forecast(features: DataFrame, horizon_from: int, horizon_to: int, las
     -> ofr; OFR slope = ofr * slope / c_last unless either is 0;
     ofr_t = max(0, ofr + slope_ofr * h); price_t = max(0, P (1 + beta (ofr_t - ofr) / ofr)).
     """
-    med = features.agg(F.median(finite_or_null(F.col("price"))).alias("_med"))
-    f = features.crossJoin(F.broadcast(med))
-    price = F.coalesce(finite_or_null(F.col("price")), F.col("_med"))
+    med = features.agg(F.median(finite_or_null(F.col("price")))).scalar()
+    f = features
+    price = F.coalesce(finite_or_null(F.col("price")), med)
     ofr = F.col("ofr")
     c1 = F.coalesce(F.col("c_first"), F.lit(0.0))
     c2 = F.coalesce(F.col("c_last"), ofr)

@@ -1,7 +1,7 @@
 """Risk components, min-max normalisation and the combined risk score.
 
 Everything is one ``groupBy(key)`` (partial aggregation before the shuffle)
-plus global scalars computed as a one-row aggregate and broadcast; no
+plus global scalars computed as one-row scalar subqueries; no
 un-partitioned window is ever used, so no single task sees all keys.
 """
 
@@ -48,19 +48,20 @@ def risk_components(df: DataFrame, key: str = "key", period: str = "period",
 def min_max_norm(df: DataFrame, cols: list[str], prefix: str = "norm_") -> DataFrame:
     """(x - min) / (max - min) over all rows; a constant or all-NULL column gives 0.5.
 
-    The extremes come from one global aggregate (a single tiny row) that is
-    broadcast back; this stays a map-side projection at any scale.
+    The extremes are one global aggregate evaluated as a scalar subquery (a
+    single row computed once and passed to every task as a value), so the
+    normalisation itself is a plain projection at any scale.
     """
-    stats = df.agg(*[F.min(c).alias(f"__mn_{c}") for c in cols],
-                   *[F.max(c).alias(f"__mx_{c}") for c in cols])
-    joined = df.crossJoin(F.broadcast(stats))
+    stats = df.agg(F.struct(*[F.min(c).alias(f"mn_{c}") for c in cols],
+                            *[F.max(c).alias(f"mx_{c}") for c in cols]).alias("s")).scalar()
+    out = df
     for c in cols:
-        mn, mx = F.col(f"__mn_{c}"), F.col(f"__mx_{c}")
-        joined = joined.withColumn(
+        mn, mx = stats[f"mn_{c}"], stats[f"mx_{c}"]
+        out = out.withColumn(
             f"{prefix}{c}",
             F.when(mn.isNull() | mx.isNull() | (mx == mn), F.lit(0.5))
             .otherwise((F.col(c) - mn) / (mx - mn)))
-    return joined.drop(*[f"__mn_{c}" for c in cols], *[f"__mx_{c}" for c in cols])
+    return out
 
 
 def risk_score(components: DataFrame, horizons=("5", "10"), digits: int = 6,

@@ -100,10 +100,9 @@ def q_rebased_price(spark, sf_dir):
     """P0 * (1 + beta * (OFR_t - OFR0) / OFR0) with median-filled bases; NULL ratio -> 0."""
     feats = shared_features(spark, sf_dir)
     lin = forecast.linear_forecast(feats, FUTURE[0], FUTURE[1], TEST[1], SPAN)
-    meds = feats.agg(F.median(finite_or_null(F.col("ofr"))).alias("_mo"))
-    base = (feats.crossJoin(F.broadcast(meds))
-            .select("key", F.nullif(F.coalesce(finite_or_null(F.col("ofr")), F.col("_mo")), F.lit(0.0))
-                    .alias("ofr0")))
+    med_ofr = feats.agg(F.median(finite_or_null(F.col("ofr")))).scalar()
+    base = feats.select("key", F.nullif(F.coalesce(finite_or_null(F.col("ofr")), med_ofr), F.lit(0.0))
+                        .alias("ofr0"))
     per_med = lin.groupBy("period").agg(F.median("ofr_forecast").alias("_m"))
     df = (lin.join(base, "key").join(per_med, "period")
           .withColumn("price_rebased", series.rebased_price(
