@@ -74,7 +74,7 @@ def forecast_anomalies(pred: DataFrame, eval_from: int, key: str = "key", period
     stats = pred.groupBy(key).agg(
         F.stddev_pop(actual).alias("_sd"), F.count(F.lit(1)).alias("_n"),
         F.max_by(F.col(actual), F.when(F.col(actual).isNotNull(), F.col(period))).alias("_known"))
-    gsd = pred.agg(F.stddev_pop(actual)).scalar()
+    gsd = F.col("_gsd")
     g = F.when(gsd == 0, F.lit(1.0)).otherwise(gsd)
     sd = F.when((F.col("_n") <= 1) | (F.col("_sd") == 0), g).otherwise(F.col("_sd"))
     rows = (pred.withColumn("_prev", F.when(prev_is_adjacent, F.lag(actual).over(w)))
@@ -83,6 +83,7 @@ def forecast_anomalies(pred: DataFrame, eval_from: int, key: str = "key", period
     last = F.coalesce(F.when(F.col("_has_prev"), F.col("_prev")).otherwise(F.col(actual)),
                       F.col("_known"))
     out = (rows.join(stats, key)
+           .withColumn("_gsd", pred.agg(F.stddev_pop(actual)).scalar())
            .withColumn("last_actual", last)
            .withColumn("_thr", sd * k))
     return (out.filter(F.col("last_actual").isNotNull()

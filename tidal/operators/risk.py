@@ -54,14 +54,15 @@ def min_max_norm(df: DataFrame, cols: list[str], prefix: str = "norm_") -> DataF
     """
     stats = df.agg(F.struct(*[F.min(c).alias(f"mn_{c}") for c in cols],
                             *[F.max(c).alias(f"mx_{c}") for c in cols]).alias("s")).scalar()
-    out = df
+    # evaluate the subquery once into a column; fields are read from that column
+    out = df.withColumn("_stats", stats)
     for c in cols:
-        mn, mx = stats[f"mn_{c}"], stats[f"mx_{c}"]
+        mn, mx = F.col(f"_stats.mn_{c}"), F.col(f"_stats.mx_{c}")
         out = out.withColumn(
             f"{prefix}{c}",
             F.when(mn.isNull() | mx.isNull() | (mx == mn), F.lit(0.5))
             .otherwise((F.col(c) - mn) / (mx - mn)))
-    return out
+    return out.drop("_stats")
 
 
 def risk_score(components: DataFrame, horizons=("5", "10"), digits: int = 6,
