@@ -6,9 +6,14 @@ settings that are unset, so a cluster's own configuration always wins.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,26 +55,41 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session.
+
+    Python tasks refer to its modules by name, so workers must be able to
+    import them wherever they run and whatever their working folder is.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tidal_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tidal-ship-")) / "tidal_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    sc.addPyFile(str(target))  # served to the executors by the driver
+    sc._tidal_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) is a scratch folder made.
+    Where none is named, a session whose tasks all run inside the driver's own
+    process (``local[...]``) gets a scratch folder; on a cluster a folder of one
+    machine would lose data, so the missing setting is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        # the context's folder (set by this function earlier in the session)
-        return current.rsplit("/", 1)[0] if current.rstrip("/").count("/") > 1 else current
-    local = tempfile.mkdtemp(prefix="tidal-ckpt-")
-    spark.sparkContext.setCheckpointDir(local)
-    try:
-        spark.conf.set("spark.checkpoint.dir", local)
-    except Exception:  # noqa: BLE001 - a read-only config; the context setting suffices
-        pass
-    return local
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_tidal_dir", None)
+    if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = sc._tidal_dir = tempfile.mkdtemp(prefix="tidal-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
