@@ -3,7 +3,7 @@
 One dictionary is trained on ordinary text, the other on toxic text.  Each
 window of a text, a word between spaces, is compressed with both; a window that
 the toxic dictionary makes shorter speaks for toxicity.  The differences of a
-text are turned into a score by thresholds calibrated on the labelled rows.
+text are turned into a score that is calibrated on the labelled rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidal.llm.common import batch, filled, held_out, map_arrow, steps, words
@@ -27,8 +27,8 @@ WINDOW = 64
 TIMES = 4
 #: Lengths of the segments that a dictionary is made of.
 SEGMENTS = (5, 6, 7, 8)
-#: Windows with at least this difference are counted besides the largest difference.
-CLEAR = 3
+#: Windows with at least these differences are counted besides the largest difference.
+CLEAR = (3, 4, 5)
 _PARAMS = {"window_log": 14, "hash_log": 14, "chain_log": 14, "search_log": 6, "min_match": 5, "target_length": 64,
            "strategy": zstandard.STRATEGY_LAZY2}
 
@@ -149,9 +149,10 @@ class Compressors:
 
 
 def evidence(docs: DataFrame, compressors: Compressors, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, mark: largest difference over a text's windows times 4, plus the clear windows, at most 3."""
+    """doc_id, n, most, c3, c4, c5: a text's windows, their largest difference, and how many reach each of CLEAR."""
     shared = docs.sparkSession.sparkContext.broadcast(compressors)  # a few thousand bytes
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("most", pa.int32()),
+                        *((f"c{c}", pa.int64()) for c in CLEAR)])
 
     def run(batches):
         for part in steps(batches, 1, 4 << 20):
@@ -160,26 +161,37 @@ def evidence(docs: DataFrame, compressors: Compressors, doc_id: str = "doc_id",
             coded = each.dictionary_encode()
             diff = shared.value.differences(coded.dictionary.cast(pa.binary()).to_pylist())
             diff = diff[coded.indices.to_numpy(zero_copy_only=False)] if len(each) else np.zeros(0, np.int32)
-            most = np.zeros(n, np.int64)
+            most = np.zeros(n, np.int32)
             np.maximum.at(most, row, diff)
-            clear = np.minimum(3, np.bincount(row, weights=diff >= CLEAR, minlength=n).astype(np.int64))
-            yield batch(schema, part.column(0), (np.minimum(most, 400) * 4 + clear).astype(np.int32))
+            yield batch(schema, part.column(0), np.bincount(row, minlength=n), most,
+                        *(np.bincount(row, weights=diff >= c, minlength=n).astype(np.int64) for c in CLEAR))
 
     cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_arrow(cols, run, "doc_id long, mark int")
-
-
-def calibrate(counts: dict[int, tuple[int, int]], prior: float = 0.5) -> list[tuple[int, float]]:
-    """(mark, score) steps that rise with the mark: rates pooled until none falls, pulled to ``prior`` by one row."""
-    blocks: list[list[float]] = []  # first mark, toxic, all
-    for mark in sorted(counts):
-        ordinary, toxic = counts[mark]
-        blocks.append([mark, toxic + prior, toxic + ordinary + 1])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-            _, t, n = blocks.pop()
-            blocks[-1][1] += t - prior
-            blocks[-1][2] += n - 1
-    return [(int(m), t / n) for m, t, n in blocks]
+    return map_arrow(cols, run, "doc_id long, n long, most int, " + ", ".join(f"c{c} long" for c in CLEAR))
+
+
+def features() -> list[Column]:
+    """Largest difference, and the clear windows by number and by share, on scales with an end."""
+    n = F.greatest("n", F.lit(1))
+    return [F.least("most", F.lit(10)).cast("double"),
+            *(F.least(F.log1p(F.col(f"c{c}").cast("double")), F.lit(4.0)) for c in CLEAR),
+            *(F.log1p(200.0 * F.col(f"c{c}") / n) for c in CLEAR)]
+
+
+def calibrate(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic weights, the constant first, by Newton steps with a slight pull to zero."""
+    x = np.c_[np.ones(len(x)), x]
+    pull = np.eye(x.shape[1])
+    pull[0, 0] = 1e-6
+    b = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + pull
+        step = np.linalg.solve(bend, x.T @ (weight * (toxic - p)) - pull @ b)
+        b = b + np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-9:
+            break
+    return b
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = 2000,
@@ -191,7 +203,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_row
     least hash among those of at most ``fit_bytes`` bytes (the stated bound of
     the sample); the calibration covers all labelled rows, and every window of
     every text is scored.  Null and empty texts have no windows and get the
-    score of the lowest mark.  Labels other than 0 and 1 and null ids teach
+    score of a text without evidence.  Labels other than 0 and 1 and null ids teach
     nothing; an id with labels of both kinds counts as toxic; without both
     classes the score is the share of toxic labels seen (0.5 without any).
     Repeated rows are scored each; an empty table gives no rows.
@@ -213,13 +225,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_row
     for r in rows:
         texts[r["toxic"]].append(r["text"].encode().lower())
     marks = materialize(evidence(docs, Compressors(*train(texts[1], texts[0])), doc_id, text), "toxicity-marks")
-    seen: dict[int, list[int]] = {}
-    for r in (marks.join(known, marks["doc_id"] == known["id"]).groupBy("mark", "toxic").count()).collect():
-        seen.setdefault(r["mark"], [0, 0])[r["toxic"]] = r["count"]  # one row per mark: at most 1604 marks
-    scale = calibrate({m: (a, b) for m, (a, b) in seen.items()})
-    score = F.lit(scale[0][1] if scale else 0.5)
-    for mark, s in scale[1:]:
-        score = F.when(F.col("mark") >= mark, F.lit(s)).otherwise(score)
+    # labelled rows in cells of a grid: a bounded number at any number of rows
+    grid = [F.round(f * 4).cast("int").alias(f"f{i}") for i, f in enumerate(features())]
+    cells = marks.join(known, marks["doc_id"] == known["id"]).groupBy("toxic", *grid).count().collect()
+    seen = [sum(r["count"] for r in cells if r["toxic"] == t) for t in (0, 1)]
+    if all(seen):
+        x = np.array([[r[f"f{i}"] / 4 for i in range(len(grid))] for r in cells])
+        b = calibrate(x, np.array([r["toxic"] for r in cells]), np.array([r["count"] for r in cells], float))
+        line = F.lit(float(b[0]))
+        for f, w in zip(features(), b[1:]):
+            line = line + f * float(w)
+        score = 1 / (1 + F.exp(-line))
+    else:
+        score = F.lit(seen[1] / sum(seen) if sum(seen) else 0.5)
     return (marks.withColumn("score", score)
             .select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score",
                     (F.col("score") >= threshold).cast("int").alias("predicted")))
