@@ -2,14 +2,14 @@ import zlib
 
 import numpy as np
 
-from tests.conftest import SF_CHECK
+from tests.conftest import SF_BENCH
 from tests.llm.conftest import rows
 from tidal.llm import toxicity
 
 
 def test_held_out_labels(spark):
-    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")  # 33 toxic texts to learn from
-    labels = spark.read.parquet(f"{SF_CHECK}/labels.parquet")
+    docs = spark.read.parquet(f"{SF_BENCH}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_BENCH}/labels.parquet")
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     out = toxicity.toxicity(docs, labels).collect()
     assert len(out) == docs.count()
@@ -18,7 +18,7 @@ def test_held_out_labels(spark):
     held = [(r["predicted"], truth[r["doc_id"]]) for r in out if r["held_out"] and truth.get(r["doc_id"]) in (0, 1)]
     caught = [p for p, t in held if t]
     clean = [p for p, t in held if not t]
-    assert sum(caught) >= 0.6 * len(caught) and sum(clean) <= 0.05 * len(clean)
+    assert sum(caught) >= 0.6 * len(caught) and sum(clean) <= 0.01 * len(clean)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out)
 
 

@@ -181,7 +181,7 @@ def features() -> list[Column]:
 def calibrate(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Logistic weights, the constant first, by Newton steps with a slight pull to zero."""
     x = np.c_[np.ones(len(x)), x]
-    pull = np.eye(x.shape[1])
+    pull = np.eye(x.shape[1]) * 0.1
     pull[0, 0] = 1e-6
     b = np.zeros(x.shape[1])
     for _ in range(30):
@@ -226,11 +226,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_row
         texts[r["toxic"]].append(r["text"].encode().lower())
     marks = materialize(evidence(docs, Compressors(*train(texts[1], texts[0])), doc_id, text), "toxicity-marks")
     # labelled rows in cells of a grid: a bounded number at any number of rows
-    grid = [F.round(f * 4).cast("int").alias(f"f{i}") for i, f in enumerate(features())]
+    grid = [F.round(f * 8).cast("int").alias(f"f{i}") for i, f in enumerate(features())]
     cells = marks.join(known, marks["doc_id"] == known["id"]).groupBy("toxic", *grid).count().collect()
     seen = [sum(r["count"] for r in cells if r["toxic"] == t) for t in (0, 1)]
     if all(seen):
-        x = np.array([[r[f"f{i}"] / 4 for i in range(len(grid))] for r in cells])
+        x = np.array([[r[f"f{i}"] / 8 for i in range(len(grid))] for r in cells])
         b = calibrate(x, np.array([r["toxic"] for r in cells]), np.array([r["count"] for r in cells], float))
         line = F.lit(float(b[0]))
         for f, w in zip(features(), b[1:]):
