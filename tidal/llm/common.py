@@ -139,6 +139,12 @@ class WindowHash:
         return mixed((self.sums[width:] - self.sums[:n - width + 1]) * type(self)._inv[:n - width + 1])
 
 
+def word_keys(distinct: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string."""
+    buf, off = text_bytes(distinct)
+    return WindowHash(buf).of(off[:-1], off[1:])
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type, from_pandas=False) for c, f in zip(columns, schema)],

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidal.llm.common import WindowHash, batch, filled, held_out, map_arrow, mixed, steps, text_bytes, words
+from tidal.llm.common import batch, filled, held_out, map_arrow, mixed, steps, text_bytes, word_keys, words
 from tidal.session import materialize
 
 #: Bytes of context, at most 6 (a context and its symbol are packed into 56 bits).
@@ -153,11 +153,6 @@ def _codes(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return code[at], np.repeat(np.arange(n), size)
 
 
-def _word_keys(distinct: pa.Array) -> np.ndarray:
-    buf, off = text_bytes(distinct)
-    return WindowHash(buf).of(off[:-1], off[1:])
-
-
 def _gather(texts: DataFrame, order: int) -> DataFrame:
     """kind, key, n: counts of words (0) and of contexts with their symbols (1) over all texts."""
     schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
@@ -187,7 +182,7 @@ def _gather(texts: DataFrame, order: int) -> DataFrame:
         for part in steps(batches, 0, 2 << 20):
             each, _ = words(pc.ascii_lower(filled(part.column(0))))
             coded = each.dictionary_encode()
-            held[0].append((_word_keys(coded.dictionary),
+            held[0].append((word_keys(coded.dictionary),
                             np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))))
             code, _ = _codes(part.column(0), order)
             held[1].append(np.unique(code, return_counts=True))
@@ -269,7 +264,7 @@ def score(docs: DataFrame, order: int = ORDER, max_pairs: int = MAX_PAIRS, head:
             lm = np.bincount(row, weights=trie.score(code), minlength=n)
             each, row = words(pc.ascii_lower(filled(some.column(1))))
             coded = each.dictionary_encode()
-            keys = _word_keys(coded.dictionary)
+            keys = word_keys(coded.dictionary)
             place = known.find(keys)
             code = coded.indices.to_numpy(zero_copy_only=False) if len(each) else np.zeros(0, np.int64)
             at = place[code]

@@ -9,7 +9,9 @@ equal pieces, and the plan is dealt to the pieces on the executors.
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidal.llm.common import batch, map_arrow, steps, words
+from tidal.llm.common import batch, map_arrow, steps, word_keys, words
 from tidal.session import materialize
 
 
@@ -177,57 +179,123 @@ def _slots(bins: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("size", "rank", "each", "bin", "offset"), cols))
 
 
+#: A word of letters or digits with a run of marks after it, which the tokenizer splits off.
+_ENDED = re.compile(r"(.*[^\W_])([.,!?;:]+)", re.DOTALL)
+
+
+class _Ids:
+    """Ids of the words a worker has met, by the words' hashes; kept between tasks, at most ``MOST`` words."""
+
+    MOST = 2_000_000
+
+    def __init__(self, tokenizer_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.path = tokenizer_path
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.key = np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position of each key, and whether it is there."""
+        i = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        return i, (self.key[i] == key) if len(self.key) else np.zeros(len(key), bool)
+
+    def add(self, key: np.ndarray, ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(size.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+        at = self.used + np.cumsum(size) - size
+        self.used += total
+        order = np.argsort(key)
+        where = np.searchsorted(self.key, key[order])
+        self.key = np.insert(self.key, where, key[order])
+        self.at, self.size = np.insert(self.at, where, at[order]), np.insert(self.size, where, size[order])
+
+    def encoded(self, some: list[str]) -> list[list[int]]:
+        """Ids of distinct strings without white space, each encoded once."""
+        key = word_keys(pa.array(some, pa.string()))
+        i, known = self.find(key)
+        new = np.flatnonzero(~known)
+        for at in range(0, len(new), 20_000):
+            part = new[at:at + 20_000]
+            got = self.tokenizer.encode_batch_fast([some[n] for n in part], add_special_tokens=False)
+            self.add(key[part], [e.ids for e in got])
+        i, _ = self.find(key)
+        return [self.flat[a:a + n].tolist() for a, n in zip(self.at[i].tolist(), self.size[i].tolist())]
+
+    def look(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``flat`` the ids of each word start, and how many there are."""
+        if len(self.key) > self.MOST:
+            self.clear()
+        key = word_keys(distinct)
+        _, known = self.find(key)
+        new = np.flatnonzero(~known)
+        if len(new):
+            words_ = distinct.take(pa.array(new)).to_pylist()
+            split = [m.groups() if (m := _ENDED.fullmatch(w)) else (w,) for w in words_]
+            units = list(dict.fromkeys(u for s in split for u in s))
+            ids = dict(zip(units, self.encoded(units)))
+            ended = [n for n, s in enumerate(split) if len(s) == 2]
+            self.add(key[new[ended]], [ids[split[n][0]] + ids[split[n][1]] for n in ended])
+        i, _ = self.find(key)
+        return self.at[i], self.size[i].astype(np.int64)
+
+
+_IDS: list[_Ids] = []
+
+
+def _ids(tokenizer_path: str) -> _Ids:
+    if not _IDS or _IDS[0].path != tokenizer_path:
+        _IDS[:] = [_Ids(tokenizer_path)]
+    return _IDS[0]
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of each document: ids of its words, then ``end_id``, cut every ``capacity`` ids.
 
-    The tokenizer drops white space and never joins across it, so each distinct
-    word of a step is encoded once.  Null text is an empty one (one piece that
-    holds ``end_id`` alone).
+    The tokenizer drops white space, never joins across it and splits marks off
+    a word, so distinct words without their last marks are encoded once.  Null
+    text is an empty one (one piece that holds ``end_id`` alone).
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                         ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer_path)
-        known: dict[str, np.ndarray] = {}
-        for part in steps(batches, 1, 8 << 20):
+        known = _ids(tokenizer_path)
+        for part in steps(batches, 1, 4 << 20):
+            rows = part.num_rows
             each, row = words(part.column(1))
             coded = each.dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            if len(known) > 300_000:  # a cache of encodings, not of results
-                known.clear()
-            new = [w for w in distinct if w not in known]
-            for at in range(0, len(new), 20_000):
-                some = new[at:at + 20_000]
-                for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4")
-            ids = [known[w] for w in distinct]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-            begin = np.cumsum(size) - size
+            begin, size = known.look(coded.dictionary)
             code = coded.indices.to_numpy(zero_copy_only=False) if len(each) else np.zeros(0, np.int64)
-            first = np.searchsorted(row, np.arange(part.num_rows + 1))
-            out = [], [], [], [], []
-            names = part.column(0).to_pylist()
-            # ids of a bounded group of documents at once, to keep the gather small
-            for r in range(part.num_rows):
-                c = code[first[r]:first[r + 1]]
-                n = size[c]
-                total = int(n.sum())
-                whole = np.empty(total + 1, "<u4")
-                if total:
-                    stop = np.cumsum(n)
-                    whole[:total] = flat[np.repeat(begin[c] - stop + n, n) + np.arange(total)]
-                whole[total] = end_id
-                for k, at in enumerate(range(0, total + 1, capacity)):
-                    ids_ = whole[at:at + capacity]
-                    for col, v in zip(out, (names[r], k, at, len(ids_), zlib.crc32(ids_))):
-                        col.append(v)
-            yield batch(schema, *out)
+            begin, size = begin[code], size[code]
+            # all ids of the step, one place left after each document for its end
+            total = np.bincount(row, weights=size, minlength=rows).astype(np.int64) + 1
+            off = np.concatenate([[0], np.cumsum(total)])
+            stop = np.cumsum(size)
+            flat = np.empty(off[-1], "<u4")
+            own = np.repeat(begin - stop + size, size)
+            own += np.arange(len(own))
+            end = np.zeros(len(flat), bool)
+            end[off[1:] - 1] = True
+            flat[~end] = known.flat[own]
+            flat[end] = end_id
+            pieces = -(-total // capacity)
+            of = np.repeat(np.arange(rows), pieces)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = nth * capacity
+            length = np.minimum(capacity, total[of] - start)
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip((off[of] + start).tolist(), (off[of] + start + length).tolist())]
+            yield batch(schema, part.column(0).take(pa.array(of)), nth.astype(np.int32), start, length, crc)
 
     cols = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return map_arrow(cols, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
