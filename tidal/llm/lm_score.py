@@ -23,7 +23,7 @@ from tidal.session import materialize
 #: Bytes of context, at most 6 (a context and its symbol are packed into 56 bits).
 ORDER = 5
 #: (context, symbol) pairs of all orders that the broadcast trie holds at most: those of the highest counts.
-MAX_PAIRS = 3 << 20
+MAX_PAIRS = 1 << 20
 #: Most frequent words whose counts are broadcast; all others are looked up by a join.
 HEAD = 1 << 18
 #: Counts gathered in a task before they are sent on.
@@ -197,21 +197,26 @@ def _gather(texts: DataFrame, order: int) -> DataFrame:
     return map_arrow(texts, run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def _floor(counts: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` rows exceed."""
+    top = 1 << 16
+    rows = counts.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count("*").alias("rows")).collect()  # at most top
+    got = 0
+    for r in sorted(rows, reverse=True):
+        got += r["rows"]
+        if got > most:
+            return r["n"]
+    return 0
+
+
 def _trie(counts: DataFrame, order: int, max_pairs: int) -> Trie:
     """The trie of the most frequent pairs; counts of shorter contexts are sums over the longer ones, of all data."""
     orders = F.array(*[F.struct(F.lit(j).alias("order"), F.col("key").bitwiseAND(F.lit(256 ** (j + 1) - 1)).alias("pair"))
                        for j in range(order + 1)])
     pairs = materialize(counts.filter("kind = 1").select(F.explode(orders).alias("p"), "n")
                         .groupBy("p.order", "p.pair").agg(F.sum("n").alias("n")), "lm-pairs")
-    # a power of two as the least count; a pair is never rarer than the same pair with a longer context
-    sizes = {r["b"]: r["count"] for r in pairs.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()}
-    least, got = 0, 0
-    for b in sorted(sizes, reverse=True):
-        got += sizes[b]
-        if got > max_pairs:
-            least = b + 1
-            break
-    rows = pairs.filter(F.col("n") >= (1 << least)).toArrow()  # at most max_pairs rows
+    # a pair is never rarer than the same pair with a longer context, so those kept nest
+    rows = pairs.filter(F.col("n") > _floor(pairs, max_pairs)).toArrow()  # at most max_pairs rows
     order_, pair, n = (rows.column(c).to_numpy() for c in ("order", "pair", "n"))
     out = []
     for j in range(order + 1):
@@ -246,7 +251,8 @@ def score(docs: DataFrame, order: int = ORDER, max_pairs: int = MAX_PAIRS, head:
     tokens = sums["n"] + ends
     distinct = sums["v"] + (1 if ends else 0)
     trie = _trie(counts, order, max_pairs) if ends else Trie(order, [(np.zeros(0, np.uint64), np.zeros(0))] * (order + 1))
-    top = counts.filter("kind = 0").orderBy(F.desc("n"), "key").limit(head).select("key", "n").toArrow()
+    rare = _floor(counts.filter("kind = 0"), head)
+    top = counts.filter(F.expr("kind = 0") & (F.col("n") > rare)).select("key", "n").toArrow()
     key = top.column("key").to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast((trie, Lookup(key), np.log10(top.column("n").to_numpy() + 1.0)))
     end_log = float(np.log10(ends + 1))
