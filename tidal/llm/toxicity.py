@@ -41,9 +41,8 @@ def _segments(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(m, np.uint64)
     for j in range(n):
         key = (key << np.uint64(8)) | buf[j:j + m]
-    at = np.arange(m)
-    doc = np.searchsorted(off, at, side="right") - 1
-    inside = at + n <= off[doc + 1]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(off))[:m]
+    inside = np.arange(m) + n <= off[doc + 1]
     key, doc = key[inside], doc[inside]
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
@@ -194,7 +193,7 @@ def calibrate(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarra
     return b
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = 2000,
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = 1000,
              fit_bytes: int = 32768, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
