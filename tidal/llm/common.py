@@ -18,6 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step handles; temporaries are a small multiple of it.
 STEP_BYTES = 1 << 20
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+# Workers live for many tasks: freed batches go back to the system.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -35,10 +40,18 @@ def held_out(doc_id: str, buckets: int, rest: int) -> Column:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str) -> DataFrame:
-    ship_package(df.sparkSession)
+    """``df.mapInArrow`` with the package at hand on the workers and batches of a few megabytes."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts differ much in length: batches go by bytes, where the session does not say otherwise."""
+    ship_package(spark)
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: int, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose column ``text`` holds about ``limit`` bytes, one row at least."""
     for batch in batches:

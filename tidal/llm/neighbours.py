@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidal.llm.common import batch, map_arrow
-from tidal.session import materialize, ship_package
+from tidal.llm.common import batch, map_arrow, small_batches
+from tidal.session import materialize
 
 
 class Forest:
@@ -118,7 +118,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 12, l
     (id, vector) rows count once.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    ship_package(spark)
+    small_batches(spark)
     good = (vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
             .filter("id IS NOT NULL AND vec IS NOT NULL AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND "
                     "abs(x) < double('infinity')) AND exists(vec, x -> x <> 0)"))

@@ -17,9 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidal.llm.common import batch, filled, map_arrow, steps
+from tidal.llm.common import batch, filled, map_arrow, small_batches, steps
 from tidal.llm.links import components
-from tidal.session import materialize, ship_package
+from tidal.session import materialize
 
 #: Fingerprints of a shard, and guests from other shards, that one task holds at most (on average).
 OWN_ROWS, GUEST_ROWS = 1 << 15, 1 << 18
@@ -170,7 +170,7 @@ def close_links(fps: DataFrame, most: int = 4, sample_rows: int = 65536, leaf_ro
     grows with the corpus.
     """
     spark = fps.sparkSession
-    ship_package(spark)
+    small_batches(spark)
     sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).select("fp").collect()  # bounded
     points = np.array([r["fp"] for r in sample], np.int64).view(np.uint64)
     tree = Tree(points, leaf_rows, 5)

@@ -129,7 +129,7 @@ class Compressors:
             self._open()
         toxic, ordinary = self._made
         known = self._known
-        if len(known) > 400_000:  # a cache of lengths; nothing depends on it
+        if len(known) > 200_000:  # a cache of lengths; nothing depends on it
             known.clear()
         out = np.empty(len(windows), np.int32)
         for i, w in enumerate(windows):
