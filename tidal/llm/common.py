@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,7 +45,21 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
               schema: str) -> DataFrame:
     """``df.mapInArrow`` with the package at hand on the workers and batches of a few megabytes."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(run, schema)
+
+
+def trim() -> None:
+    """Give the memory that a task has freed back to the system; its worker lives on."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def small_batches(spark: SparkSession) -> None:

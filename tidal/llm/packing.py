@@ -184,9 +184,9 @@ _ENDED = re.compile(r"(.*[^\W_])([.,!?;:]+)", re.DOTALL)
 
 
 class _Ids:
-    """Ids of the words a worker has met, by the words' hashes; kept between tasks, at most ``MOST`` words."""
+    """Ids of the words a task has met, by the words' hashes; at most about ``MOST`` words at a time."""
 
-    MOST = 2_000_000
+    MOST = 1_000_000
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -249,6 +249,7 @@ class _Ids:
         return self.at[i], self.size[i].astype(np.int64)
 
 
+#: The tokenizer, which a worker loads once; its words are let go after each task.
 _IDS: list[_Ids] = []
 
 
@@ -269,33 +270,39 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                         ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
+    def pieces_of(part: pa.RecordBatch, known: _Ids) -> pa.RecordBatch:
+        rows = part.num_rows
+        each, row = words(part.column(1))
+        coded = each.dictionary_encode()
+        begin, size = known.look(coded.dictionary)
+        code = coded.indices.to_numpy(zero_copy_only=False) if len(each) else np.zeros(0, np.int64)
+        begin, size = begin[code], size[code]
+        # all ids of the step, one place left after each document for its end
+        total = np.bincount(row, weights=size, minlength=rows).astype(np.int64) + 1
+        off = np.concatenate([[0], np.cumsum(total)])
+        stop = np.cumsum(size)
+        flat = np.empty(off[-1], "<u4")
+        own = np.repeat(begin - stop + size, size)
+        own += np.arange(len(own))
+        end = np.zeros(len(flat), bool)
+        end[off[1:] - 1] = True
+        flat[~end] = known.flat[own]
+        flat[end] = end_id
+        pieces = -(-total // capacity)
+        of = np.repeat(np.arange(rows), pieces)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = nth * capacity
+        length = np.minimum(capacity, total[of] - start)
+        crc = [zlib.crc32(flat[a:b]) for a, b in zip((off[of] + start).tolist(), (off[of] + start + length).tolist())]
+        return batch(schema, part.column(0).take(pa.array(of)), nth.astype(np.int32), start, length, crc)
+
     def run(batches):
         known = _ids(tokenizer_path)
-        for part in steps(batches, 1, 4 << 20):
-            rows = part.num_rows
-            each, row = words(part.column(1))
-            coded = each.dictionary_encode()
-            begin, size = known.look(coded.dictionary)
-            code = coded.indices.to_numpy(zero_copy_only=False) if len(each) else np.zeros(0, np.int64)
-            begin, size = begin[code], size[code]
-            # all ids of the step, one place left after each document for its end
-            total = np.bincount(row, weights=size, minlength=rows).astype(np.int64) + 1
-            off = np.concatenate([[0], np.cumsum(total)])
-            stop = np.cumsum(size)
-            flat = np.empty(off[-1], "<u4")
-            own = np.repeat(begin - stop + size, size)
-            own += np.arange(len(own))
-            end = np.zeros(len(flat), bool)
-            end[off[1:] - 1] = True
-            flat[~end] = known.flat[own]
-            flat[end] = end_id
-            pieces = -(-total // capacity)
-            of = np.repeat(np.arange(rows), pieces)
-            nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = nth * capacity
-            length = np.minimum(capacity, total[of] - start)
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip((off[of] + start).tolist(), (off[of] + start + length).tolist())]
-            yield batch(schema, part.column(0).take(pa.array(of)), nth.astype(np.int32), start, length, crc)
+        try:
+            for part in steps(batches, 1, 4 << 20):
+                yield pieces_of(part, known)
+        finally:
+            known.clear()
 
     cols = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return map_arrow(cols, run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -123,6 +123,9 @@ class Compressors:
             made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
         self._made = made
 
+    def forget(self) -> None:
+        self._known.clear()
+
     def differences(self, windows: list[bytes]) -> np.ndarray:
         """Bytes that the toxic dictionary saves on each word, the most over a long word's windows."""
         if self._made is None:
@@ -154,16 +157,19 @@ def evidence(docs: DataFrame, compressors: Compressors, doc_id: str = "doc_id",
                         *((f"c{c}", pa.int64()) for c in CLEAR)])
 
     def run(batches):
-        for part in steps(batches, 1, 4 << 20):
-            n = part.num_rows
-            each, row = words(pc.ascii_lower(filled(part.column(1))))
-            coded = each.dictionary_encode()
-            diff = shared.value.differences(coded.dictionary.cast(pa.binary()).to_pylist())
-            diff = diff[coded.indices.to_numpy(zero_copy_only=False)] if len(each) else np.zeros(0, np.int32)
-            most = np.zeros(n, np.int32)
-            np.maximum.at(most, row, diff)
-            yield batch(schema, part.column(0), np.bincount(row, minlength=n), most,
-                        *(np.bincount(row, weights=diff >= c, minlength=n).astype(np.int64) for c in CLEAR))
+        try:
+            for part in steps(batches, 1, 4 << 20):
+                n = part.num_rows
+                each, row = words(pc.ascii_lower(filled(part.column(1))))
+                coded = each.dictionary_encode()
+                diff = shared.value.differences(coded.dictionary.cast(pa.binary()).to_pylist())
+                diff = diff[coded.indices.to_numpy(zero_copy_only=False)] if len(each) else np.zeros(0, np.int32)
+                most = np.zeros(n, np.int32)
+                np.maximum.at(most, row, diff)
+                yield batch(schema, part.column(0), np.bincount(row, minlength=n), most,
+                            *(np.bincount(row, weights=diff >= c, minlength=n).astype(np.int64) for c in CLEAR))
+        finally:
+            shared.value.forget()
 
     cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return map_arrow(cols, run, "doc_id long, n long, most int, " + ", ".join(f"c{c} long" for c in CLEAR))
