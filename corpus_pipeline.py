@@ -21,14 +21,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go; those it cannot judge stay."""
     found = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     bad = found.filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    # ids are hashed, so the texts are not sorted
+    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id") == F.col("_bad"), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group stays; of repeated rows with that id, one."""
     found = simhash.near_duplicates(docs)
-    keep = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    keep = materialize(found.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_keep"))
+                       .agg(F.count("*").alias("_rows")), "pipeline-kept")
+    out = docs.join(keep.select("_keep").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return out if keep.filter("_rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +45,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (none to three times)."""
-    found = mixing.mix(docs).filter("repeats > 0").select(F.col("doc_id").alias("_id"), "repeats").distinct()
+    found = mixing.mix(docs).filter("repeats > 0").select(F.col("doc_id").alias("_id"), "repeats").distinct().hint("shuffle_hash")
     cols = [F.col(c) for c in docs.columns]
     return (docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")))
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*cols))

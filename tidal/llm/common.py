@@ -121,9 +121,12 @@ def per_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
-    h = (h ^ (h >> _S33)) * _M1
-    h = (h ^ (h >> _S33)) * _M2
-    return h ^ (h >> _S33)
+    h = h ^ (h >> _S33)
+    h *= _M1
+    h ^= h >> _S33
+    h *= _M2
+    h ^= h >> _S33
+    return h
 
 
 def _powers(n: int, base: int) -> np.ndarray:
