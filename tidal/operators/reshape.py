@@ -52,7 +52,7 @@ def assert_unique_cells(df: DataFrame, key: str = "key", period: str = "period")
 def unpivot_series(wide: DataFrame, key: str = "key", prefix: str = "p",
                    period: str = "period", value: str = "value") -> DataFrame:
     """Wide digit-named columns -> long; column list resolved at plan time."""
-    cols = sorted((c for c in wide.columns if c.startswith(prefix) and c[len(prefix):].isdigit()),
+    cols = sorted((c for c in wide.columns if c.startswith(prefix) and c[len(prefix):].lstrip("-").isdigit()),
                   key=lambda c: int(c[len(prefix):]))
     long = wide.unpivot(key, cols, "_col", value)
     return long.select(key, F.substring("_col", len(prefix) + 1, 10).cast("int").alias(period), value)

@@ -8,10 +8,10 @@ from tidal.functions.scalar import finite_or_null
 from tidal.operators import evaluate, forecast, reshape, risk, series
 from tidal.plans import sql
 from tidal.plans.registry import register, rounded
-from tidal.plans.views import FUTURE, TEST, TRAIN, VAL, predictions, shared_predictions
+from tidal.plans.views import FUTURE, TEST, TRAIN, VAL, predictions, shared_predictions, supplier_bounds
 from tidal.session import materialize
 
-SPAN = TEST[1] - TRAIN[0]
+SPAN = f"(SELECT {TEST[1]} - min(period) FROM supplier_month)"
 CAP_FROM = TRAIN[1] - forecast.TRAIN_CAP + 1
 HORIZONS = {"5": (TEST[1] + 1, TEST[1] + 5), "10": (TEST[1] + 1, TEST[1] + 10)}
 
@@ -20,6 +20,12 @@ def r6(expr: str, name: str) -> str:
     return f"round({expr}, 6) + 0.0 AS {name}"
 
 
+def span(spark, sf_dir) -> int:
+    """Periods from the first observation in the data to the last."""
+    first, last = supplier_bounds(spark, sf_dir)
+    return max(1, last - first)
+
+
 def history(spark, sf_dir):
     """Observed part of the prediction table (periods up to the last test period)."""
     return (predictions(spark, sf_dir).filter(F.col("period") <= TEST[1])
@@ -61,7 +67,7 @@ def shared_features(spark, sf_dir):
 
 
 def linear(spark, sf_dir):
-    return forecast.linear_forecast(shared_features(spark, sf_dir), FUTURE[0], FUTURE[1], TEST[1], SPAN)
+    return forecast.linear_forecast(shared_features(spark, sf_dir), FUTURE[0], FUTURE[1], TEST[1], span(spark, sf_dir))
 
 
 @register("forecast_linear", SQL_FEATURES + f"""
@@ -83,7 +89,7 @@ SELECT e.key, e.period, {r6('e.value_ext', 'value_ext')}, {r6('coalesce(n.ofr_ne
 FROM ext e LEFT JOIN fin n ON e.key = n.key""")
 def q_extend_linear(spark, sf_dir):
     """Extrapolated values plus the feature row replaced by the final-horizon forecast."""
-    out = forecast.extend_linear(shared_features(spark, sf_dir), FUTURE[0], FUTURE[1], TEST[1], SPAN)
+    out = forecast.extend_linear(shared_features(spark, sf_dir), FUTURE[0], FUTURE[1], TEST[1], span(spark, sf_dir))
     return rounded(out)
 
 
@@ -99,7 +105,7 @@ FROM lin2 l JOIN base b ON l.key = b.key JOIN med m ON l.period = m.period""")
 def q_rebased_price(spark, sf_dir):
     """P0 * (1 + beta * (OFR_t - OFR0) / OFR0) with median-filled bases; NULL ratio -> 0."""
     feats = shared_features(spark, sf_dir)
-    lin = forecast.linear_forecast(feats, FUTURE[0], FUTURE[1], TEST[1], SPAN)
+    lin = forecast.linear_forecast(feats, FUTURE[0], FUTURE[1], TEST[1], span(spark, sf_dir))
     med_ofr = feats.agg(F.median(finite_or_null(F.col("ofr")))).scalar()
     base = feats.select("key", F.nullif(F.coalesce(finite_or_null(F.col("ofr")), med_ofr), F.lit(0.0))
                         .alias("ofr0"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidal.operators import reshape, series
 from tidal.plans import sql
 from tidal.plans.registry import register, rounded
-from tidal.plans.views import (FUTURE, TEST, TRAIN, VAL, predictions, shared_predictions, split_of,
+from tidal.plans.views import (FUTURE, TEST, TRAIN, VAL, first_period, predictions, supplier_bounds, shared_predictions, split_of,
                                supplier_month, supplier_month_zero)
 from tidal.sources.tables import read_table
 
@@ -158,21 +158,16 @@ def q_pivot_series(spark, sf_dir):
     return reshape.pivot_series(fut, _FUT, value="forecast")
 
 
-_FIRST_YEAR = list(range(0, 12))
-
-
 @register("unpivot_series", f"""WITH {sql.SUPPLIER_MONTH},
 keys AS (SELECT DISTINCT key FROM supplier_month)
 SELECT k.key, CAST(g.period AS INTEGER) AS period, m.value
-FROM keys k CROSS JOIN range(0, 12) g(period)
+FROM keys k CROSS JOIN (SELECT unnest(range(lo, 69)) AS period FROM (SELECT min(period) AS lo FROM supplier_month)) g
 LEFT JOIN supplier_month m ON m.key = k.key AND m.period = g.period""")
 def q_unpivot_series(spark, sf_dir):
     """Wide (one column per period, found at plan time) -> long, NULL cells kept."""
-    wide = reshape.pivot_series(supplier_month(spark, sf_dir).filter(F.col("period") < 12),
-                                _FIRST_YEAR)
-    keys = supplier_month(spark, sf_dir).select("key").distinct()
-    wide = keys.join(wide, "key", "left")
-    return reshape.unpivot_series(wide)
+    bounds = supplier_bounds(spark, sf_dir)
+    periods = list(range(first_period(bounds), TEST[1] + 1))
+    return reshape.unpivot_series(reshape.pivot_series(supplier_month(spark, sf_dir, bounds), periods))
 
 
 @register("history_plus_forecast", f"""WITH {sql.PREDICTIONS}
@@ -187,15 +182,13 @@ def q_history_plus_forecast(spark, sf_dir):
 
 
 @register("merge_forecast", f"""WITH {sql.PREDICTIONS}
-SELECT key, period, value, 'main' AS src FROM supplier_month WHERE period <= {FUTURE[1]}
+SELECT key, period, value, 'main' AS src FROM supplier_month
 UNION ALL
 SELECT p.key, p.period, p.forecast AS value, 'forecast' AS src FROM predictions p
-WHERE NOT EXISTS (SELECT 1 FROM supplier_month m WHERE m.key = p.key AND m.period = p.period
-                  AND m.period <= {FUTURE[1]})""")
+WHERE NOT EXISTS (SELECT 1 FROM supplier_month m WHERE m.key = p.key AND m.period = p.period)""")
 def q_merge_forecast(spark, sf_dir):
     """Left merge where the main table wins on collisions (anti-join of the other side)."""
-    main = (supplier_month(spark, sf_dir).filter(F.col("period") <= FUTURE[1])
-            .withColumn("src", F.lit("main")))
+    main = supplier_month(spark, sf_dir).withColumn("src", F.lit("main"))
     fc = predictions(spark, sf_dir).select("key", "period", F.col("forecast").alias("value"),
                                           F.lit("forecast").alias("src"))
     return reshape.merge_main_wins(main, fc, ["key", "period"])

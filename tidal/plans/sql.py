@@ -12,11 +12,11 @@ nation_month AS (
   GROUP BY 1, 2)"""
 
 SUPPLIER_MONTH = """
+supplier_raw AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS key, year(l_shipdate) * 12 + month(l_shipdate) AS m, sum(l_quantity) AS value
+  FROM lineitem GROUP BY 1, 2),
 supplier_month AS (
-  SELECT CAST(l_suppkey AS VARCHAR) AS key,
-         CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS period,
-         sum(l_quantity) AS value
-  FROM lineitem GROUP BY 1, 2)"""
+  SELECT key, CAST(m - (SELECT max(m) FROM supplier_raw) + 68 AS INTEGER) AS period, value FROM supplier_raw)"""
 
 SUPPLIER_MONTH_ZERO = SUPPLIER_MONTH + """,
 supplier_span AS (SELECT key, min(period) AS lo, max(period) AS hi FROM supplier_month GROUP BY key),
@@ -83,17 +83,18 @@ def fsum(y: str) -> str:
     return f"coalesce(sum(coalesce({finite(y)}, 0.0)), 0.0)"
 
 PREDICTIONS = SUPPLIER_MONTH + """,
-pred_keys AS (SELECT DISTINCT key FROM supplier_month WHERE period BETWEEN 0 AND 75),
+pred_keys AS (SELECT DISTINCT key FROM supplier_month),
+pred_axis AS (SELECT unnest(range(lo, 76)) AS period FROM (SELECT min(period) AS lo FROM supplier_month)),
 pred_grid AS (
   SELECT k.key, CAST(g.period AS INTEGER) AS period, m.value
-  FROM pred_keys k CROSS JOIN range(0, 76) g(period)
+  FROM pred_keys k CROSS JOIN pred_axis g
   LEFT JOIN supplier_month m ON m.key = k.key AND m.period = g.period),
 pred_imp AS (
   SELECT *, CASE WHEN period <= 50 THEN coalesce(value, avg(CASE WHEN period <= 50 THEN value END) OVER (PARTITION BY key)) END AS imp
   FROM pred_grid),
 predictions AS (
   SELECT key, period,
-         CASE WHEN period <= 68 THEN value END AS actual,
+         value AS actual,
          CASE WHEN period <= 50 THEN lag(imp) OVER (PARTITION BY key ORDER BY period)
               ELSE max(CASE WHEN period = 50 THEN imp END) OVER (PARTITION BY key) END AS forecast
   FROM pred_imp)"""

@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from tidal.sources.tables import read_table
 
-# Fixed values of the period axis: months since January 1995 (first order
-# date in the data); the split bounds copy the reference's 51 / 10 / 8
-# periods of history and its 7 extrapolated periods.
+# Fixed values of the period axis.  The supplier series count months so that the
+# last month in the data is always period TEST[1]: test is the last 8 observed
+# periods, val the 10 before, train all history before that (no lower bound,
+# periods may be negative), future the 7 periods after the data.
 EPOCH_YEAR = 1995
-TRAIN = (0, 50)
+TRAIN = (-100_000, 50)
 VAL = (51, 60)
 TEST = (61, 68)
 FUTURE = (69, 75)
@@ -66,11 +67,24 @@ def nation_month(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg((F.sum("rev").cast("double") / REVENUE_SCALE).alias("value")))
 
 
-def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key = supplier key (as text), period = ship month, value = quantity shipped."""
+def supplier_bounds(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First and last ship month in the data (month index): one aggregate of one column."""
+    m = month_index(F.col("l_shipdate"))
+    first, last = read_table(spark, sf_dir, "lineitem").agg(F.min(m), F.max(m)).first()
+    return (first, last) if last is not None else (0, 0)
+
+
+def first_period(bounds: tuple[int, int]) -> int:
+    """Period of the first ship month, counted back from the last one."""
+    return TEST[1] - (bounds[1] - bounds[0])
+
+
+def supplier_month(spark: SparkSession, sf_dir: str, bounds: tuple[int, int] | None = None) -> DataFrame:
+    """key = supplier key (as text), period = ship month (the last one is TEST[1]), value = quantity shipped."""
+    last = (bounds or supplier_bounds(spark, sf_dir))[1]
     li = read_table(spark, sf_dir, "lineitem")
     return (li.groupBy(F.col("l_suppkey").cast("string").alias("key"),
-                       month_index(F.col("l_shipdate")).alias("period"))
+                       (month_index(F.col("l_shipdate")) - F.lit(last) + F.lit(TEST[1])).alias("period"))
             .agg(F.sum("l_quantity").alias("value")))
 
 
@@ -89,15 +103,15 @@ def split_of(period: Column) -> Column:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction table ``(key, period, actual, forecast)`` on the supplier series.
 
-    Dense grid of periods 0..75 per supplier; actual = quantity shipped up to
-    the last test period (NULL after); forecast = naive model fitted on the
+    Dense grid per supplier from the first period of the data to the last
+    future one; actual = quantity shipped (NULL where none); forecast = naive model fitted on the
     mean-imputed train series: the previous period in-sample, the last train
     value for val / test / future.
     """
     from tidal.operators.reshape import densify
     from pyspark.sql import Window
-    sm = supplier_month(spark, sf_dir).filter(F.col("period").between(TRAIN[0], FUTURE[1]))
-    dense = densify(sm, lo=TRAIN[0], hi=FUTURE[1])
+    bounds = supplier_bounds(spark, sf_dir)
+    dense = densify(supplier_month(spark, sf_dir, bounds), lo=first_period(bounds), hi=FUTURE[1])
     by_key = Window.partitionBy("key")
     ordered = by_key.orderBy("period")
     is_train = F.col("period") <= TRAIN[1]
@@ -107,7 +121,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return (dense.withColumn("_imp", imputed)
             .select("key", "period",
-                    F.when(F.col("period") <= TEST[1], F.col("value")).alias("actual"),
+                    F.col("value").alias("actual"),
                     F.when(is_train, F.lag("_imp").over(ordered)).otherwise(last_train)
                     .alias("forecast")))
 
@@ -117,7 +131,7 @@ def shared_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     For queries that read the prediction grid more than once (statistics and
     rows, train and validation, candidates and actuals): one scan of the raw
-    tables and one small written table (keys x 76 periods) instead of a
+    tables and one small written table (keys x periods) instead of a
     rescan of ``lineitem`` per branch.
     """
     from tidal.session import materialize
