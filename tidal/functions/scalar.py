@@ -47,10 +47,15 @@ def title_case(c) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.initcap(p)), "")
 
 
+def strip(c) -> Column:
+    """White space of every kind removed from both ends."""
+    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
+
+
 def standardize_name(c, aliases: dict[str, str] | None = None) -> Column:
     """strip -> collapse whitespace -> title-case -> alias (title-cased, then raw stripped)."""
     aliases = NAME_ALIASES if aliases is None else aliases
-    raw = F.trim(_c(c).cast("string"))
+    raw = strip(_c(c).cast("string"))
     norm = title_case(F.regexp_replace(raw, WS + "+", " "))
     amap = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
     mapped = F.coalesce(F.element_at(amap, norm), F.element_at(amap, raw), norm)
@@ -111,7 +116,7 @@ def risk_band(score, policy: str = "raw") -> Column:
 
 def effective_band(pred, score) -> Column:
     """Predicted label (trimmed, lower-cased) if it is a known band, else the score's band."""
-    p = F.lower(F.trim(_c(pred)))
+    p = F.lower(strip(_c(pred)))
     return F.when(p.isin(*BANDS), p).otherwise(risk_band(score, "recommend"))
 
 

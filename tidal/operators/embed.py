@@ -13,7 +13,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from tidal.functions.scalar import strip
 from pyspark.sql import types as T
+from tidal.session import ship_package
 
 EMBED_BATCH = 96       # texts per embedder call
 HASH_FEATURES = 1024   # vector width of the built-in embedder
@@ -51,6 +54,7 @@ def embed_with(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]]
             pdf[out] = vecs
             yield pdf
 
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, schema)
 
 
@@ -62,7 +66,7 @@ def embed_texts(df: DataFrame, text_col: str = "content", embedder=None, out: st
 
 def describe_row(ctx, fallback) -> F.Column:
     """Stored context text if non-blank, else the formatted description."""
-    return F.when(F.coalesce(F.length(F.trim(ctx)), F.lit(0)) > 0, ctx).otherwise(fallback)
+    return F.when(F.coalesce(F.length(strip(ctx)), F.lit(0)) > 0, ctx).otherwise(fallback)
 
 
 def fmt6(c) -> F.Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidal.functions.scalar import finite_or_null
+from tidal.session import ship_package
 
 # Fixed values of the model search: the candidate orders (p, d, q) in order of
 # simplicity, the capped training window and the tie tolerance on val MAE.
@@ -260,4 +261,5 @@ def fit_candidates(train: DataFrame, first_future: int, steps: int, cap: int = T
         out.insert(0, "key", k)
         return out
 
+    ship_package(train.sparkSession)
     return train.select(key, period, value).groupBy(key).applyInPandas(per_key, CANDIDATE_SCHEMA)

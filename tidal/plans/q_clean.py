@@ -74,7 +74,7 @@ def _sql_alias(x: str) -> str:
 
 
 def _sql_standardize(x: str) -> str:
-    raw = f"trim(CAST({x} AS VARCHAR), ' ')"
+    raw = f"regexp_replace(CAST({x} AS VARCHAR), '^{WS}+|{WS}+$', '', 'g')"
     norm = _sql_title(f"regexp_replace({raw}, '{WS}+', ' ', 'g')")
     return f"CASE WHEN {raw} = '' THEN {raw} ELSE coalesce({_sql_alias(norm)}, {_sql_alias(raw)}, {norm}) END"
 

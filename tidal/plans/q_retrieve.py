@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidal.functions import scalar
+from tidal.session import materialize
 from tidal.operators import bands, retrieve
 from tidal.plans.q_forecast import RISK_CTE, q_risk_from_horizons
 from tidal.plans.registry import register, rounded
@@ -87,7 +88,8 @@ recs AS (SELECT kb.key, kb.band, CAST(rk.rank AS INTEGER) AS rank, rk.vec_id
 
 def recommendations(spark, sf_dir):
     risk = q_risk_from_horizons(spark, sf_dir)
-    keys = risk.select("key", scalar.risk_band(F.col("risk_score_5"), "recommend").alias("band"))
+    # scored once: the score's expression would otherwise be compiled into every use of the band
+    keys = materialize(risk.select("key", scalar.risk_band(F.col("risk_score_5"), "recommend").alias("band")), "risk-bands")
     return retrieve.recommend_by_band(keys, "band", ranked_for_query(spark, sf_dir), bands.TOP_K)
 
 

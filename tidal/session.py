@@ -111,15 +111,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
-
-def spread(df: DataFrame, min_per_core: int = 1) -> DataFrame:
-    """Round-robin a scan that has fewer partitions than the cluster has cores.
-
-    Parquet files with a single row group scan in one task; CPU-heavy
-    per-row work (regexes, array folds) would then run on one core.  On a
-    cluster reading many files the scan is already wide and this is a no-op.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * min_per_core < cores:
-        return df.repartition(cores * min_per_core)
-    return df

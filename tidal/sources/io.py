@@ -63,15 +63,16 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], update_cols: li
     """``INSERT ... ON CONFLICT (keys) DO UPDATE SET update_cols`` as one full outer join.
 
     Matched rows take ``update_cols`` from the batch and keep every other
-    target column; unmatched target rows stay; new keys are inserted with
-    NULL in the columns the batch does not carry.  ``touch`` (if given) is
+    target column; unmatched target rows stay; new keys are inserted with all
+    columns the batch carries and NULL in the others.  ``touch`` (if given) is
     set to ``now`` on inserted and updated rows only.  Matching uses a
     constant flag column, never the NULL-ness of a value.
     """
     if check:
         assert_unique(batch, keys)
     t = target.withColumn("_in_t", F.lit(True))
-    s = batch.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in update_cols], F.lit(True).alias("_in_s"))
+    carried = [c for c in batch.columns if c not in keys and c in target.columns]
+    s = batch.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in carried], F.lit(True).alias("_in_s"))
     j = t.join(s, keys, "full")
     matched = F.coalesce(F.col("_in_s"), F.lit(False))
     cols = []
@@ -83,6 +84,8 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], update_cols: li
         elif touch is not None and c == touch:
             cols.append(F.when(matched, now if now is not None else F.current_timestamp())
                         .otherwise(F.col(c)).alias(c))
+        elif c in carried:
+            cols.append(F.when(F.col("_in_t").isNull(), F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
     return j.select(*cols)
@@ -107,18 +110,18 @@ def upsert_table(spark: SparkSession, base: str, batch: DataFrame, keys: list[st
     """Merge ``batch`` into the versioned parquet table at ``base``; returns the new version path.
 
     Each merge writes a new version folder (never overwriting what it reads),
-    so a failed or retried job leaves the previous version intact.
+    so a failed or retried job leaves the previous version intact.  The first
+    load takes the same path as later ones: keys must be unique, ``touch`` is set.
     """
     cur = latest_version(spark, base)
-    if cur is None:
-        merged = batch
-        n = 1
-    else:
-        target = spark.read.parquet(cur)
-        merged = upsert(target, batch, keys, update_cols, touch)
-        n = int(cur.rsplit("v=", 1)[1]) + 1
+    target = spark.createDataFrame([], batch.schema) if cur is None else spark.read.parquet(cur)
+    if touch and touch not in target.columns:
+        target = target.withColumn(touch, F.lit(None).cast("timestamp"))
+    merged = upsert(target, batch, keys, update_cols, touch)
+    n = 1 if cur is None else int(cur.rsplit("v=", 1)[1]) + 1
     out = f"{base.rstrip('/')}/v={n:06d}"
-    merged.write.mode("errorifexists").parquet(out)
+    # a folder without its success mark is what an aborted write left: it is written anew
+    merged.write.mode("overwrite").parquet(out)
     return out
 
 
