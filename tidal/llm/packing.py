@@ -184,7 +184,7 @@ _ENDED = re.compile(r"(.*[^\W_])([.,!?;:]+)", re.DOTALL)
 
 
 class _Ids:
-    """Ids of the words a task has met, by the words' hashes; at most about ``MOST`` words at a time."""
+    """Ids of the words a worker has met, by the words' hashes; about 30 bytes each, at most about ``MOST`` words."""
 
     MOST = 1_000_000
 
@@ -199,7 +199,8 @@ class _Ids:
     def clear(self) -> None:
         self.key = np.zeros(0, np.uint64)
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.flat, self.used = np.zeros(1 << 16, kind), 0
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of each key, and whether it is there."""
@@ -210,8 +211,8 @@ class _Ids:
         size = np.fromiter(map(len, ids), np.int32, len(ids))
         total = int(size.sum())
         while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        self.flat[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), self.flat.dtype, total)
         at = self.used + np.cumsum(size) - size
         self.used += total
         order = np.argsort(key)
@@ -249,7 +250,7 @@ class _Ids:
         return self.at[i], self.size[i].astype(np.int64)
 
 
-#: The tokenizer, which a worker loads once; its words are let go after each task.
+#: The tokenizer and its words, which a worker loads once.
 _IDS: list[_Ids] = []
 
 
@@ -298,11 +299,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
 
     def run(batches):
         known = _ids(tokenizer_path)
-        try:
-            for part in steps(batches, 1, 4 << 20):
-                yield pieces_of(part, known)
-        finally:
-            known.clear()
+        for part in steps(batches, 1, 4 << 20):
+            yield pieces_of(part, known)
 
     cols = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return map_arrow(cols, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
