@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import series_df
+from tests.conftest import series_df
 from tidal.operators import series
 
 
