@@ -1,6 +1,7 @@
 """ARIMA estimator, model selection, k-NN paths and LSH recall."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
@@ -52,13 +53,32 @@ def test_fit_candidates_rows(spark):
     assert all(r["count"] == 4 for r in fc) and {r.train_window for r in fc} == {"full", "capped"}
 
 
-def test_knn_blocked_path_matches_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_knn_blocks_agree_and_match_brute_force(spark, metric):
     emb = read_table(spark, SF_SMALL, "embeddings")
     q = emb.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")).filter("vec_id < 12")
-    one = sorted(tuple(r) for r in retrieve.knn(emb, q, 3, "l2").collect())
-    monkeypatch.setattr(retrieve, "MAX_BROADCAST_QUERIES", 5)
-    blocked = sorted(tuple(r) for r in retrieve.knn(emb, q, 3, "l2").collect())
-    assert one == blocked
+    one = sorted(tuple(r) for r in retrieve.knn(emb, q, 3, metric).collect())
+    blocked = sorted(tuple(r) for r in retrieve.knn(emb, q, 3, metric, block_bytes=5 * 64 * 8).collect())
+    assert [r[:3] for r in one] == [r[:3] for r in blocked]
+    assert [r[3] for r in one] == pytest.approx([r[3] for r in blocked], abs=1e-12)
+    rows = {r.vec_id: np.array(r.embedding, float) for r in emb.collect()}
+
+    def key(a, b):
+        return ((a - b) ** 2).sum() if metric == "l2" else -(a @ b) / np.sqrt((a @ a) * (b @ b))
+    for qid in range(12):
+        want = sorted(rows, key=lambda i: (round(key(rows[i], rows[qid]), 9), i))[:3]
+        assert [i for q_, _, i, _ in one if q_ == qid] == want
+
+
+def test_knn_leaves_out_unsound_vectors(spark):
+    nan = float("nan")
+    emb = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [None, 1.0]), (5, [0.0, 0.0]),
+                                 (6, [1.0, 0.0]), (7, []), (8, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([("a", [2.0, 0.0]), ("b", None)], "qid string, qvec array<double>")
+    assert [(r.qid, r["rank"], r.vec_id) for r in retrieve.knn(emb, q, 5).collect()] == [("a", 1, 1), ("a", 2, 6)]
+    assert [r.vec_id for r in retrieve.knn(emb, q, 5, "l2").collect()] == [1, 6, 5]
+    assert retrieve.knn(emb, q.filter("qid = 'b'"), 5).collect() == []
+    assert retrieve.knn(emb.limit(0), q, 5).collect() == []
 
 
 def test_knn_plan_prelimits_per_partition(spark):

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidal.operators.order_stats import exact_quantile
+
 SPLIT_NAMES = ("train", "val", "test")
 
 
@@ -55,7 +57,7 @@ def overfit_flags(metrics: DataFrame, train: str = "train_mae", val: str = "val_
 def underfit_flags(metrics: DataFrame, train: str = "train_mae", val: str = "val_mae",
                    q: float = 0.9) -> DataFrame:
     """Keys whose train error exceeds the q-quantile (exact, interpolated) of val errors."""
-    thr = metrics.agg(F.percentile(F.col(val), q)).scalar()
+    thr = exact_quantile(metrics, val, q).scalar()
     return metrics.filter(F.col(train).isNotNull() & (F.col(train) > thr))
 
 

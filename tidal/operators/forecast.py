@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidal.functions.scalar import finite_or_null
+from tidal.operators.order_stats import exact_quantile
 from tidal.session import ship_package
 
 # Fixed values of the model search: the candidate orders (p, d, q) in order of
@@ -42,7 +43,7 @@ def linear_forecast(features: DataFrame, horizon_from: int, horizon_to: int, las
     -> ofr; OFR slope = ofr * slope / c_last unless either is 0;
     ofr_t = max(0, ofr + slope_ofr * h); price_t = max(0, P (1 + beta (ofr_t - ofr) / ofr)).
     """
-    med = features.agg(F.median(finite_or_null(F.col("price")))).scalar()
+    med = exact_quantile(features.select(finite_or_null(F.col("price")).alias("price")), "price", 0.5).scalar()
     f = features
     price = F.coalesce(finite_or_null(F.col("price")), med)
     ofr = F.col("ofr")

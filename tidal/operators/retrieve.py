@@ -1,21 +1,25 @@
 """Vector retrieval: exact k-NN, band-dependent top-k, next-after-reject, context assembly.
 
-Exact k-NN scans the corpus once.  The query set is small and its size is
-checked: up to ``MAX_BROADCAST_QUERIES`` queries travel as one broadcast
-array and every corpus row scores all of them in a single projection; larger
-query sets are cut into blocks joined on a block id (the corpus is shuffled
-once per block instead of broadcasting a table that grows with the data).
-Top-k per query is ``row_number() <= k``, which Spark pre-limits inside
-every map task (WindowGroupLimit) before the shuffle, so a query's group
-holds at most k rows per task, never the corpus.
+Exact k-NN scans the corpus once per block of queries.  A block is a matrix of
+at most ``BLOCK_BYTES`` that travels as one broadcast; each task scores its
+Arrow batches with one matrix product and emits the best k rows of the batch
+per query.  The final ``row_number() <= k`` is pre-limited inside every map
+task (WindowGroupLimit), so a query's group holds at most k rows per task,
+never the corpus.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_BROADCAST_QUERIES = 4096
+from tidal.session import ship_package
+
+BLOCK_BYTES = 32 << 20  # of query vectors in one broadcast
+SCORES_PER_STEP = 1 << 22  # products held at once in a task
 RANK_DIGITS = 9  # scores are ranked at 1e-9 resolution so ties break by id, not by rounding noise
 
 
@@ -27,54 +31,97 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def sq_dist(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def _score(metric: str, v: Column, vn: Column, q: Column) -> Column:
-    if metric == "cosine":
-        return F.try_divide(dot(v, q["vec"]), vn * q["norm"])
-    if metric == "l2":
-        return sq_dist(v, q["vec"])
-    raise ValueError(f"unknown metric {metric!r}")
+def _sound(df: DataFrame, vec_col: str) -> DataFrame:
+    """Rows whose vector is not null and holds finite numbers only."""
+    ok = F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return df.filter(F.col(vec_col).isNotNull() & ok & (F.size(vec_col) > 0))
+
+
+def _query_blocks(queries: DataFrame, block_bytes: int):
+    """(ids, matrix) of at most ``block_bytes`` each, one vector length per block; one block on the driver at a time."""
+    held: dict[int, tuple[list, list]] = {}
+    for r in queries.toLocalIterator():
+        ids, vecs = held.setdefault(len(r["vec"]), ([], []))
+        ids.append(r["qid"])
+        vecs.append(np.asarray(r["vec"], float))
+        if len(ids) * len(r["vec"]) * 8 >= block_bytes:
+            yield list(ids), np.vstack(vecs)
+            ids.clear(), vecs.clear()
+    for ids, vecs in held.values():
+        if ids:
+            yield ids, np.vstack(vecs)
+
+
+def _best_of_batch(ids: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` smallest keys, ties by id."""
+    at = np.arange(len(key))
+    if len(key) > k:
+        at = np.flatnonzero(key <= np.partition(key, k - 1)[k - 1])
+    return at[np.lexsort((ids[at], key[at]))[:k]]
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         id_col: str = "vec_id", vec_col: str = "embedding", qid_col: str = "qid",
-        qvec_col: str = "qvec") -> DataFrame:
+        qvec_col: str = "qvec", block_bytes: int | None = None) -> DataFrame:
     """Top-``k`` corpus rows per query: ``qid, rank, id, score``.
 
     cosine: highest similarity first; l2: smallest squared distance first;
-    ties by id.
+    ties by id.  Vectors that are null, or hold null or non-finite numbers,
+    take no part; nor do zero vectors under cosine.  A query meets the
+    vectors of its own length.
     """
-    n_queries = queries.count()
-    q = queries.select(F.col(qid_col).alias("qid"), as_double_array(F.col(qvec_col)).alias("vec"))
-    q = q.withColumn("norm", norm(F.col("vec")))
-    c = corpus.select(F.col(id_col).alias("id"), as_double_array(F.col(vec_col)).alias("v"))
-    c = c.withColumn("vn", norm(F.col("v")))
-    nblocks = max(1, -(-n_queries // MAX_BROADCAST_QUERIES))
-    qb = q.withColumn("_blk", F.floor(F.xxhash64("qid").bitwiseAND(0x7fffffff) % nblocks))
-    packed = qb.groupBy("_blk").agg(F.collect_list(F.struct("qid", "vec", "norm")).alias("qs"))
-    if nblocks == 1:
-        pairs = c.withColumn("_blk", F.lit(0).cast("long")).join(F.broadcast(packed), "_blk")
-    else:
-        blocks = F.explode(F.sequence(F.lit(0), F.lit(nblocks - 1)).cast("array<long>"))
-        pairs = c.withColumn("_blk", blocks).join(packed, "_blk")
-    scored = pairs.select("id", F.explode(F.transform(
-        "qs", lambda qq: F.struct(qq["qid"].alias("qid"),
-                                  _score(metric, F.col("v"), F.col("vn"), qq).alias("score")))).alias("s"))
-    scored = scored.select("id", "s.qid", "s.score")
-    key = F.round(F.col("score"), RANK_DIGITS)
-    order = [key.desc() if metric == "cosine" else key.asc(), F.col("id")]
-    rn = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
+    if metric not in ("cosine", "l2"):
+        raise ValueError(f"unknown metric {metric!r}")
+    q = _sound(queries.select(F.col(qid_col).alias("qid"), as_double_array(F.col(qvec_col)).alias("vec")), "vec")
+    c = _sound(corpus.select(F.col(id_col).alias("id"), as_double_array(F.col(vec_col)).alias("v")), "v")
+    if metric == "cosine":
+        q, c = q.filter(norm(F.col("vec")) > 0), c.filter(norm(F.col("v")) > 0)
+    out = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("id", c.schema["id"].dataType),
+                        T.StructField("score", T.DoubleType()), T.StructField("key", T.DoubleType())])
+    ship_package(corpus.sparkSession)
+    sc, scored = corpus.sparkSession.sparkContext, None
+    for qids, matrix in _query_blocks(q, block_bytes or BLOCK_BYTES):
+        part = c.filter(F.size("v") == matrix.shape[1]).mapInPandas(
+            _scorer(sc.broadcast((qids, matrix)), k, metric), out)
+        scored = part if scored is None else scored.unionByName(part)
+    if scored is None:
+        scored = corpus.sparkSession.createDataFrame([], out)
+    rn = F.row_number().over(Window.partitionBy("qid").orderBy("key", "id"))
     return (scored.withColumn("rank", rn).filter(F.col("rank") <= k)
             .select(F.col("qid").alias(qid_col), "rank", F.col("id").alias(id_col), "score"))
 
 
+def _scorer(shared, k: int, metric: str):
+    """Task function: the best ``k`` rows of each batch for each query of the broadcast block."""
+    digits = RANK_DIGITS
+
+    def run(batches):
+        qids, matrix = shared.value
+        lengths = np.sqrt((matrix * matrix).sum(1))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ids, v = pdf["id"].to_numpy(), np.vstack(pdf["v"].to_numpy())
+            step = max(1, SCORES_PER_STEP // (len(v) * (v.shape[1] if metric == "l2" else 1)))
+            for at in range(0, len(qids), step):
+                some = matrix[at:at + step]
+                if metric == "cosine":
+                    score = (v @ some.T) / np.outer(np.sqrt((v * v).sum(1)), lengths[at:at + step])
+                else:  # differences, not the expanded square: no cancellation between near vectors
+                    score = ((v[:, None, :] - some[None]) ** 2).sum(2)
+                key = np.round(-score if metric == "cosine" else score, digits)
+                best = [_best_of_batch(ids, key[:, j], k) for j in range(len(some))]
+                rows, col = np.concatenate(best), np.repeat(np.arange(len(some)), [len(b) for b in best])
+                yield pd.DataFrame({"qid": [qids[at + j] for j in col], "id": ids[rows], "score": score[rows, col],
+                                    "key": key[rows, col]})
+
+    return run
+
+
 def label_queries(emb: DataFrame, label: str = "label", id_col: str = "vec_id",
                   vec_col: str = "embedding") -> DataFrame:
     """One query per label: the label's lowest-id vector."""

@@ -131,15 +131,31 @@ def validate_chunks(chunks: DataFrame, allowed_sources: list[str], by: str = "so
     return out.withColumn("valid", ok)
 
 
+def range_bucket(df: DataFrame, column: str, out: str = "_range", buckets: int = 1024) -> DataFrame:
+    """``df`` with the number (0 to ``buckets``) of the range of about equally many rows that ``column`` falls into.
+
+    ``column`` must be numeric.  The bounds, at most ``buckets`` numbers, come
+    from a sketch of fixed size and cover all rows, however the values lie.
+    """
+    from pyspark.ml.feature import Bucketizer
+    at = [i / buckets for i in range(1, buckets)]
+    bounds = df.agg(F.percentile_approx(F.col(column).cast("double"), at, 10 * buckets)).first()[0] or []
+    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
+    if len(splits) < 3:
+        return df.withColumn(out, F.lit(0.0))
+    cut = Bucketizer(splits=splits, inputCol=f"{out}_of", outputCol=out, handleInvalid="keep")
+    return cut.transform(df.withColumn(f"{out}_of", F.col(column).cast("double"))).drop(f"{out}_of")
+
+
 def global_index(df: DataFrame, order: list[str], bucket: Column, out: str = "idx",
                  partition_by: tuple[str, ...] = ()) -> DataFrame:
     """0-based position of each row in ``order`` (within ``partition_by``), without a global sort.
 
-    ``bucket`` must be monotone in the order (e.g. ``doc_id div 100000`` or a
-    hash prefix when ordering by that hash) and bound the rows per bucket.
-    Rows are ranked inside their bucket; bucket offsets come from a small
-    per-bucket count table (one row per partition value and bucket) whose
-    running sum is broadcast back.  No task ever sees more than one bucket.
+    ``bucket`` must be monotone in the order and of a bounded number of values
+    (``range_bucket``, or a hash prefix when ordering by that hash).  Rows are
+    ranked inside their bucket; bucket offsets come from a per-bucket count
+    table (one row per partition value and bucket) whose running sum is
+    broadcast back.  No task ever sees more than one bucket of the rows.
     """
     parts = list(partition_by)
     b = df.withColumn("_bucket", bucket)

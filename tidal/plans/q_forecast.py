@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidal.functions.scalar import finite_or_null
 from tidal.operators import evaluate, forecast, reshape, risk, series
+from tidal.operators.order_stats import exact_quantile
 from tidal.plans import sql
 from tidal.plans.registry import register, rounded
 from tidal.plans.views import FUTURE, TEST, TRAIN, VAL, predictions, shared_predictions, supplier_bounds
@@ -106,10 +107,10 @@ def q_rebased_price(spark, sf_dir):
     """P0 * (1 + beta * (OFR_t - OFR0) / OFR0) with median-filled bases; NULL ratio -> 0."""
     feats = shared_features(spark, sf_dir)
     lin = forecast.linear_forecast(feats, FUTURE[0], FUTURE[1], TEST[1], span(spark, sf_dir))
-    med_ofr = feats.agg(F.median(finite_or_null(F.col("ofr")))).scalar()
+    med_ofr = exact_quantile(feats.select(finite_or_null(F.col("ofr")).alias("ofr")), "ofr", 0.5).scalar()
     base = feats.select("key", F.nullif(F.coalesce(finite_or_null(F.col("ofr")), med_ofr), F.lit(0.0))
                         .alias("ofr0"))
-    per_med = lin.groupBy("period").agg(F.median("ofr_forecast").alias("_m"))
+    per_med = exact_quantile(lin, "ofr_forecast", 0.5, ("period",), "_m")
     df = (lin.join(base, "key").join(per_med, "period")
           .withColumn("price_rebased", series.rebased_price(
               F.col("price0"), F.col("ofr0"), F.coalesce(F.col("ofr_forecast"), F.col("_m")))))

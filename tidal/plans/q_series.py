@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidal.operators import reshape, series
+from tidal.operators.order_stats import exact_quantile
 from tidal.plans import sql
 from tidal.plans.registry import register, rounded
 from tidal.plans.views import (FUTURE, TEST, TRAIN, VAL, first_period, predictions, supplier_bounds, shared_predictions, split_of,
@@ -242,9 +243,9 @@ filled AS (SELECT p.key, p.period, coalesce(p.actual, m.med) AS actual_filled
 
 
 def median_filled(spark, sf_dir):
-    """Per-period exact median over keys replaces NULL (one aggregate + join on period)."""
+    """Per-period exact median over keys replaces NULL."""
     p = shared_predictions(spark, sf_dir)
-    med = p.groupBy("period").agg(F.median("actual").alias("med"))
+    med = exact_quantile(p, "actual", 0.5, ("period",), "med")
     return (p.join(med, "period")
             .select("key", "period", F.coalesce("actual", "med").alias("actual_filled")))
 
