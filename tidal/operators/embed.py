@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidal.functions.scalar import strip
 from pyspark.sql import types as T
+from tidal.operators.bands import to_sink_decimal
 from tidal.session import ship_package
 
 EMBED_BATCH = 96       # texts per embedder call
@@ -69,6 +70,6 @@ def describe_row(ctx, fallback) -> F.Column:
     return F.when(F.coalesce(F.length(strip(ctx)), F.lit(0)) > 0, ctx).otherwise(fallback)
 
 
-def fmt6(c) -> F.Column:
-    """A number as text with six decimals; NULL as ``None``."""
-    return F.when(c.isNull(), F.lit("None")).otherwise(F.format_string("%.6f", F.round(c, 6)))
+def fmt(c, precision: int, scale: int) -> F.Column:
+    """A number as text in the decimal type of its sink column; NULL, NaN and inf as ``None``."""
+    return F.coalesce(to_sink_decimal(c, precision, scale).cast("string"), F.lit("None"))

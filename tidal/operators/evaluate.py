@@ -73,19 +73,19 @@ def forecast_anomalies(pred: DataFrame, eval_from: int, key: str = "key", period
     """
     w = Window.partitionBy(key).orderBy(period)
     prev_is_adjacent = F.lag(period).over(w) == F.col(period) - 1
-    stats = pred.groupBy(key).agg(
-        F.stddev_pop(actual).alias("_sd"), F.count(F.lit(1)).alias("_n"),
-        F.max_by(F.col(actual), F.when(F.col(actual).isNotNull(), F.col(period))).alias("_known"))
+    by_key = Window.partitionBy(key)
     gsd = F.col("_gsd")
     g = F.when(gsd == 0, F.lit(1.0)).otherwise(gsd)
     sd = F.when((F.col("_n") <= 1) | (F.col("_sd") == 0), g).otherwise(F.col("_sd"))
-    rows = (pred.withColumn("_prev", F.when(prev_is_adjacent, F.lag(actual).over(w)))
-            .withColumn("_has_prev", F.coalesce(prev_is_adjacent, F.lit(False)))
+    rows = (pred.select(
+        "*", F.when(prev_is_adjacent, F.lag(actual).over(w)).alias("_prev"),
+        F.coalesce(prev_is_adjacent, F.lit(False)).alias("_has_prev"),
+        F.stddev_pop(actual).over(by_key).alias("_sd"), F.count(F.lit(1)).over(by_key).alias("_n"),
+        F.max_by(F.col(actual), F.when(F.col(actual).isNotNull(), F.col(period))).over(by_key).alias("_known"))
             .filter(F.col(period) >= eval_from))
     last = F.coalesce(F.when(F.col("_has_prev"), F.col("_prev")).otherwise(F.col(actual)),
                       F.col("_known"))
-    out = (rows.join(stats, key)
-           .withColumn("_gsd", pred.agg(F.stddev_pop(actual)).scalar())
+    out = (rows.withColumn("_gsd", pred.agg(F.stddev_pop(actual)).scalar())
            .withColumn("last_actual", last)
            .withColumn("_thr", sd * k))
     return (out.filter(F.col("last_actual").isNotNull()

@@ -170,6 +170,8 @@ def arima_fit_forecast(y: np.ndarray, p: int, d: int, q: int, steps: int):
     Coefficients are shrunk into the stationary / invertible region.  The
     first ``d`` fitted values are undefined (NaN).
     """
+    if d > 1:
+        raise ValueError("differences of order 0 or 1 only")
     y = np.asarray(y, dtype=float)
     if len(y) < MIN_POINTS or not np.all(np.isfinite(y)):
         return None
@@ -218,6 +220,45 @@ def arima_fit_forecast(y: np.ndarray, p: int, d: int, q: int, steps: int):
     return fitted, forecast
 
 
+def naive_fallback(grid: DataFrame, fitted_keys: DataFrame, train_to: int, key: str = "key", period: str = "period",
+                   value: str = "value") -> DataFrame:
+    """Rows ``key, period, kind, forecast`` for the keys without any fitted candidate.
+
+    Train rows forecast themselves (there is no in-sample fit); later ones get
+    the last known train value, 0 where there is none.
+    """
+    rest = grid.join(fitted_keys.select(key).distinct(), key, "left_anti")
+    in_train = F.col(period) <= train_to
+    last = F.max_by(F.col(value), F.when(in_train & F.col(value).isNotNull(), F.col(period))).over(Window.partitionBy(key))
+    return rest.select(key, period, F.when(in_train, "fit").otherwise("fc").alias("kind"),
+                       F.when(in_train, F.col(value)).otherwise(F.coalesce(last, F.lit(0.0))).alias("forecast"))
+
+
+def forecast_chosen(history: DataFrame, chosen: DataFrame, steps: int, cap: int = TRAIN_CAP, key: str = "key",
+                    period: str = "period", value: str = "value") -> DataFrame:
+    """``key, period, forecast``: ``steps`` periods after each key's last one, by its chosen order.
+
+    ``chosen``: key, p, d, q.  The order is fitted again on the last ``cap``
+    periods of the whole history; a key without a chosen order takes (0, 1, 0),
+    one whose fit fails repeats its last value (0 where it has none).
+    """
+    schema = f"{key} {dict(history.dtypes)[key]}, {period} int, forecast double"
+    rows = history.select(key, period, value).join(chosen.select(key, "p", "d", "q"), key, "left")
+
+    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(period)
+        y = pdf[value].to_numpy(dtype=float)[-cap:]
+        order = [0, 1, 0] if pdf["p"].isna().any() else [int(pdf[c].iloc[0]) for c in "pdq"]
+        res = arima_fit_forecast(y, *order, steps)
+        known = y[np.isfinite(y)]
+        future = res[1] if res is not None else np.full(steps, known[-1] if len(known) else 0.0)
+        at = int(pdf[period].iloc[-1]) + 1 + np.arange(steps)
+        return pd.DataFrame({key: pdf[key].iloc[0], period: at.astype("int32"), "forecast": future})
+
+    ship_package(history.sparkSession)
+    return rows.groupBy(key).applyInPandas(per_key, schema)
+
+
 CANDIDATE_SCHEMA = ("key string, train_window string, order_idx int, p int, q int, "
                     "period int, kind string, forecast double")
 
@@ -230,7 +271,7 @@ def fit_candidates(train: DataFrame, first_future: int, steps: int, cap: int = T
     ``train`` holds each key's (imputed, gap-free) training series.  Output
     rows: kind 'fit' for in-sample fitted values, 'fc' for forecasts at
     periods first_future .. first_future + steps - 1.  Failed fits (too few
-    points, non-finite output) yield no rows.
+    points, non-finite output) yield no rows; ``naive_fallback`` serves such keys.
     """
     orders = tuple(orders)
 

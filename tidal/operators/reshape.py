@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,24 +11,31 @@ def densify(df: DataFrame, lo: int | None = None, hi: int | None = None, fill=No
             value: str = "value") -> DataFrame:
     """Every period of a range exists for every key; missing cells get ``fill``.
 
-    Each key's observations are gathered into one map (bounded by the length
-    of the period axis, not by the data volume) and the range is generated
-    with ``explode(sequence(...))``; no join, no cross join.  The output stays
-    hash-partitioned by key, so the per-key windows that usually follow need
-    no further exchange.  ``per_key_range`` uses each key's own first..last
-    period.  Duplicate (key, period) cells are an error.
+    Each row fills the gap up to its key's next row (the first one also the gap
+    before it) with ``explode(sequence(...))`` inside one key window: no join,
+    no buffer per key, and the output stays hash-partitioned by key, so the
+    per-key windows that usually follow need no further exchange.
+    ``per_key_range`` uses each key's own first..last period; otherwise rows
+    outside ``lo``..``hi`` are left out.  Duplicate (key, period) cells are an error.
     """
     others = [c for c in df.columns if c not in (key, period)]
-    g = df.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(period), F.struct(*others)))).alias("_m"),
-        F.min(period).alias("_lo"), F.max(period).alias("_hi"))
-    rng = F.sequence("_lo", "_hi") if per_key_range else F.sequence(F.lit(lo), F.lit(hi))
-    out = g.select(key, "_m", F.explode(rng).alias(period))
-    cell = F.try_element_at(F.col("_m"), F.col(period))
-    out = out.select(key, period, *[cell[c].alias(c) for c in others])
+    w = Window.partitionBy(key).orderBy(period)
+    near = df.select("*", F.lead(period).over(w).alias("_next"), F.lag(period).over(w).alias("_prev"))
+    start, end = F.col(period), F.col("_next") - 1
+    if per_key_range:
+        end = F.coalesce(end, F.col(period))
+    else:
+        start = F.greatest(F.when(F.col("_prev").isNull(), F.lit(lo)).otherwise(start), F.lit(lo))
+        end = F.least(F.coalesce(end, F.lit(hi)), F.lit(hi))
+    twice = F.raise_error(F.concat(F.lit("duplicate cell at period "), F.col(period).cast("string")))
+    cells = F.when(F.col("_next") == F.col(period), twice.cast("array<int>")).when(
+        start <= end, F.sequence(start.cast("int"), end.cast("int")))
+    out = near.select("*", F.explode(cells).alias("_cell"))
+    own = F.col("_cell") == F.col(period)
+    kept = {c: F.when(own, F.col(c)) for c in others}
     if fill is not None:
-        out = out.withColumn(value, F.coalesce(F.col(value), F.lit(fill)))
-    return out
+        kept[value] = F.coalesce(kept[value], F.lit(fill))
+    return out.select(key, F.col("_cell").alias(period), *[kept[c].alias(c) for c in others])
 
 
 def pivot_series(df: DataFrame, periods: list[int], key: str = "key", period: str = "period",
@@ -70,3 +77,9 @@ def tag_union(parts: dict[str, DataFrame], tag: str) -> DataFrame:
         d = df.withColumn(tag, F.lit(name))
         out = d if out is None else out.unionByName(d)
     return out
+
+
+def tag_ranges(df: DataFrame, ranges: dict[str, tuple[int, int]], tag: str, period: str = "period") -> DataFrame:
+    """Each row once per named period range that holds it, tagged with the name, in one pass."""
+    names = F.array(*[F.when(F.col(period).between(lo, hi), F.lit(name)) for name, (lo, hi) in ranges.items()])
+    return df.select("*", F.explode(F.array_compact(names)).alias(tag))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidal.functions.scalar import finite_or_null
@@ -27,9 +28,10 @@ def span(spark, sf_dir) -> int:
     return max(1, last - first)
 
 
-def history(spark, sf_dir):
+def history(spark, sf_dir, p=None):
     """Observed part of the prediction table (periods up to the last test period)."""
-    return (predictions(spark, sf_dir).filter(F.col("period") <= TEST[1])
+    p = predictions(spark, sf_dir) if p is None else p
+    return (p.filter(F.col("period") <= TEST[1])
             .select("key", "period", F.col("actual").alias("value")))
 
 
@@ -131,9 +133,9 @@ def q_forecast_naive(spark, sf_dir):
 
 # ------------------------------------------------------------- horizons / risk
 
-def horizon_chain(spark, sf_dir):
+def horizon_chain(spark, sf_dir, p=None):
     """History (mean-imputed) + 10-step drift forecast, then the floored index chain."""
-    hist = series.impute_series_mean(history(spark, sf_dir))
+    hist = series.impute_series_mean(history(spark, sf_dir, p))
     return series.index_chain(forecast.extend_drift(hist, forecast.TRAIN_CAP, 10))
 
 
@@ -160,7 +162,7 @@ def q_forecast_horizons(spark, sf_dir):
     return horizons_from(horizon_rows(spark, sf_dir))
 
 
-def horizon_rows(spark, sf_dir):
+def horizon_rows(spark, sf_dir, p=None):
     """The index chain's rows inside the forecast horizons, written once to the shared folder.
 
     Both the horizon table and the risk components read only these rows
@@ -170,13 +172,12 @@ def horizon_rows(spark, sf_dir):
     """
     lo = min(a for a, _ in HORIZONS.values())
     hi = max(b for _, b in HORIZONS.values())
-    chain = horizon_chain(spark, sf_dir).filter(F.col("period").between(lo, hi))
+    chain = horizon_chain(spark, sf_dir, p).filter(F.col("period").between(lo, hi))
     return materialize(chain.select("key", "period", "ofr_change", "inflation_pct"), "horizon_rows")
 
 
 def horizons_from(rows):
-    parts = {h: rows.filter(F.col("period").between(lo, hi)) for h, (lo, hi) in HORIZONS.items()}
-    return rounded(reshape.tag_union(parts, "horizon"))
+    return rounded(reshape.tag_ranges(rows, HORIZONS, "horizon"))
 
 
 def risk_from(rows):
@@ -351,16 +352,57 @@ def q_arima_candidates(spark, sf_dir):
     return candidate_maes(arima_candidate_table(spark, sf_dir, p), p)
 
 
-@register("backtest")
-def q_backtest(spark, sf_dir):
-    """Window choice -> order choice -> val / test metrics (rounded to 4) per key."""
+@register("arima_naive_candidates", f"""WITH {sql.PREDICTIONS},
+n AS (SELECT key, count(*) AS n FROM predictions WHERE period <= {TRAIN[1]} GROUP BY key HAVING count(actual) > 0)
+SELECT n.key, w.train_window, round(avg(abs(p.actual - p.forecast)), 6) + 0.0 AS val_mae
+FROM n JOIN predictions p ON p.key = n.key JOIN (VALUES ('full', 5), ('capped', {forecast.TRAIN_CAP + 1})) w(train_window, least_n)
+  ON n.n >= w.least_n
+WHERE p.period BETWEEN {VAL[0]} AND {VAL[1]} AND p.actual IS NOT NULL GROUP BY 1, 2""")
+def q_arima_naive_candidates(spark, sf_dir):
+    """The (0, 1, 0) candidates, whose fit is exact: the last train value, in both windows."""
+    p = shared_predictions(spark, sf_dir)
+    maes = candidate_maes(arima_candidate_table(spark, sf_dir, p), p)
+    return rounded(maes.filter("order_idx = 0").select("key", "train_window", "val_mae"))
+
+
+def backtest_rows(spark, sf_dir):
+    """key, period, split, actual, forecast: the chosen candidate's rows, naive ones for keys without a fit."""
     p = shared_predictions(spark, sf_dir)
     cands = arima_candidate_table(spark, sf_dir, p)
     maes = candidate_maes(cands, p)
     chosen = forecast.choose_order(maes.join(forecast.choose_window(maes), ["key", "train_window"]), "simple")
-    rows = (cands.join(chosen.select("key", "train_window", "order_idx"), ["key", "train_window", "order_idx"])
-            .join(p.select("key", "period", "actual"), ["key", "period"]))
-    rows = rows.withColumn("split", F.when(F.col("kind") == "fit", "train")
-                           .when(F.col("period") <= VAL[1], "val").otherwise("test"))
-    m = evaluate.eval_by_split(rows)
+    chosen = materialize(chosen.select("key", "train_window", "order_idx"), "chosen_orders")
+    fitted = cands.join(chosen, ["key", "train_window", "order_idx"]).select("key", "period", "kind", "forecast")
+    grid = p.filter(F.col("period") <= TEST[1]).select("key", "period", F.col("actual").alias("value"))
+    train_mean = F.avg(F.when(F.col("period") <= TRAIN[1], F.col("value"))).over(Window.partitionBy("key"))
+    grid = grid.withColumn("value", F.coalesce("value", F.when(F.col("period") <= TRAIN[1], train_mean)))
+    rows = fitted.unionByName(forecast.naive_fallback(grid, chosen, TRAIN[1]))
+    split = F.when(F.col("kind") == "fit", "train").when(F.col("period") <= VAL[1], "val").otherwise("test")
+    return rows.join(p.select("key", "period", "actual"), ["key", "period"]).select(
+        "key", "period", split.alias("split"), "actual", "forecast")
+
+
+@register("backtest")
+def q_backtest(spark, sf_dir):
+    """Window choice -> order choice -> val / test metrics (rounded to 4) of every key."""
+    m = evaluate.eval_by_split(backtest_rows(spark, sf_dir))
     return m.select("key", *[F.round(c, 4).alias(c) for c in m.columns if c != "key"])
+
+
+@register("backtest_predictions")
+def q_backtest_predictions(spark, sf_dir):
+    """Train, val and test rows with actual and forecast, the input of enrichment and evaluation."""
+    return rounded(backtest_rows(spark, sf_dir))
+
+
+@register("arima_horizons")
+def q_arima_horizons(spark, sf_dir):
+    """The next 10 periods by the order of least val MAE, fitted again on the last 18 of all history."""
+    p = shared_predictions(spark, sf_dir)
+    maes = candidate_maes(arima_candidate_table(spark, sf_dir, p), p)
+    best = forecast.choose_order(maes.join(forecast.choose_window(maes), ["key", "train_window"]), "best")
+    order = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(o, "pdq")]) for o in forecast.ORDERS])
+    chosen = best.select("key", F.element_at(order, F.col("order_idx") + 1).alias("o")).select("key", "o.*")
+    hist = series.impute_series_mean(history(spark, sf_dir, p))
+    steps = max(b for _, b in HORIZONS.values()) - TEST[1]
+    return rounded(forecast.forecast_chosen(hist, chosen, steps))

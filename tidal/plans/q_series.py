@@ -176,10 +176,10 @@ SELECT key, period, actual AS value, 'history' AS kind FROM predictions WHERE pe
 UNION ALL
 SELECT key, period, forecast AS value, 'forecast' AS kind FROM predictions WHERE period >= {FUTURE[0]}""")
 def q_history_plus_forecast(spark, sf_dir):
-    p = predictions(spark, sf_dir)
-    hist = p.filter(F.col("period") <= TEST[1]).select("key", "period", F.col("actual").alias("value"))
-    fut = p.filter(F.col("period") >= FUTURE[0]).select("key", "period", F.col("forecast").alias("value"))
-    return reshape.tag_union({"history": hist, "forecast": fut}, "kind")
+    past = F.col("period") <= TEST[1]
+    return predictions(spark, sf_dir).select(
+        "key", "period", F.when(past, F.col("actual")).otherwise(F.col("forecast")).alias("value"),
+        F.when(past, "history").otherwise("forecast").alias("kind"))
 
 
 @register("merge_forecast", f"""WITH {sql.PREDICTIONS}
@@ -189,8 +189,10 @@ SELECT p.key, p.period, p.forecast AS value, 'forecast' AS src FROM predictions
 WHERE NOT EXISTS (SELECT 1 FROM supplier_month m WHERE m.key = p.key AND m.period = p.period)""")
 def q_merge_forecast(spark, sf_dir):
     """Left merge where the main table wins on collisions (anti-join of the other side)."""
-    main = supplier_month(spark, sf_dir).withColumn("src", F.lit("main"))
-    fc = predictions(spark, sf_dir).select("key", "period", F.col("forecast").alias("value"),
+    p = shared_predictions(spark, sf_dir)
+    main = p.filter("actual IS NOT NULL").select("key", "period", F.col("actual").alias("value"),
+                                                 F.lit("main").alias("src"))
+    fc = p.select("key", "period", F.col("forecast").alias("value"),
                                           F.lit("forecast").alias("src"))
     return reshape.merge_main_wins(main, fc, ["key", "period"])
 
@@ -205,9 +207,7 @@ def q_union_horizons(spark, sf_dir):
     """Short and long forecast horizons stacked with a horizon tag."""
     e = series.enrich_predictions(predictions(spark, sf_dir)).select(
         "key", "period", "ofr_change", "inflation_pct")
-    parts = {"h3": e.filter(F.col("period").between(FUTURE[0], FUTURE[0] + 2)),
-             "h7": e.filter(F.col("period").between(*FUTURE))}
-    return rounded(reshape.tag_union(parts, "horizon"))
+    return rounded(reshape.tag_ranges(e, {"h3": (FUTURE[0], FUTURE[0] + 2), "h7": FUTURE}, "horizon"))
 
 
 @register("split_by_period", f"""WITH {sql.PREDICTIONS}

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from tidal.functions import scalar
 from tidal.operators import bands, embed, reshape, series
 from tidal.plans import sql
-from tidal.plans.q_forecast import RISK_CTE, SQL_HORIZON, q_forecast_horizons, risk_and_horizons
+from tidal.plans.q_forecast import (RISK_CTE, SQL_HORIZON, horizon_rows, horizons_from, q_forecast_horizons,
+                                    q_risk_from_horizons, risk_and_horizons)
 from tidal.plans.q_text import _SQL_SENT, _sql_html_text, _sql_lines, _sql_pack, q_page_chunks, q_pack_chunks
 from tidal.plans.registry import register, rounded
-from tidal.plans.views import FUTURE, predictions
+from tidal.plans.views import FUTURE, shared_predictions
+from tidal.session import materialize
 from tidal.sources import io
 from tidal.sources.tables import read_table
 from tidal.operators import text
@@ -18,14 +20,13 @@ from tidal.operators import text
 KEYS = ["key", "period", "horizon"]
 
 
-def upsert_batch(spark, sf_dir):
+def upsert_batch(p):
     """New forecast rows: the naive-forecast chain over the future periods.
 
     Tagged horizon '10' they hit existing keys (update); tagged '3' they are new.
     """
-    e = series.enrich_predictions(predictions(spark, sf_dir)).filter(F.col("period").between(*FUTURE))
-    e = rounded(e.select("key", "period", "ofr_change", "inflation_pct"))
-    return reshape.tag_union({"10": e, "3": e.filter(F.col("period") <= FUTURE[0] + 2)}, "horizon")
+    e = series.enrich_predictions(p).select("key", "period", "ofr_change", "inflation_pct")
+    return rounded(reshape.tag_ranges(e, {"10": FUTURE, "3": (FUTURE[0], FUTURE[0] + 2)}, "horizon"))
 
 
 _SQL_BATCH = f""",
@@ -50,8 +51,52 @@ SELECT coalesce(t.key, s.key) AS key, coalesce(t.period, s.period) AS period,
 FROM tgt t FULL OUTER JOIN src s ON t.key = s.key AND t.period = s.period AND t.horizon = s.horizon""")
 def q_upsert_forecast(spark, sf_dir):
     """ON CONFLICT (key, period, horizon) DO UPDATE of the two value columns; context survives."""
-    target = q_forecast_horizons(spark, sf_dir).withColumn("context_meaning", F.lit("base forecast"))
-    return io.upsert(target, upsert_batch(spark, sf_dir), KEYS, ["ofr_change", "inflation_pct"], check=False)
+    p = shared_predictions(spark, sf_dir)
+    target = horizons_from(horizon_rows(spark, sf_dir, p)).withColumn("context_meaning", F.lit("base forecast"))
+    return io.upsert(target, upsert_batch(p), KEYS, ["ofr_change", "inflation_pct"])
+
+
+@register("forecast_sink_types", SQL_HORIZON + f"""
+SELECT key, period, horizon, CAST(CAST(round(ofr_change, 6) AS DECIMAL(38,12)) AS DECIMAL(12,6)) AS ofr_change,
+       CAST(CAST(round(inflation_pct, 6) AS DECIMAL(38,12)) AS DECIMAL(12,6)) AS inflation_pct
+FROM (SELECT key, period, CASE WHEN isfinite(ofr_change) THEN ofr_change END AS ofr_change,
+             CASE WHEN isfinite(inflation_pct) THEN inflation_pct END AS inflation_pct, h AS horizon
+      FROM ix, (VALUES ('5', {FUTURE[0]}, {FUTURE[0] + 4}), ('10', {FUTURE[0]}, {FUTURE[0] + 9})) v(h, lo, hi)
+      WHERE period BETWEEN lo AND hi)""")
+def q_forecast_sink_types(spark, sf_dir):
+    """Forecast rows in the sink's types: DECIMAL(12,6), NaN and inf as NULL."""
+    f = q_forecast_horizons(spark, sf_dir)
+    return f.select("key", "period", "horizon", *[
+        bands.to_sink_decimal(F.col(c), 12, 6).alias(c) for c in ("ofr_change", "inflation_pct")])
+
+
+#: The moment that the risk upsert stamps (a constant, so that reruns agree).
+STAMP = "2024-01-01 00:00:00"
+
+
+@register("upsert_risk", RISK_CTE + f""",
+s AS (SELECT key, CAST(CAST(risk_score_5 AS DECIMAL(38,12)) AS DECIMAL(6,4)) AS s5,
+             CAST(CAST(risk_score_10 AS DECIMAL(38,12)) AS DECIMAL(6,4)) AS s10 FROM risk)
+SELECT key, CASE WHEN CAST(key AS BIGINT) % 2 = 0 THEN s5 ELSE NULL END AS risk_score_5,
+       CASE WHEN CAST(key AS BIGINT) % 2 = 0 THEN s10 ELSE NULL END AS risk_score_10,
+       CASE WHEN CAST(key AS BIGINT) % 3 = 0 THEN 'stored' END AS context_meaning,
+       CASE WHEN CAST(key AS BIGINT) % 2 = 0 THEN TIMESTAMP '{STAMP}' END AS updated_at
+FROM s WHERE CAST(key AS BIGINT) % 2 = 0 OR CAST(key AS BIGINT) % 3 = 0""")
+def q_upsert_risk(spark, sf_dir):
+    """Risk rows upserted on the key: new scores and ``updated_at``; contexts and other rows survive.
+
+    The stored table holds every third key without scores; the batch, the scores of every second.
+    """
+    risk = q_risk_from_horizons(spark, sf_dir).select("key", *[
+        bands.to_sink_decimal(F.col(c), 6, 4).alias(c) for c in ("risk_score_5", "risk_score_10")])
+    risk = materialize(risk, "risk_sink")
+    n = F.col("key").cast("long")
+    none = F.lit(None)
+    stored = risk.filter(n % 3 == 0).select(
+        "key", none.cast("decimal(6,4)").alias("risk_score_5"), none.cast("decimal(6,4)").alias("risk_score_10"),
+        F.lit("stored").alias("context_meaning"), none.cast("timestamp_ntz").alias("updated_at"))
+    return io.upsert(stored, risk.filter(n % 2 == 0), ["key"], ["risk_score_5", "risk_score_10"], touch="updated_at",
+                     now=F.lit(STAMP).cast("timestamp_ntz"))
 
 
 def _band_sql(s: str) -> str:
@@ -60,8 +105,16 @@ def _band_sql(s: str) -> str:
             f"WHEN {s} < {lo} THEN 'low' WHEN {s} < {mid} THEN 'medium' ELSE 'high' END")
 
 
-def _f6(x: str) -> str:
-    return f"coalesce(printf('%.6f', round({x}, 6)), 'None')"
+def _num(x: str, kind: str) -> str:
+    return f"coalesce(CAST(CAST(CAST({x} AS DECIMAL(38,12)) AS {kind}) AS VARCHAR), 'None')"
+
+
+def _score(x: str) -> str:
+    return _num(x, "DECIMAL(6,4)")
+
+
+def _metric(x: str) -> str:
+    return _num(f"round(CASE WHEN isfinite({x}) THEN {x} END, 6)", "DECIMAL(12,6)")
 
 
 _BAND_VALUES = ", ".join(f"('{b}', '{ctx}')" for b, _, _, ctx, _ in bands.BAND_ROWS)
@@ -72,15 +125,16 @@ fh AS (SELECT key, period, ofr_change, inflation_pct, '5' AS horizon FROM ix WHE
        UNION ALL
        SELECT key, period, ofr_change, inflation_pct, '10' FROM ix WHERE period BETWEEN {FUTURE[0]} AND {FUTURE[0] + 9})
 SELECT 'country_risk_category' AS source_type, key AS source_id,
-       'Country: ' || key || '. 5-year risk: ' || {_band_sql('risk_score_5')} || ' (score ' || {_f6('risk_score_5')}
-       || '). 10-year risk: ' || {_band_sql('risk_score_10')} || ' (score ' || {_f6('risk_score_10')} || ').' AS content
-FROM risk
+       CASE WHEN s_acctbal < 0 THEN s_name || ' owes ' || CAST(CAST(-s_acctbal AS BIGINT) AS VARCHAR) ELSE
+       'Country: ' || key || '. 5-year risk: ' || {_band_sql('risk_score_5')} || ' (score ' || {_score('risk_score_5')}
+       || '). 10-year risk: ' || {_band_sql('risk_score_10')} || ' (score ' || {_score('risk_score_10')} || ').' END AS content
+FROM risk LEFT JOIN supplier ON CAST(s_suppkey AS VARCHAR) = key
 UNION ALL
 SELECT 'risk_score_intervals', b, ctx FROM (VALUES {_BAND_VALUES}) v(b, ctx)
 UNION ALL
 SELECT 'forecast_metrics', key || '|' || CAST(period AS VARCHAR) || '|' || horizon,
        'Country: ' || key || ', Year: ' || CAST(period AS VARCHAR) || ', Horizon: ' || horizon || '. OFR change: '
-       || {_f6('ofr_change')} || ', Inflation %: ' || {_f6('inflation_pct')} || '.'
+       || {_metric('ofr_change')} || ', Inflation %: ' || {_metric('inflation_pct')} || '.'
 FROM fh""")
 def q_describe_rows(spark, sf_dir):
     """Embedding source rows from three tables: context text if present, else a sentence."""
@@ -92,11 +146,16 @@ def describe_rows(spark, sf_dir):
     no_ctx = F.lit(None).cast("string")
     b5 = scalar.risk_band(F.col("risk_score_5"), "raw")
     b10 = scalar.risk_band(F.col("risk_score_10"), "raw")
-    r = risk.select(F.lit("country_risk_category").alias("source_type"), F.col("key").alias("source_id"),
-                    embed.describe_row(no_ctx, F.concat(
+    # the stored context of a supplier: a remark on its debts, blank for the others
+    owes = F.concat("s_name", F.lit(" owes "), F.round(-F.col("s_acctbal")).cast("long").cast("string"))
+    ctx = read_table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("key"), F.when(F.col("s_acctbal") < 0, owes).otherwise(" \n").alias("ctx"))
+    r = risk.join(ctx, "key", "left").select(
+                    F.lit("country_risk_category").alias("source_type"), F.col("key").alias("source_id"),
+                    embed.describe_row(F.col("ctx"), F.concat(
                         F.lit("Country: "), F.col("key"), F.lit(". 5-year risk: "), b5, F.lit(" (score "),
-                        embed.fmt6(F.col("risk_score_5")), F.lit("). 10-year risk: "), b10,
-                        F.lit(" (score "), embed.fmt6(F.col("risk_score_10")), F.lit(")."))).alias("content"))
+                        embed.fmt(F.col("risk_score_5"), 6, 4), F.lit("). 10-year risk: "), b10,
+                        F.lit(" (score "), embed.fmt(F.col("risk_score_10"), 6, 4), F.lit(")."))).alias("content"))
     dim = bands.band_dimension(spark).select(
         F.lit("risk_score_intervals").alias("source_type"), F.col("band_name").alias("source_id"),
         F.col("context_meaning").alias("content")).filter(F.length(F.trim("content")) > 0)
@@ -105,8 +164,8 @@ def describe_rows(spark, sf_dir):
                   embed.describe_row(no_ctx, F.concat(
                       F.lit("Country: "), F.col("key"), F.lit(", Year: "), F.col("period").cast("string"),
                       F.lit(", Horizon: "), F.col("horizon"), F.lit(". OFR change: "),
-                      embed.fmt6(F.col("ofr_change")), F.lit(", Inflation %: "),
-                      embed.fmt6(F.col("inflation_pct")), F.lit("."))).alias("content"))
+                      embed.fmt(F.col("ofr_change"), 12, 6), F.lit(", Inflation %: "),
+                      embed.fmt(F.col("inflation_pct"), 12, 6), F.lit("."))).alias("content"))
     return r.unionByName(dim).unionByName(f)
 
 
@@ -136,11 +195,14 @@ def q_embed_hash(spark, sf_dir):
 
 @register("embedding_table")
 def q_embedding_table(spark, sf_dir):
-    """Row descriptions embedded and upserted on (source_type, source_id)."""
-    rows = describe_rows(spark, sf_dir)
-    vecs = embed.embed_texts(rows)
-    empty = vecs.limit(0)
-    return io.upsert(empty, vecs, ["source_type", "source_id"], ["content", "embedding"], check=False)
+    """Row descriptions embedded and upserted on (source_type, source_id).
+
+    The stored table holds the bands and forecast rows with an outdated text;
+    they are updated, the risk rows are new.
+    """
+    vecs = materialize(embed.embed_texts(describe_rows(spark, sf_dir)), "row_vectors")
+    stored = vecs.filter("source_type <> 'country_risk_category'").withColumn("content", F.lit("outdated"))
+    return io.upsert(stored, vecs, ["source_type", "source_id"], ["content", "embedding"])
 
 
 @register("knn_lsh")
