@@ -150,6 +150,27 @@ def next_recommendation(recs: DataFrame, rejected: DataFrame, key: str = "key",
         .select(key, F.col("n.rank").alias("next_rank"), F.col(f"n.{item}").alias(item))
 
 
+def requested_bands(requests: DataFrame, bands: DataFrame, key: str = "key", horizon: str = "horizon",
+                    band: str = "band") -> DataFrame:
+    """The band of every requested (key, horizon); ``medium`` for an unknown key or horizon."""
+    found = requests.join(bands.select(key, horizon, F.col(band).alias("_band")), [key, horizon], "left")
+    return found.withColumn(band, F.coalesce("_band", F.lit("medium"))).drop("_band")
+
+
+def context_with_sources(ranked: DataFrame, group: str, text_col: str, source: str = "source", url: str = "url",
+                         rank: str = "rank", sep: str = "\n\n---\n\n") -> DataFrame:
+    """``[i] (Source: .., URL: ..)`` headers over whole texts, in rank order; missing parts are empty.
+
+    Groups hold at most k rows (the retrieval limit), so collecting them is bounded.
+    """
+    def part(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    block = F.concat(F.lit("["), F.col(rank).cast("string"), F.lit("] (Source: "), part(source), F.lit(", URL: "),
+                     part(url), F.lit(")\n"), part(text_col))
+    items = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), block.alias("t"))))
+    return ranked.groupBy(group).agg(F.array_join(F.transform(items, lambda x: x["t"]), sep).alias("context"))
+
+
 def assemble_context(ranked: DataFrame, group: str, text_col: str, rank: str = "rank",
                      sep: str = "\n\n") -> DataFrame:
     """Numbered ``[i] text`` blocks per group, in rank order (collect_list alone is unordered).

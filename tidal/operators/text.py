@@ -7,6 +7,9 @@ spread over Spark tasks by document and never leaves the JVM.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,25 +24,57 @@ MIN_SENTENCE_CHARS = 30
 TRUNCATE_LINES = 50
 TRUNCATE_CHARS = 3000
 
-# Named character references decoded after tags are removed
-# (``&amp;`` last so that an escaped reference is not decoded twice).
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-
 # Line breaks recognised when splitting text into lines (Python ``splitlines``).
 LINE_BREAKS = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
+def _code_point(code: Column) -> Column:
+    """The character of a numeric reference: windows-1252 for 128 to 159, U+FFFD for what is no character."""
+    old = {i: bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (129, 141, 143, 144, 157)}
+    table = F.from_json(F.lit(json.dumps(old)), "map<string,string>")
+    none = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    # UTF-8 bytes from the bits of the code point
+    def byte(mark, shift, keep):
+        return F.lpad(F.hex(F.lit(mark).bitwiseOR(F.shiftright(code, shift).bitwiseAND(keep))), 2, "0")
+    tail = [byte(0x80, s, 0x3F) for s in (0, 6, 12)]
+    utf8 = (F.when(code < 0x80, byte(0, 0, 0x7F))
+            .when(code < 0x800, F.concat(byte(0xC0, 6, 0x1F), tail[0]))
+            .when(code < 0x10000, F.concat(byte(0xE0, 12, 0x0F), tail[1], tail[0]))
+            .otherwise(F.concat(byte(0xF0, 18, 0x07), tail[2], tail[1], tail[0])))
+    return F.when(none, "\ufffd").otherwise(
+        F.coalesce(F.try_element_at(table, code.cast("string")), F.decode(F.unhex(utf8), "UTF-8")))
+
+
+def decode_references(text: Column) -> Column:
+    """Every character reference decoded once: all HTML 5 names and decimal or hexadecimal numbers.
+
+    References end with a semicolon; unknown names stay as they are.
+    """
+    names = {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
+    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+
+    def piece(s: Column) -> Column:
+        ref = F.regexp_extract(s, r"^(#[0-9]{1,12}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);", 1)
+        rest = F.substring(s, F.length(ref) + 2, F.length(s))
+        base = F.when(F.substring(ref, 2, 1).isin("x", "X"), 16).otherwise(10)
+        digits = F.when(base == 16, F.substring(ref, 3, 12)).otherwise(F.substring(ref, 2, 12))
+        code = F.when(base == 16, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        char = F.when(ref.startswith("#"), _code_point(code)).otherwise(F.try_element_at(table, ref))
+        return F.when((ref != "") & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), s))
+
+    parts = F.split(text, "&")
+    decoded = F.concat(F.element_at(parts, 1),
+                       F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
+    return F.when(text.contains("&"), decoded).otherwise(text)
+
+
 def html_text(html: Column, drop_tags=("script", "style")) -> Column:
     """Body text with the given elements and comments removed, tags turned into line breaks."""
     body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)
     body = F.when(body == "", html).otherwise(body)
     drop = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in drop_tags)
     body = F.regexp_replace(body, rf"(?is){drop}|<!--.*?-->", "")
-    text = F.regexp_replace(body, r"<[^>]*>", "\n")
-    for ent, ch in ENTITIES:
-        text = F.replace(text, F.lit(ent), F.lit(ch))
-    return text
+    return decode_references(F.regexp_replace(body, r"<[^>]*>", "\n"))
 
 
 def text_lines(text: Column, min_chars: int) -> Column:

@@ -74,6 +74,12 @@ def _sql_band(s: str) -> str:
             f"WHEN {s} < {lo} THEN 'low' WHEN {s} < {mid} THEN 'medium' ELSE 'high' END")
 
 
+def _sql_raw(s: str) -> str:
+    lo, mid = scalar.BAND_LOW_MAX, scalar.BAND_MEDIUM_MAX
+    return (f"CASE WHEN {s} IS NULL OR isnan({s}) THEN 'medium' WHEN {s} < 0 THEN 'low' "
+            f"WHEN {s} < {lo} THEN 'low' WHEN {s} < {mid} THEN 'medium' ELSE 'high' END")
+
+
 _SQL_TOPK = "CASE " + " ".join(f"WHEN band = '{b}' THEN {k}" for b, k in bands.TOP_K.items()) + " END"
 
 SQL_RECS = RISK_CTE + f""",
@@ -127,6 +133,58 @@ def q_assemble_context(spark, sf_dir):
     return retrieve.assemble_context(top.join(docs, "vec_id"), "qid", "txt")
 
 
+@register("context_with_sources", f"""WITH {_SQL_VEC}, {_sql_knn(_COS, True, K)},
+t AS (SELECT nn.qid, nn.rank, '[' || CAST(nn.rank AS VARCHAR) || '] (Source: ' || coalesce(d.source, '') || ', URL: '
+             || coalesce(p.url, '') || ')' || chr(10) || coalesce(d.text, '') AS txt
+      FROM nn LEFT JOIN documents d ON d.doc_id = nn.vec_id LEFT JOIN pages p ON p.page_id = nn.vec_id)
+SELECT qid, string_agg(txt, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+FROM t GROUP BY qid""")
+def q_context_with_sources(spark, sf_dir):
+    """Context blocks with source and URL headers; a neighbour without a document keeps its empty block."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    top = retrieve.knn(emb, _queries(spark, sf_dir), K, "cosine")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
+    pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("vec_id"), "url")
+    return retrieve.context_with_sources(top.join(docs, "vec_id", "left").join(pages, "vec_id", "left"), "qid", "text")
+
+
+@register("recommend_by_horizon", RISK_CTE + f""",
+pred AS (SELECT key, risk_score_5, risk_score_10, CASE WHEN risk_score_10 >= risk_score_5 THEN {_sql_raw('risk_score_10')} END AS label FROM risk),
+bands AS (SELECT key, '5' AS horizon, coalesce(label, {_sql_band('risk_score_5')}) AS band FROM pred
+          UNION ALL SELECT key, '10', {_sql_band('risk_score_10')} FROM pred),
+req AS (SELECT CAST(s_suppkey AS VARCHAR) AS key, h AS horizon FROM supplier, (VALUES ('5'), ('10'), ('20')) v(h)
+        UNION ALL SELECT 'no such key', '5'),
+b AS (SELECT r.key, r.horizon, coalesce(bands.band, 'medium') AS band FROM req r
+      LEFT JOIN bands ON bands.key = r.key AND bands.horizon = r.horizon),
+qq AS (SELECT arg_min(embedding, vec_id)::DOUBLE[] AS qv FROM embeddings),
+rk AS (SELECT vec_id, row_number() OVER (ORDER BY round(list_sum(list_transform(range(1, len(e.v) + 1),
+                 lambda i: (e.v[i] - qq.qv[i]) * (e.v[i] - qq.qv[i]))), {retrieve.RANK_DIGITS}), vec_id) AS rank
+       FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) e CROSS JOIN qq)
+SELECT b.key, b.horizon, b.band, CAST(rk.rank AS INTEGER) AS rank, rk.vec_id
+FROM b JOIN rk ON rk.rank <= {_SQL_TOPK}""")
+def q_recommend_by_horizon(spark, sf_dir):
+    """Items per requested key and horizon: the predicted label or the score's band, ``medium`` where unknown.
+
+    The predicted label of the 5-period horizon is the 10-period band where that score is at least as high.
+    """
+    risk = q_risk_from_horizons(spark, sf_dir)
+    s5, s10 = F.col("risk_score_5"), F.col("risk_score_10")
+    label = F.when(s10 >= s5, scalar.risk_band(s10, "raw")).otherwise("")
+    # written once: the score's expression would otherwise be compiled into every use of the band
+    by_key = materialize(risk.select("key", F.array(
+        F.struct(F.lit("5").alias("horizon"), scalar.effective_band(label, s5).alias("band")),
+        F.struct(F.lit("10").alias("horizon"), scalar.risk_band(s10, "recommend").alias("band"))).alias("b")), "risk-horizon-bands")
+    known = by_key.select("key", F.explode("b").alias("b")).select("key", "b.*")
+    horizons = F.explode(F.array(*[F.lit(h) for h in ("5", "10", "20")])).alias("horizon")
+    asked = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), horizons)
+    asked = asked.unionByName(spark.createDataFrame([("no such key", "5")], "key string, horizon string"))
+    bands_ = retrieve.requested_bands(asked, known)
+    k = F.coalesce(*[F.when(F.col("band") == b, F.lit(n)) for b, n in bands.TOP_K.items()], F.lit(0))
+    ranked = ranked_for_query(spark, sf_dir)  # at most max(TOP_K) rows
+    return (bands_.withColumn("_k", k).filter("_k > 0").join(F.broadcast(ranked), F.col("rank") <= F.col("_k"))
+            .select("key", "horizon", "band", "rank", "vec_id"))
+
+
 @register("embedding_source_join", """
 SELECT e.vec_id, 'document' AS source_type, CAST(d.doc_id AS VARCHAR) AS source_id, d.lang, d.n_chars
 FROM embeddings e JOIN documents d ON CAST(e.vec_id AS VARCHAR) = CAST(d.doc_id AS VARCHAR)""")

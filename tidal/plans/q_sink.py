@@ -189,7 +189,8 @@ def q_union_sources(spark, sf_dir):
 @register("embed_hash")
 def q_embed_hash(spark, sf_dir):
     """Every document chunk embedded with the built-in TF-IDF hashing embedder."""
-    chunks = q_pack_chunks(spark, sf_dir).select("doc_id", "chunk_no", "content")
+    # written once: the embedder reads the texts for the term statistics and again for the vectors
+    chunks = materialize(q_pack_chunks(spark, sf_dir).select("doc_id", "chunk_no", "content"), "chunks")
     return embed.embed_texts(chunks).select("doc_id", "chunk_no", "embedding")
 
 
