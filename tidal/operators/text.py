@@ -28,6 +28,11 @@ TRUNCATE_CHARS = 3000
 LINE_BREAKS = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
+def _once(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def _code_point(code: Column) -> Column:
     """The character of a numeric reference: windows-1252 for 128 to 159, U+FFFD for what is no character."""
     old = {i: bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (129, 141, 143, 144, 157)}
@@ -50,28 +55,33 @@ def decode_references(text: Column) -> Column:
 
     References end with a semicolon; unknown names stay as they are.
     """
-    names = {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
+    first = ("amp", "nbsp", "quot", "lt", "gt", "apos", "copy", "middot")  # the most frequent ones are found first
+    names = {n: html5[f"{n};"] for n in first} | {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
     table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
-    def piece(s: Column) -> Column:
-        ref = F.regexp_extract(s, r"^(#[0-9]{1,12}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);", 1)
-        rest = F.substring(s, F.length(ref) + 2, F.length(s))
+    def number(ref: Column) -> Column:
         base = F.when(F.substring(ref, 2, 1).isin("x", "X"), 16).otherwise(10)
         digits = F.when(base == 16, F.substring(ref, 3, 12)).otherwise(F.substring(ref, 2, 12))
         code = F.when(base == 16, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
-        char = F.when(ref.startswith("#"), _code_point(code)).otherwise(F.try_element_at(table, ref))
-        return F.when((ref != "") & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), s))
+        return _once(code, _code_point)
+
+    def char(ref: Column) -> Column:
+        return F.when(ref == "", None).when(ref.startswith("#"), number(ref)).otherwise(F.try_element_at(table, ref))
+
+    def piece(s: Column) -> Column:
+        rest = F.substring(s, F.locate(";", s) + 1, F.length(s))
+        found = _once(F.regexp_extract(s, r"^(#[0-9]{1,12}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);", 1), char)
+        return F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), s))
+
+    def joined(parts: Column) -> Column:
+        return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
 
-    parts = F.split(text, "&")
-    decoded = F.concat(F.element_at(parts, 1),
-                       F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    return _once(F.split(text, "&"), joined)
 
 
 def html_text(html: Column, drop_tags=("script", "style")) -> Column:
     """Body text with the given elements and comments removed, tags turned into line breaks."""
-    body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)
-    body = F.when(body == "", html).otherwise(body)
+    body = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1), F.lit("")), html)
     drop = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in drop_tags)
     body = F.regexp_replace(body, rf"(?is){drop}|<!--.*?-->", "")
     return decode_references(F.regexp_replace(body, r"<[^>]*>", "\n"))
@@ -87,8 +97,9 @@ def html_to_lines(pages: DataFrame, html: str = "html", min_chars: int = MIN_LIN
                   drop_tags=("script", "style")) -> DataFrame:
     """One row per kept line: page columns + ``line_no`` + ``line``."""
     arr = text_lines(html_text(F.col(html), drop_tags), min_chars)
-    return pages.select(*[c for c in pages.columns if c != html],
-                        F.posexplode(arr).alias("line_no", "line"))
+    # the outer form plus a filter on its result: a plain explode would compute the array once more in a filter of its own
+    lines = pages.select(*[c for c in pages.columns if c != html], F.posexplode_outer(arr).alias("line_no", "line"))
+    return lines.filter(F.col("line").isNotNull())
 
 
 def sentences(text: Column) -> Column:
