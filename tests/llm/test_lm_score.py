@@ -82,6 +82,19 @@ def test_odd_rows(odd, empty):
     assert rows(lm_score.score(empty)) == []
 
 
+def test_what_the_broadcast_leaves_out_is_scored_in_full(docs, odd):
+    data = [(r["doc_id"], r["text"]) for r in docs.limit(40).collect()]
+    df = docs.sparkSession.createDataFrame(data, "doc_id long, text string").repartition(3)
+    same(rows(lm_score.score(df, max_pairs=100, head=50)), brute(data, 5))
+    same(rows(lm_score.score(odd, order=4, max_pairs=0, head=0)), brute([(r[0], r[1]) for r in ROWS], 4))
+
+
+def test_a_bound_holds_for_large_counts(spark):
+    counts = spark.range(40).selectExpr("(id + 1) * 30000 AS n")
+    for most in (0, 1, 7, 39, 40):
+        assert counts.filter(f"n > {lm_score._floor(counts, most, 'n')}").count() <= most
+
+
 def test_a_pruned_trie_is_still_a_probability():
     rng = random.Random(1)
     order, text = 2, bytes(rng.choices(b"abcd ", [5, 3, 2, 1, 4], k=400))

@@ -22,7 +22,11 @@ from tidal.session import materialize
 
 #: Bytes of context, at most 6 (a context and its symbol are packed into 56 bits).
 ORDER = 5
-#: (context, symbol) pairs of all orders that the broadcast trie holds at most: those of the highest counts.
+#: Contexts of so many bytes and more are scored by the task that has all contexts with the same last bytes.
+SPLIT = 3
+#: Contexts with their symbols that one step of such a task takes, about.
+CHUNK = 1 << 19
+#: Most frequent (context, symbol) pairs whose log probabilities are broadcast; all others are looked up by a join.
 MAX_PAIRS = 1 << 20
 #: Most frequent words whose counts are broadcast; all others are looked up by a join.
 HEAD = 1 << 18
@@ -154,38 +158,48 @@ def _codes(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gather(texts: DataFrame, order: int) -> DataFrame:
-    """kind, key, n: counts of words (0) and of contexts with their symbols (1) over all texts."""
-    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
+    """kind, key, n, used: counts of words (0) and of contexts with their symbols (1).
+
+    ``texts`` holds a text and whether it is held out.  ``n`` counts the training
+    texts; ``used`` all texts, so every context that will be scored has a row.
+    """
+    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("used", pa.int64())])
 
     def run(batches):
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        held: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[], []]
 
         def merged(kind):
-            keys = np.concatenate([k for k, _ in held[kind]])
+            keys, n, used = (np.concatenate(c) for c in zip(*held[kind]))
             order_ = np.argsort(keys, kind="stable")
-            keys, n = keys[order_], np.concatenate([n for _, n in held[kind]])[order_]
+            keys, n, used = keys[order_], n[order_], used[order_]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-            held[kind] = [(keys[first], np.add.reduceat(n, first) if len(keys) else n)]
+            held[kind] = [(keys[first], *(np.add.reduceat(c, first) if len(keys) else c for c in (n, used)))]
 
         def flush(kind):
             if held[kind]:
                 merged(kind)
-                (keys, n), = held[kind]
+                (keys, n, used), = held[kind]
                 held[kind] = []
                 for at in range(0, len(keys), 1 << 18):
                     k = keys[at:at + (1 << 18)]
-                    yield batch(schema, np.full(len(k), kind, np.int8), k.view(np.int64), n[at:at + (1 << 18)])
+                    yield batch(schema, np.full(len(k), kind, np.int8), k.view(np.int64), n[at:at + (1 << 18)],
+                                used[at:at + (1 << 18)])
 
         def size(kind):
-            return sum(len(k) for k, _ in held[kind])
+            return sum(len(k) for k, *_ in held[kind])
 
         for part in steps(batches, 0, 2 << 20):
-            each, _ = words(pc.ascii_lower(filled(part.column(0))))
-            coded = each.dictionary_encode()
-            held[0].append((word_keys(coded.dictionary),
-                            np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))))
-            code, _ = _codes(part.column(0), order)
-            held[1].append(np.unique(code, return_counts=True))
+            for rest in (False, True):
+                some = part.column(0).filter(pc.equal(part.column(1), rest))
+                if not len(some):
+                    continue
+                if not rest:
+                    each, _ = words(pc.ascii_lower(filled(some)))
+                    coded = each.dictionary_encode()
+                    n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
+                    held[0].append((word_keys(coded.dictionary), n, n))
+                keys, used = np.unique(_codes(some, order)[0], return_counts=True)
+                held[1].append((keys, np.zeros_like(used) if rest else used, used))
             for kind in (0, 1):
                 if size(kind) > HELD:
                     merged(kind)
@@ -194,13 +208,16 @@ def _gather(texts: DataFrame, order: int) -> DataFrame:
         for kind in (0, 1):
             yield from flush(kind)
 
-    return map_arrow(texts, run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return (map_arrow(texts, run, "kind byte, key long, n long, used long").groupBy("kind", "key")
+            .agg(F.sum("n").alias("n"), F.sum("used").alias("used")))
 
 
-def _floor(counts: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` rows exceed."""
+def _floor(counts: DataFrame, most: int, by: str) -> int:
+    """A least count that at most ``most`` rows exceed; counts above 2^16 are told apart by powers of two."""
     top = 1 << 16
-    rows = counts.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count("*").alias("rows")).collect()  # at most top
+    n = F.col(by)
+    level = F.when(n <= top, n).otherwise(F.expr(f"shiftleft(1L, length(bin({by})))"))  # no row of a level exceeds it
+    rows = counts.groupBy(level.alias("n")).agg(F.count("*").alias("rows")).collect()  # at most top and 47 more
     got = 0
     for r in sorted(rows, reverse=True):
         got += r["rows"]
@@ -209,21 +226,52 @@ def _floor(counts: DataFrame, most: int) -> int:
     return 0
 
 
-def _trie(counts: DataFrame, order: int, max_pairs: int) -> Trie:
-    """The trie of the most frequent pairs; counts of shorter contexts are sums over the longer ones, of all data."""
-    orders = F.array(*[F.struct(F.lit(j).alias("order"), F.col("key").bitwiseAND(F.lit(256 ** (j + 1) - 1)).alias("pair"))
-                       for j in range(order + 1)])
-    pairs = materialize(counts.filter("kind = 1").select(F.explode(orders).alias("p"), "n")
-                        .groupBy("p.order", "p.pair").agg(F.sum("n").alias("n")), "lm-pairs")
-    # a pair is never rarer than the same pair with a longer context, so those kept nest
-    rows = pairs.filter(F.col("n") > _floor(pairs, max_pairs)).toArrow()  # at most max_pairs rows
-    order_, pair, n = (rows.column(c).to_numpy() for c in ("order", "pair", "n"))
-    out = []
-    for j in range(order + 1):
-        key, m = pair[order_ == j].astype(np.uint64), n[order_ == j]
-        by = np.argsort(key)
-        out.append((key[by], m[by]))
-    return Trie(order, out)
+def _summed(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order and their counts."""
+    key, inverse = np.unique(pair, return_inverse=True)
+    return key, np.bincount(inverse, weights=n, minlength=len(key)).astype(np.int64)
+
+
+def _logs(counts: DataFrame, order: int) -> DataFrame:
+    """key, used, log: the log10 probability of every context and symbol of all texts, from all training counts.
+
+    Contexts that end alike meet in one task, so it has all that follows them at
+    SPLIT bytes and more; shorter contexts, whose number the alphabet bounds, are broadcast.
+    """
+    split = min(SPLIT, order)
+    counts = counts.filter("kind = 1")
+    low = []
+    if split:
+        short = (counts.filter("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(256 ** split - 1)).alias("pair"))
+                 .agg(F.sum("n").alias("n")).toArrow())  # at most 256 ** SPLIT rows
+        pair, n = short.column("pair").to_numpy().astype(np.uint64), short.column("n").to_numpy()
+        low = [_summed(pair & np.uint64(256 ** (j + 1) - 1), n) for j in range(split)]
+    shared = counts.sparkSession.sparkContext.broadcast(low)
+    schema = pa.schema([("key", pa.int64()), ("used", pa.int64()), ("log", pa.float64())])
+
+    def run(batches):
+        got = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
+        if not got:
+            return
+        key, n, used = (np.concatenate(c) for c in zip(*got))
+        key = key.astype(np.uint64)
+        end = (key >> np.uint64(8)) & np.uint64(256 ** split - 1)
+        by = np.argsort(end, kind="stable")
+        key, n, used, end = key[by], n[by], used[by], end[by]
+        edges = np.r_[np.flatnonzero(np.r_[True, end[1:] != end[:-1]]), len(end)]
+        at = 0
+        while at < len(key):  # whole ends, about CHUNK rows
+            to = int(edges[max(np.searchsorted(edges, at + CHUNK, side="right") - 1, np.searchsorted(edges, at) + 1)])
+            some, m = key[at:to], n[at:to]
+            pairs = [_summed(some[m > 0] & np.uint64(256 ** (j + 1) - 1), m[m > 0]) for j in range(split, order + 1)]
+            logs = Trie(order, [*shared.value, *pairs]).score(some)
+            for a in range(0, len(some), 1 << 18):
+                yield batch(schema, some[a:a + (1 << 18)].view(np.int64), used[at + a:min(to, at + a + (1 << 18))],
+                            logs[a:a + (1 << 18)])
+            at = to
+
+    ends = F.shiftright("key", 8).bitwiseAND(F.lit(256 ** split - 1))
+    return map_arrow(counts.select("key", "n", "used").repartition(ends), run, "key long, used long, log double")
 
 
 def score(docs: DataFrame, order: int = ORDER, max_pairs: int = MAX_PAIRS, head: int = HEAD,
@@ -237,37 +285,55 @@ def score(docs: DataFrame, order: int = ORDER, max_pairs: int = MAX_PAIRS, head:
     Repeated rows are scored each (and teach each); an empty table gives no
     rows; only the two named columns are read.
 
-    Counts cover all training texts.  Broadcast are the ``head`` most frequent
-    words and the ``max_pairs`` most frequent context pairs, both of a stated
-    size; other words meet their counts in a join, whose keys are rare words, so
-    none is hot.
+    Counts cover all training texts, and every pair is scored with all of them.
+    Broadcast are the counts of the ``head`` most frequent words and the log
+    probabilities of the ``max_pairs`` most frequent context pairs, as a cache of
+    a stated size; the others meet theirs in a join, whose keys are rare, so none
+    is hot.
     """
     spark = docs.sparkSession
     cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     teach = cols.filter(~held_out("doc_id", 7, 2))
-    counts = materialize(_gather(teach.select("text"), order), "lm-counts")
+    counts = materialize(_gather(cols.select("text", held_out("doc_id", 7, 2)), order), "lm-counts")
     ends = teach.select("doc_id").count()
     sums = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens = sums["n"] + ends
     distinct = sums["v"] + (1 if ends else 0)
-    trie = _trie(counts, order, max_pairs) if ends else Trie(order, [(np.zeros(0, np.uint64), np.zeros(0))] * (order + 1))
-    rare = _floor(counts.filter("kind = 0"), head)
-    top = counts.filter(F.expr("kind = 0") & (F.col("n") > rare)).select("key", "n").toArrow()
-    key = top.column("key").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast((trie, Lookup(key), np.log10(top.column("n").to_numpy() + 1.0)))
+    logs = materialize(_logs(counts, order), "lm-logs")
+    seldom = _floor(logs, max_pairs, "used")
+    often = logs.filter(F.col("used") > seldom).select("key", "log").toArrow()  # at most max_pairs rows
+    rare = _floor(counts.filter("kind = 0"), head, "n")
+    top = counts.filter(F.expr("kind = 0") & (F.col("n") > rare)).select("key", "n").toArrow()  # at most head rows
+    shared = spark.sparkContext.broadcast((
+        Lookup(often.column("key").to_numpy().astype(np.uint64)), often.column("log").to_numpy(),
+        Lookup(top.column("key").to_numpy().view(np.uint64)), np.log10(top.column("n").to_numpy() + 1.0)))
     end_log = float(np.log10(ends + 1))
 
-    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("m", pa.int32()), ("doc_id", pa.int64()),
-                        ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("part", pa.float64()),
-                        ("score", pa.float64())])
+    schema = pa.schema([("row", pa.int64()), ("kind", pa.int8()), ("key", pa.int64()), ("m", pa.int32()),
+                        ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("part", pa.float64()), ("score", pa.float64())])
 
     def run(batches):
-        trie, known, logs = shared.value
+        pairs, pair_logs, known, logs = shared.value
         base = TaskContext.get().partitionId() << 40  # rows of one scan task, in its order
+
+        def look_up(kind, names, r, keys, times):
+            m = len(r)
+            return batch(schema, names[r], np.full(m, kind, np.int8), keys.view(np.int64), times.astype(np.int32),
+                         *(pa.nulls(m, f.type) for f in list(schema)[4:]))
+
         for some in steps(batches, 1):
             n = some.num_rows
+            names = base + np.arange(n)
+            base += n
             code, row = _codes(some.column(1), order)
-            lm = np.bincount(row, weights=trie.score(code), minlength=n)
+            at = pairs.find(code)
+            common = at >= 0
+            lm = np.bincount(row[common], weights=pair_logs[at[common]], minlength=n)
+            keys, code = np.unique(code[~common], return_inverse=True)
+            rest, times = np.unique(row[~common] * (len(keys) + 1) + code, return_counts=True)
+            r, c = np.divmod(rest, len(keys) + 1)
+            yield look_up(1, names, r, keys[c], times)
             each, row = words(pc.ascii_lower(filled(some.column(1))))
             coded = each.dictionary_encode()
             keys = word_keys(coded.dictionary)
@@ -277,26 +343,27 @@ def score(docs: DataFrame, order: int = ORDER, max_pairs: int = MAX_PAIRS, head:
             common = at >= 0
             part = np.bincount(row[common], weights=logs[at[common]], minlength=n) + end_log
             have = np.bincount(row[common], minlength=n) + (1 if ends else 0)
-            names = base + np.arange(n)
-            base += n
-            # the row itself, under a key of its own that no word has
-            yield batch(schema, names, mixed(names.view(np.uint64)).view(np.int64), np.zeros(n, np.int32),
-                        some.column(0), np.bincount(row, minlength=n) + 1, have, part, lm)
-            rare = np.unique(row[~common] * (len(keys) + 1) + code[~common], return_counts=True)
-            r, c = np.divmod(rare[0], len(keys) + 1)
-            m = len(r)
-            yield batch(schema, names[r], keys[c].view(np.int64), rare[1].astype(np.int32), pa.nulls(m, pa.int64()),
-                        pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()),
-                        pa.nulls(m, pa.float64()))
+            # the row itself, of a kind of its own that nothing is found for
+            yield batch(schema, names, np.full(n, 2, np.int8), mixed(names.view(np.uint64)).view(np.int64),
+                        np.zeros(n, np.int32), some.column(0), np.bincount(row, minlength=n) + 1, have, part, lm)
+            rest, times = np.unique(row[~common] * (len(keys) + 1) + code[~common], return_counts=True)
+            r, c = np.divmod(rest, len(keys) + 1)
+            yield look_up(0, names, r, keys[c], times)
+
+    coded = map_arrow(cols, run, "row long, kind byte, key long, m int, doc_id long, n_tokens long, n_known long, "
+                                 "part double, score double")
+    table = (counts.filter(F.expr("kind = 0") & (F.col("n") <= rare))
+             .select("kind", "key", F.log10(F.col("n") + F.lit(1.0)).alias("log"))
+             .union(logs.filter(F.col("used") <= seldom).select(F.lit(1).cast("byte"), "key", "log")))
+    looked = coded.join(table, ["kind", "key"], "left")
+
+    def found(kind, value):
+        return F.coalesce(F.sum(F.when((F.col("kind") == kind) & F.col("log").isNotNull(), value)), F.lit(0))
 
-    coded = map_arrow(cols, run, "row long, key long, m int, doc_id long, n_tokens long, n_known long, part double, "
-                                 "score double")
-    looked = coded.join(counts.filter("kind = 0").select("key", "n"), "key", "left")
     rows = looked.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"),
-        F.max("part").alias("part"), F.max("score").alias("score"),
-        F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("m"))), F.lit(0)).alias("rare_known"),
-        F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("rare_part"))
+        F.max("part").alias("part"), (F.max("score") + found(1, F.col("m") * F.col("log"))).alias("score"),
+        found(0, F.col("m")).alias("rare_known"), found(0, F.col("m") * F.col("log")).alias("rare_part"))
     return rows.select(
         "doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.col("rare_known")).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
