@@ -17,21 +17,34 @@ from tidal.llm.common import documents
 from tidal.session import materialize
 
 
+def _keyed(docs: DataFrame, *cols: str) -> DataFrame:
+    """``docs`` with ``_row``, a hash of all that a stage's verdict on a row depends on; ids may be null or repeated."""
+    return docs.withColumn("_row", F.xxhash64(*[x for c in cols for x in (F.col(c).isNull(), F.col(c))]))
+
+
+def _own(found: DataFrame, docs: DataFrame):
+    """Whether a verdict is that of a row, by hash and id; the hash spreads the rows, so texts are not sorted."""
+    return (docs["_row"] == found["_key"]) & docs["doc_id"].eqNullSafe(found["_id"])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator rejects go; those it cannot judge stay."""
-    found = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = found.filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    # ids are hashed, so the texts are not sorted
-    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id") == F.col("_bad"), "left_anti")
+    """Rows whose text the toxicity operator rejects go; those it cannot judge stay."""
+    docs = _keyed(docs, "doc_id", "text")
+    found = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), key="_row")
+    bad = found.filter("predicted = 1").select(F.col("_row").alias("_key"), F.col("doc_id").alias("_id")).distinct()
+    return docs.join(bad.hint("shuffle_hash"), _own(bad, docs), "left_anti").drop("_row")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group stays; of repeated rows with that id, one."""
-    found = simhash.near_duplicates(docs)
-    keep = materialize(found.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_keep"))
-                       .agg(F.count("*").alias("_rows")), "pipeline-kept")
-    out = docs.join(keep.select("_keep").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return out if keep.filter("_rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    """One row of each group stays: one of its smallest id, null only where the group has no other."""
+    docs = _keyed(docs, "doc_id", "text")
+    found = simhash.near_duplicates(docs, key="_row").filter("doc_id <=> component_id")
+    # a group may have several rows of its smallest id: of different texts the least hash, of equal ones any
+    keep = materialize(found.groupBy("root", F.col("doc_id").alias("_id"), F.col("_row").alias("_key"))
+                       .agg(F.count("*").alias("_rows")).groupBy("root", "_id")
+                       .agg(F.min(F.struct("_key", "_rows")).alias("_least")).select("_id", "_least.*"), "pipeline-kept")
+    out = docs.join(keep.select("_key", "_id").hint("shuffle_hash"), _own(keep, docs), "left_semi")
+    return (out if keep.filter("_rows > 1").isEmpty() else out.dropDuplicates(["doc_id", "_row"])).drop("_row")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +58,11 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (none to three times)."""
-    found = mixing.mix(docs).filter("repeats > 0").select(F.col("doc_id").alias("_id"), "repeats").distinct().hint("shuffle_hash")
     cols = [F.col(c) for c in docs.columns]
-    return (docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")))
+    docs = _keyed(docs, "doc_id", "source", "text")
+    found = (mixing.mix(docs, key="_row").filter("repeats > 0")
+             .select(F.col("_row").alias("_key"), F.col("doc_id").alias("_id"), "repeats").distinct())
+    return (docs.join(found.hint("shuffle_hash"), _own(found, docs))
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*cols))
 
 

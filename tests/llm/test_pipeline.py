@@ -59,6 +59,29 @@ def test_odd_and_empty_tables(spark, tmp_path):
         assert rows or not out.count()
 
 
+def test_rows_that_share_an_id_are_judged_each(spark, monkeypatch):
+    nouns = "river stone cloud engine paper garden winter copper signal harbour".split()
+    texts = [" ".join(f"{w}{n * k}" for k, w in enumerate(nouns * 3)) for n in range(1, 7)]
+    data = [(None, texts[0], "en", "a", 1), (None, texts[1], "en", "b", 1), (None, texts[2], "en", "b", 1),
+            (None, texts[2], "en", "b", 1), (7, texts[3], "en", "a", 1), (7, texts[4], "en", "c", 1),
+            (7, texts[4], "en", "c", 1), (8, texts[4], "en", "c", 1), (None, texts[5], "en", "c", 1),
+            (9, texts[5], "en", "c", 1), (None, None, None, None, None)]
+    odd = spark.createDataFrame(data, SCHEMA)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, odd, SF_SMALL).collect()]
+    want = [data[i] for i in (0, 1, 2, 4, 5, 9, 10)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+    from pyspark.sql import functions as F
+    bad = [texts[1], texts[3]]
+    monkeypatch.setattr(toxicity, "toxicity", lambda d, labels, key="doc_id": d.select(
+        "doc_id", F.coalesce(F.col("text").isin(bad).cast("int"), F.lit(0)).alias("predicted"), *{key} - {"doc_id"}))
+    got = [tuple(r) for r in corpus_pipeline.drop_toxic(spark, odd, SF_SMALL).collect()]
+    assert sorted(got, key=str) == sorted([r for r in data if r[1] not in bad], key=str)
+
+    times = sorted(r["repeats"] for r in mixing.mix(odd).collect())
+    assert len(set(times)) > 1 and corpus_pipeline.mix_sources(spark, odd, SF_SMALL).count() == sum(times)
+
+
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()

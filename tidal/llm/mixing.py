@@ -118,8 +118,8 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, doc_id: str = "doc_id",
-        text: str = "text", sources: str = "source") -> DataFrame:
-    """doc_id, sources, size, source_size, target, taken, repeats: one row per row of ``docs``.
+        text: str = "text", sources: str = "source", key: str | None = None) -> DataFrame:
+    """doc_id, sources, size, source_size, target, taken, repeats (and column ``key``, if named): one row per row of ``docs``.
 
     ``sources`` is a string (one source; null is a source of its own) or an
     array of strings (an empty or null array: the null source).  Sources in
@@ -143,7 +143,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
         member = F.array(member)
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = materialize(
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), member.alias("sources"), word_count(text).alias("size"))
+        docs.select(F.col(doc_id).cast("long").alias("doc_id"), member.alias("sources"), word_count(text).alias("size"),
+                    *([key] if key else []))
         .withColumn("pattern", F.to_json("sources"))
         .withColumn("high", F.shiftrightunsigned(order, 52)).withColumn("low", F.pmod(order, F.lit(4096))), "mix-sized")
 
@@ -186,7 +187,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
             .withColumn("repeats", F.when(F.col("size") > 0, F.col("times") + F.coalesce(extra, F.lit(False)).cast("long"))
                         .otherwise(0))
             .select("doc_id", "sources", "size", "source_size", "target",
-                    (F.col("size") * F.col("repeats")).alias("taken"), F.col("repeats").cast("int").alias("repeats")))
+                    (F.col("size") * F.col("repeats")).alias("taken"), F.col("repeats").cast("int").alias("repeats"),
+                    *([key] if key else [])))
 
 
 def _cut(docs: DataFrame, place: str, rest: str) -> DataFrame:

@@ -25,14 +25,18 @@ from tidal.session import materialize
 OWN_ROWS, GUEST_ROWS = 1 << 15, 1 << 18
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text",
+                 key: str | None = None) -> DataFrame:
     """doc_id, fp (64 bits as a signed long): bit set where over half the shingles' hashes have it set.
 
+    A long column named by ``key`` is carried along under its name.
+
     Letters A-Z are lowered; words are runs of anything but ASCII white space;
     shingles of ``shingle`` words, repeats included; fewer words: the whole
     sequence; no words (also a null text): zero.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    carried = [key] if key else []
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *((c, pa.int64()) for c in carried)])
     hash64 = xxhash.xxh64_intdigest
 
     def run(batches):
@@ -65,10 +69,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text
                 bits[have] = np.add.reduceat(flat, first, axis=0, dtype=np.int32)
             on = 2 * bits > size[:, None]
             fps = np.packbits(on, axis=1, bitorder="little").view(np.uint64).ravel()
-            yield batch(schema, part.column(0), fps.view(np.int64))
+            yield batch(schema, part.column(0), fps.view(np.int64), *part.columns[2:])
 
-    cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_arrow(cols, run, "doc_id long, fp long")
+    cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carried)
+    return map_arrow(cols, run, ", ".join(["doc_id long, fp long", *(f"`{c}` long" for c in carried)]))
 
 
 class Tree:
@@ -222,20 +226,24 @@ def close_links(fps: DataFrame, most: int = 4, sample_rows: int = 65536, leaf_ro
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, doc_id: str = "doc_id",
-                    text: str = "text") -> DataFrame:
+                    text: str = "text", key: str | None = None) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of ``most`` bits or fewer.
 
+    With the name of a long column in ``key`` also ``root``, the fingerprint that
+    stands for the row's group, and that column.
+
     Equal fingerprints (those of texts without words are zero) are linked and
     handled as one.  A null doc_id is no smallest id unless its group has no
     other.  Repeated rows stay, an empty table gives no rows, other columns are
     not read.
     """
-    fps = materialize(fingerprints(docs, shingle, doc_id, text), "simhash-fps")
+    fps = materialize(fingerprints(docs, shingle, doc_id, text, key), "simhash-fps")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     links = materialize(close_links(distinct, most), "simhash-links")
     groups = components(links)  # fp -> representative, for linked ones only
     named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    more = ["root", key] if key else []
+    by_fp = named.join(least, "root").select("fp", "component_id", *more[:1])
+    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", *more)

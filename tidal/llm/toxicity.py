@@ -150,11 +150,16 @@ class Compressors:
         return out
 
 
-def evidence(docs: DataFrame, compressors: Compressors, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, most, c3, c4, c5: a text's windows, their largest difference, and how many reach each of CLEAR."""
+def evidence(docs: DataFrame, compressors: Compressors, doc_id: str = "doc_id", text: str = "text",
+             key: str | None = None) -> DataFrame:
+    """doc_id, n, most, c3, c4, c5: a text's windows, their largest difference, and how many reach each of CLEAR.
+
+    A long column named by ``key`` is carried along under its name.
+    """
+    carried = [key] if key else []
     shared = docs.sparkSession.sparkContext.broadcast(compressors)  # a few thousand bytes
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("most", pa.int32()),
-                        *((f"c{c}", pa.int64()) for c in CLEAR)])
+                        *((f"c{c}", pa.int64()) for c in CLEAR), *((c, pa.int64()) for c in carried)])
 
     def run(batches):
         try:
@@ -167,12 +172,14 @@ def evidence(docs: DataFrame, compressors: Compressors, doc_id: str = "doc_id",
                 most = np.zeros(n, np.int32)
                 np.maximum.at(most, row, diff)
                 yield batch(schema, part.column(0), np.bincount(row, minlength=n), most,
-                            *(np.bincount(row, weights=diff >= c, minlength=n).astype(np.int64) for c in CLEAR))
+                            *(np.bincount(row, weights=diff >= c, minlength=n).astype(np.int64) for c in CLEAR),
+                            *part.columns[2:])
         finally:
             shared.value.forget()
 
-    cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_arrow(cols, run, "doc_id long, n long, most int, " + ", ".join(f"c{c} long" for c in CLEAR))
+    cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carried)
+    return map_arrow(cols, run, "doc_id long, n long, most int, " +
+                     ", ".join([*(f"c{c} long" for c in CLEAR), *(f"`{c}` long" for c in carried)]))
 
 
 def features() -> list[Column]:
@@ -200,8 +207,9 @@ def calibrate(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarra
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = 1000,
-             fit_bytes: int = 32768, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``.
+             fit_bytes: int = 32768, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
+             key: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted (and the long column ``key``, if named) for every row of ``docs``.
 
     Labels are learned from rows with crc32(doc_id) mod 3 other than 1.  The
     dictionaries are trained on the ``fit_rows`` labelled texts of each class of
@@ -229,7 +237,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_row
     texts: list[list[bytes]] = [[], []]
     for r in rows:
         texts[r["toxic"]].append(r["text"].encode().lower())
-    marks = materialize(evidence(docs, Compressors(*train(texts[1], texts[0])), doc_id, text), "toxicity-marks")
+    marks = materialize(evidence(docs, Compressors(*train(texts[1], texts[0])), doc_id, text, key), "toxicity-marks")
     # labelled rows in cells of a grid: a bounded number at any number of rows
     grid = [F.round(f * 8).cast("int").alias(f"f{i}") for i, f in enumerate(features())]
     cells = marks.join(known, marks["doc_id"] == known["id"]).groupBy("toxic", *grid).count().collect()
@@ -245,4 +253,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_row
         score = F.lit(seen[1] / sum(seen) if sum(seen) else 0.5)
     return (marks.withColumn("score", score)
             .select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score",
-                    (F.col("score") >= threshold).cast("int").alias("predicted")))
+                    (F.col("score") >= threshold).cast("int").alias("predicted"),
+                    *([key] if key else [])))
