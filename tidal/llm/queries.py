@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidal.llm import (fingerprints, language, lm_score, mixing, neighbours, packing, simhash, suffix_dedup,
+from tidal.llm import (alignment, fingerprints, language, lm_score, mixing, neighbours, packing, simhash, suffix_dedup,
                        token_counts, toxicity)
 from tidal.llm.common import documents
 
@@ -76,3 +76,11 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
+
+@query
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                          public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups"), 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                      digest.alias("groups_sha256"))
