@@ -94,8 +94,10 @@ class Tokens:
         self.known: dict[str, int] = {}
         #: of each unit: whether it is sound, and where its links start
         self.sound, self.first = np.zeros(0, bool), np.zeros(1, np.int64)
-        #: links in order: ids of A and B, and whether the A (1) and the B token (2) ends with it
-        self.pair, self.ends = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        #: links in order: number of the pair, and whether the A (1) and the B token (2) ends with it
+        self.pair, self.ends = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        #: pairs by number (A's id in the upper half), and their numbers in the order of the pairs
+        self.code, self.order, self.ranked = (np.zeros(0, np.int64) for _ in range(3))
 
     def units(self, distinct: list[str]) -> np.ndarray:
         """Numbers of the units, aligned where they are new."""
@@ -104,36 +106,82 @@ class Tokens:
         known = self.known
         new = [u for u in distinct if u not in known]
         for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            sound, count, pair, ends = self.align(part)
-            known.update(zip(part, range(len(self.sound), len(self.sound) + len(part))))
-            self.sound = np.concatenate([self.sound, sound])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(count)])
-            self.pair, self.ends = np.concatenate([self.pair, pair]), np.concatenate([self.ends, ends])
+            self.learn(new[at:at + 20_000])
         return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
 
-    def align(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each unit (a space first) whether it is sound and its number of links; then all links: pair, ends."""
+    def learn(self, units: list[str], alone: bool = False) -> None:
+        """Align new units, each with a space first.
+
+        Many are encoded as one text; where that text's tokens are not its
+        bytes, its units are encoded alone.
+        """
         buf, off = text_bytes(pa.array(units, pa.string()))
+        join = np.zeros(len(units), bool) if alone else _ends_safely(buf, off[1:-1])
+        first = np.flatnonzero(np.concatenate([[True], ~join[:len(units) - 1]]) | (np.arange(len(units)) % 256 == 0))
+        texts = units if alone else ["".join(units[x:y]) for x, y in itertools.pairwise([*first.tolist(), len(units)])]
+        text_off = np.append(off[first], off[-1])
         char = np.flatnonzero((buf & 0xC0) != 0x80)  # bytes that start a character
-        base = np.searchsorted(char, off)  # characters before each unit
+        base = np.searchsorted(char, text_off)  # characters before each text
         char = np.append(char, len(buf))
-        a = self.a.encode_batch(units, add_special_tokens=False)
-        b = self.b.encode([u[1:] for u in units], return_type="offset_mapping", num_threads=1)
-        ids_a, end_a, in_a, ok_a = _cuts(buf, off, base, char, self.bytes_a, [e.ids for e in a], [e.offsets for e in a], 0)
-        ids_b, end_b, in_b, ok_b = _cuts(buf, off, base, char, self.bytes_b, [e["ids"] for e in b],
-                                   [e["offsets"] for e in b], 1)
+        a = self.a.encode_batch(texts, add_special_tokens=False)
+        ids_a, end_a, in_a, ok_a = _cuts(buf, text_off, base, char, self.bytes_a, [e.ids for e in a],
+                                         [e.offsets for e in a], 0)
+        b = self.b.encode([t[1:] for t in texts], return_type="offset_mapping", num_threads=1)
+        ids_b, end_b, in_b, ok_b = _cuts(buf, text_off, base, char, self.bytes_b, [e["ids"] for e in b],
+                                         [e["offsets"] for e in b], 1)
         sound = ok_a & ok_b
         if not sound.all():
             ids_a, end_a = ids_a[sound[in_a]], end_a[sound[in_a]]
             ids_b, end_b = ids_b[sound[in_b]], end_b[sound[in_b]]
-        cut = np.union1d(end_a, end_b)
+        cut = _distinct(np.concatenate([end_a, end_b]))
         i, j = np.searchsorted(end_a, cut), np.searchsorted(end_b, cut)
-        ends = (end_a[i] == cut).astype(np.uint8) + (end_b[j] == cut).astype(np.uint8) * 2 if len(cut) else np.zeros(
-            0, np.uint8)
-        pair = (ids_a[i] << 32) + ids_b[j]
+        ends = np.zeros(len(cut), np.uint8)
+        if len(cut):
+            ends = (end_a[i] == cut).astype(np.uint8) + (end_b[j] == cut).astype(np.uint8) * 2
+        pair = self.numbered((ids_a[i] << 32) + ids_b[j])
         count = np.bincount(np.searchsorted(off, cut, side="left") - 1, minlength=len(units))
-        return sound, count, pair, ends
+        sound = np.repeat(sound, np.diff(np.append(first, len(units))))
+        now = np.ones(len(units), bool) if alone else sound
+        mine = [u for u, k in zip(units, now.tolist()) if k]
+        self.known.update(zip(mine, range(len(self.sound), len(self.sound) + len(mine))))
+        self.sound = np.concatenate([self.sound, sound[now]])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(count[now])])
+        self.pair, self.ends = np.concatenate([self.pair, pair]), np.concatenate([self.ends, ends])
+        if len(mine) < len(units):
+            self.learn([u for u, k in zip(units, now.tolist()) if not k], alone=True)
+
+    def numbered(self, pairs: np.ndarray) -> np.ndarray:
+        """Numbers of the pairs, new ones added."""
+        at = self._find(pairs)
+        new = self.ranked[at] != pairs if len(self.code) else np.ones(len(pairs), bool)
+        if new.any():
+            self.code = np.concatenate([self.code, _distinct(pairs[new])])
+            self.order = np.argsort(self.code)
+            self.ranked = self.code[self.order]
+            at = self._find(pairs)
+        return self.order[at].astype(np.int32)
+
+    def _find(self, pairs: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.ranked, pairs), max(0, len(self.ranked) - 1))
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The values in order, each once."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def _ends_safely(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place is surely no white space (nor the mark that stands for a space).
+
+    Of characters of two or three bytes only those of leads that no white space has are taken.
+    """
+    plain = np.ones(256, bool)  # ASCII besides white space and separators
+    plain[[*range(9, 14), *range(28, 33)]] = False
+    plain[0x80:] = False
+    one, two, three, four = (buf[np.maximum(at - k, 0)] for k in (1, 2, 3, 4))
+    more = (one >= 0x80) & (one < 0xC0)
+    return plain[one] | more & ((two >= 0xC3) | (two < 0xC0) & ((three >= 0xE4) | (three < 0xC0) & (four >= 0xF0)))
 
 
 def _cuts(buf: np.ndarray, off: np.ndarray, base: np.ndarray, char: np.ndarray, table: _Bytes,
@@ -187,19 +235,12 @@ def cut_units(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Where units start: at each text, and at a space after a character that is surely no white space.
 
     A space that ends its text stays with the word before it: B has no tokens for nothing.
-    After a character of two or three bytes only those of leads that no white space has are taken.
     """
     if not len(buf):
         return np.zeros(0, np.int64)
-    plain = np.ones(256, bool)  # last bytes of characters other than ASCII white space and separators
-    plain[[*range(9, 14), *range(28, 33)]] = False
-    plain[0x80:] = False
     at = np.flatnonzero(buf == 0x20)
     at = at[(at > 0) & ~np.isin(at + 1, off)]
-    one, two, three, four = (buf[np.maximum(at - k, 0)] for k in (1, 2, 3, 4))
-    more = (one >= 0x80) & (one < 0xC0)
-    safe = plain[one] | more & ((two >= 0xC3) | (two < 0xC0) & ((three >= 0xE4) | (three < 0xC0) & (four >= 0xF0)))
-    return np.union1d(at[safe], off[:-1][np.diff(off) > 0])
+    return _distinct(np.concatenate([at[_ends_safely(buf, at)], off[:-1][np.diff(off) > 0]]))
 
 
 def _chunk_rows(part: pa.RecordBatch, chunk: int, known: Tokens) -> pa.RecordBatch:
@@ -222,24 +263,34 @@ def _chunk_rows(part: pa.RecordBatch, chunk: int, known: Tokens) -> pa.RecordBat
     code, number = (np.cumsum(used) - 1)[code], number[used]
     # links of the units that are left, as places in the sorted distinct pairs
     count = known.first[number + 1] - known.first[number]
-    stop = np.cumsum(count)
-    links = np.repeat(known.first[number] - stop + count, count) + np.arange(int(stop[-1]) if len(stop) else 0)
-    pairs, place = np.unique(known.pair[links], return_inverse=True)
+    links, _ = _spread(known.first[number], count)
+    used = np.flatnonzero(np.bincount(known.pair[links], minlength=len(known.code)))
+    used = used[np.argsort(known.code[used])]
+    pairs, rank = known.code[used], np.zeros(len(known.code), np.int32)
+    rank[used] = np.arange(len(used))
+    place = rank[known.pair[links]]
     # documents that hold each pair
-    seen = np.unique(doc * max(1, len(number)) + code)
-    in_doc, unit = np.divmod(seen, max(1, len(number)))
-    size = count[unit]
-    end = np.cumsum(size)
-    each = place[np.repeat((stop - count)[unit] - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
-    held = np.unique(np.repeat(in_doc, size) * max(1, len(pairs)) + each)
-    docs = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
+    each, of = _spread((np.cumsum(count) - count)[code], count[code])
+    held = doc[of] * len(pairs) + place[each]
+    if n * len(pairs) <= 1 << 27:
+        flags = np.zeros(n * len(pairs), bool)
+        flags[held] = True
+        docs = flags.reshape(n, -1).sum(axis=0)
+    else:
+        docs = np.bincount(_distinct(held) % max(1, len(pairs)), minlength=len(pairs))
     body = {"docs": part.column(0), "units": np.bincount(doc, minlength=n).astype(np.int32), "unit": code.astype(np.int32),
-            "links": count.astype(np.int32), "link": (place * 4 + known.ends[links]).astype(np.int64)}
+            "links": count.astype(np.int32), "link": place.astype(np.int64) * 4 + known.ends[links]}
     return pa.RecordBatch.from_arrays(
         [pa.array([chunk], pa.int64()), pa.array([pairs], pa.list_(pa.int64())), pa.array([docs], pa.list_(pa.int64())),
          pa.array([_packed(body)], pa.binary())], names=["chunk", "pairs", "docs", "body"])
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges of ``size`` from ``start``, and the range of each."""
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + np.repeat(start - np.cumsum(size) + size, size), of
+
+
 def _packed(body: dict) -> bytes:
     """Arrays of different lengths as one compressed Arrow message."""
     sink = pa.BufferOutputStream()
@@ -357,12 +408,18 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     cache = frequent.toArrow().sort_by("pair")
     cached = docs.sparkSession.sparkContext.broadcast(
         tuple(cache.column(c).to_numpy() for c in ("pair", "n", "best")))
-    rest = (chunked.select("chunk", F.explode("pairs").alias("pair"))
-            .join(F.broadcast(frequent.select("pair")), "pair", "left_anti")
-            .join(counts.filter(F.col("n") < 1 << least), "pair")
-            .groupBy("chunk").agg(F.collect_list(F.struct("pair", "n", "best")).alias("found")))
+    if least:  # pairs beyond the cache: their counts go to the chunks that hold them
+        rest = (chunked.select("chunk", F.explode("pairs").alias("pair"))
+                .join(F.broadcast(frequent.select("pair")), "pair", "left_anti")
+                .join(counts.filter(F.col("n") < 1 << least), "pair")
+                .groupBy("chunk").agg(F.collect_list(F.struct("pair", "n", "best")).alias("found")))
+        done = chunked.join(rest, "chunk", "left").select("pairs", "body", "found")
+    else:
+        done = chunked.select("pairs", "body", F.expr(
+            "CAST(NULL AS array<struct<pair: bigint, n: bigint, best: boolean>>)").alias("found"))
 
     def finish(batches):
+        _TOKENS.clear()  # the worker's units are done with
         known, n_known, best_known = cached.value
         digits = list(map(str, range(1 << 17)))
         for part in batches:
@@ -380,7 +437,6 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
                 out = _documents(_unpacked(part.column(1)[row].as_py()), pairs, count, best, digits)
                 yield from steps([out], 7, 4 << 20)
 
-    done = chunked.join(rest, "chunk", "left").select("pairs", "body", "found")
     return map_arrow(done, finish, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
                                    "count_sum long, groups string")
 
