@@ -139,3 +139,14 @@ def test_plan_covers_every_item():
                 got[s] = got.get(s, 0) + n
         assert got == counts
         assert len(bins) < 60 * len(counts)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words: equal under any polynomial modulo 2^64, not under the word keys."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, other), (3, f"{word} {other}")], "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    check_packed(packing.pack(df, path), df, path, 4096, 1)

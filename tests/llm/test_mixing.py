@@ -110,3 +110,34 @@ def test_mix_of_odd_rows_and_overlapping_sources(spark, odd, empty):
                                "doc_id long, text string, source array<string>")
     out = mixing.mix(df).collect()
     assert len(out) == 60 and all(r["taken"] % 10 == 0 and r["taken"] <= 30 for r in out)
+
+
+def test_null_and_repeated_ids_meet_their_targets(spark):
+    def table(ident):
+        return spark.createDataFrame([(ident(n), f"{n} " + "w " * 9, "abc"[n % 3]) for n in range(3000)],
+                                     "doc_id long, text string, source string")
+
+    for ident in (lambda n: n, lambda n: None, lambda n: 7, lambda n: n % 3):
+        df = table(ident)
+        got = sorted(rows(mixing.mix(df)), key=str)
+        taken = {}
+        for r in got:
+            taken[r[1][0]] = taken.get(r[1][0], 0) + r[5]
+        assert taken == {"a": 5000, "b": 10000, "c": 15000}
+        assert got == sorted(rows(mixing.mix(df.repartition(5))), key=str)
+    # rows equal in everything
+    df = spark.createDataFrame([(None, "w " * 10, "abc"[n % 3]) for n in range(600)],
+                               "doc_id long, text string, source string")
+    taken = {}
+    for r in mixing.mix(df).collect():
+        taken[r["sources"][0]] = taken.get(r["sources"][0], 0) + r["taken"]
+    assert taken == {"a": 1000, "b": 2000, "c": 3000}
+
+
+def test_small_sources_come_within_a_hundredth(spark):
+    from tests.conftest import SF_CHECK
+    taken, target = {}, {}
+    for r in mixing.mix(spark.read.parquet(f"{SF_CHECK}/documents.parquet")).collect():
+        s = r["sources"][0]
+        taken[s], target[s] = taken.get(s, 0) + r["taken"], r["target"]
+    assert all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items())

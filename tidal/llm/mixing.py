@@ -19,6 +19,12 @@ from pyspark.sql import functions as F
 from tidal.llm.common import WORD
 from tidal.session import materialize
 
+#: Documents of a pattern taken beyond the cut at most, each the largest that fits.
+FILLS = 4
+
+#: Largest documents of a pattern that are settled one by one.
+LARGE = 8
+
 #: Patterns the driver plans at most.  More is an error, never a silent cut.
 MAX_PATTERNS = 200_000
 
@@ -130,8 +136,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
 
     Null text has size 0, documents of size 0 are never taken, repeated rows
     count each, an empty table gives no rows; other columns are not read.
-    Order within a pattern is a seeded hash of doc_id, so reruns agree; the cut
-    is found by two rounds of 4096 sums, not by one ordered group.
+    Order within a pattern is a seeded hash of the row (id, text, sources), so
+    reruns agree; rows that are equal in all of these stand next to each other
+    and are cut by their number.  The cut is found by rounds of sums over parts
+    of that order, not by one ordered group.  It stops before the document that
+    would pass the target; the largest documents that still fit follow.  The
+    few largest of a pattern are settled first, by a seeded coin of the
+    pattern's share, or by need where the others cannot make up for them.
     """
     spark = docs.sparkSession
     several = dict(docs.dtypes)[sources].startswith("array")
@@ -141,12 +152,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
             F.array(F.lit(None).cast("string")))
     else:
         member = F.array(member)
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    whole = [F.col(c).cast("string") for c in (doc_id, text)] + [F.to_json("sources")]
+    order = F.xxhash64(F.lit(seed), *(x for c in whole for x in (c.isNull(), c)))
     sized = materialize(
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), member.alias("sources"), word_count(text).alias("size"),
-                    *([key] if key else []))
-        .withColumn("pattern", F.to_json("sources"))
-        .withColumn("high", F.shiftrightunsigned(order, 52)).withColumn("low", F.pmod(order, F.lit(4096))), "mix-sized")
+        docs.withColumn("sources", member)
+        .select(F.col(doc_id).cast("long").alias("doc_id"), "sources", word_count(text).alias("size"),
+                F.to_json("sources").alias("pattern"), order.alias("order"),
+                F.monotonically_increasing_id().alias("row"), *([key] if key else []))
+        .withColumn("high", F.shiftrightunsigned("order", 52)).withColumn("low", F.pmod("order", F.lit(4096)))
+        .withColumn("tie", F.xxhash64("row")).withColumn("tie_high", F.shiftrightunsigned("tie", 52)), "mix-sized")
 
     rows = (sized.groupBy("pattern").agg(F.any_value("sources").alias("sources"), F.sum("size").alias("words"))
             .limit(MAX_PATTERNS + 1).collect())
@@ -162,30 +176,74 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     target = share_targets(size, weigh, sum(r["words"] for r in rows), most)
     flows = route([(tuple(number[s] for s in r["sources"]), r["words"]) for r in rows],
                   [round(t) for t in target], most)
-    plan = []
+    plan = {}
     for r, f in zip(rows, flows):
         times, rest = divmod(sum(f.values()), r["words"]) if r["words"] else (0, 0)
         first = number[r["sources"][0]]
-        plan.append((r["pattern"], times, rest, size[first], target[first]))
-    planned = spark.createDataFrame(plan, "pattern string, times long, rest long, source_size long, target double")
-    docs_ = sized.join(F.broadcast(planned), "pattern")  # at most MAX_PATTERNS rows
-
-    one = _cut(docs_.filter("rest > 0"), "high", "rest")
-    inside = docs_.join(F.broadcast(one), "pattern").filter("high = high_cut")
-    two = _cut(inside, "low", "high_rest")
-    last = inside.join(F.broadcast(two), "pattern").filter("low = low_cut")
-    so_far = Window.partitionBy("pattern").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    # the documents of one of 16 million places in the order; the nearer side of the cut is taken
-    tied = last.select("pattern", "doc_id", (F.sum("size").over(so_far) * 2 - F.col("size")).alias("twice"),
-                       F.col("low_rest")).filter("twice <= 2 * low_rest")
-    ends = tied.groupBy("pattern").agg(F.max("doc_id").alias("last_id"))
-    extra = (F.col("high") < F.col("high_cut")) | (
-        (F.col("high") == F.col("high_cut")) & ((F.col("low") < F.col("low_cut")) | (
-            (F.col("low") == F.col("low_cut")) & (F.col("doc_id") <= F.col("last_id")))))
-    cuts = one.join(two, "pattern", "left").join(ends, "pattern", "left")
-    return (docs_.join(F.broadcast(cuts), "pattern", "left")
-            .withColumn("repeats", F.when(F.col("size") > 0, F.col("times") + F.coalesce(extra, F.lit(False)).cast("long"))
-                        .otherwise(0))
+        plan[r["pattern"]] = (times, rest, size[first], target[first], r["words"])
+
+    def planned(columns: str, at: dict[str, tuple]) -> DataFrame:
+        """A row for each pattern, at most MAX_PATTERNS."""
+        return F.broadcast(spark.createDataFrame([(p, *v) for p, v in at.items()], f"pattern string, {columns}"))
+
+    docs_ = sized.join(planned("times long, rest long, source_size long, target double, words long", plan), "pattern")
+
+    # the largest documents of each pattern are settled one by one, so that the others are small beside their words
+    by_size = Window.partitionBy("pattern").orderBy(F.desc("size"), "order", "row")
+    large = (docs_.filter("rest > 0 AND size > 0").withColumn("n", F.row_number().over(by_size)).filter(F.col("n") <= LARGE)
+             .select("pattern", "row", "size", "order", "n").collect())
+    settled: list[tuple[str, int, bool]] = []
+    left = {p: (rest, words) for p, (_, rest, _, _, words) in plan.items() if rest}
+    for r in sorted(large, key=lambda r: (r["pattern"], r["n"])):
+        p, n = r["pattern"], r["size"]
+        rest, words = left[p]
+        others = words - n
+        if n <= rest:
+            coin = (r["order"] % (1 << 64)) * plan[p][4] < plan[p][1] << 64
+            take = coin or others < rest
+        else:  # passes the target: only where leaving it misses by more
+            take = rest > 0 and rest - others > n - rest
+        settled.append((p, r["row"], take))
+        left[p] = (max(0, rest - n) if take else rest, others)
+    full = {p: (rest, rest >= words, rest - words) for p, (rest, words) in left.items()}
+    docs_ = (docs_.join(F.broadcast(spark.createDataFrame(settled, "pattern string, row long, taken_whole boolean")),
+                        ["pattern", "row"], "left")  # at most LARGE rows a pattern
+             .join(planned("left long, whole boolean, short long", full), "pattern", "left"))
+
+    # the place where a pattern's words end: by parts of the order, then, among equal rows, by their own numbers
+    inside = docs_.filter("left >= 0 AND NOT whole AND taken_whole IS NULL AND size > 0")
+    cuts, rest, extra = None, "left", F.lit(False)
+    at = ["high", "low", "order", "tie_high", "tie"]
+    for place in at:
+        cut = materialize(_cut(inside, place, rest), f"mix-{place}")
+        inside = inside.join(F.broadcast(cut), "pattern").filter(F.col(place) == F.col(f"{place}_cut"))
+        cuts = cut if cuts is None else cuts.join(cut, "pattern")
+        rest = f"{place}_rest"
+    for place in reversed(at):
+        extra = (F.col(place) < F.col(f"{place}_cut")) | ((F.col(place) == F.col(f"{place}_cut")) & extra)
+    cuts = materialize(cuts.select("pattern", F.col(rest).alias("gap"), *(f"{p}_cut" for p in at)), "mix-cuts")
+    cut_docs = docs_.join(F.broadcast(cuts), "pattern", "left").withColumn(
+        "extra", F.coalesce(F.col("taken_whole"), F.col("whole") | extra, F.lit(False)))
+
+    # the document at the cut did not fit: the largest that do fill the gap, a few for each pattern
+    gaps = {p: short for p, (_, whole, short) in full.items() if whole}
+    gaps |= {r["pattern"]: r["gap"] for r in cuts.select("pattern", "gap").collect()}
+    picked: list[tuple[str, int]] = []
+    for _ in range(FILLS):
+        open_ = spark.createDataFrame([(p, g) for p, g in gaps.items() if g > 0], "pattern string, room long")
+        taken = spark.createDataFrame(picked, "pattern string, row long")
+        found = (cut_docs.filter("NOT extra AND size > 0").join(F.broadcast(open_), "pattern").filter("size <= room")
+                 .join(F.broadcast(taken), ["pattern", "row"], "left_anti")
+                 .groupBy("pattern").agg(F.max(F.struct("size", "order", "row")).alias("m")).collect())
+        if not found:
+            break
+        for r in found:
+            picked.append((r["pattern"], r["m"]["row"]))
+            gaps[r["pattern"]] -= r["m"]["size"]
+    more = spark.createDataFrame(picked, "pattern string, row long").withColumn("more", F.lit(True))
+    chosen = F.col("extra") | F.coalesce(F.col("more"), F.lit(False))
+    return (cut_docs.join(F.broadcast(more), ["pattern", "row"], "left")  # at most FILLS rows a pattern
+            .withColumn("repeats", F.when(F.col("size") > 0, F.col("times") + chosen.cast("long")).otherwise(0))
             .select("doc_id", "sources", "size", "source_size", "target",
                     (F.col("size") * F.col("repeats")).alias("taken"), F.col("repeats").cast("int").alias("repeats"),
                     *([key] if key else [])))
