@@ -17,6 +17,11 @@ from tidal.llm.common import documents
 from tidal.session import materialize
 
 
+#: Bytes of a repeated passage: 50 words of 5 bytes each, with their spaces.  Words of most texts are longer (6 to 7
+#: bytes in the four languages of the given tables), so a passage of over 50 words holds a match of this length.
+PASSAGE = 50 * 5
+
+
 def _keyed(docs: DataFrame, *cols: str) -> DataFrame:
     """``docs`` with ``_row``, a hash of all that a stage's verdict on a row depends on; ids may be null or repeated."""
     return docs.withColumn("_row", F.xxhash64(*[x for c in cols for x in (F.col(c).isNull(), F.col(c))]))
@@ -48,9 +53,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated passages; halves of characters at the cuts go too; n_chars follows."""
+    """Texts lose their passages of ``PASSAGE`` bytes that repeat; halves of characters at the cuts go too; n_chars follows."""
     carry = tuple(docs.columns)
-    out = suffix_dedup.remove_repeats(docs, carry=tuple(c for c in carry if c != "text"))
+    out = suffix_dedup.remove_repeats(docs, match=PASSAGE, carry=tuple(c for c in carry if c != "text"))
     cols = [F.col("kept_text").alias(c) if c == "text" else F.col(f"carried.{c}").alias(c) for c in carry]
     out = out.select(*cols)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in carry else out
@@ -59,11 +64,15 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (none to three times)."""
     cols = [F.col(c) for c in docs.columns]
-    docs = _keyed(docs, "doc_id", "source", "text")
-    found = (mixing.mix(docs, key="_row").filter("repeats > 0")
-             .select(F.col("_row").alias("_key"), F.col("doc_id").alias("_id"), "repeats").distinct())
+    docs = _keyed(docs, *docs.columns)
+    found = (mixing.mix(docs, key="_row").groupBy(F.col("_row").alias("_key"), F.col("doc_id").alias("_id"))
+             .agg(F.sum("repeats").alias("_times"), F.count("*").alias("_rows")))
+    found = materialize(found.filter("_times > 0"), "pipeline-mixed")
+    # rows equal in all columns may be taken differently often: one of them stands for all, with their sum
+    if not found.filter("_rows > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "_row"])
     return (docs.join(found.hint("shuffle_hash"), _own(found, docs))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*cols))
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*cols))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
