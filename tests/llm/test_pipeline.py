@@ -27,7 +27,7 @@ def test_stages_equal_brute_force(spark, docs):
     assert two.columns == cols and {r["doc_id"]: r for r in two.collect()} == data
 
     ids = sorted(data)
-    text = {i: kept.decode("utf-8", "ignore") for i, (_, _, kept) in zip(ids, brute([data[i]["text"] for i in ids], 400))}
+    text = {i: kept.decode("utf-8", "ignore") for i, (_, _, kept) in zip(ids, brute([data[i]["text"] for i in ids], corpus_pipeline.PASSAGE))}
     three = corpus_pipeline.drop_repeated_passages(spark, two, SF_SMALL)
     assert three.columns == cols
     got = {r["doc_id"]: r for r in three.collect()}
@@ -48,6 +48,22 @@ def test_stages_equal_brute_force(spark, docs):
     assert n <= -(-total // 4096) + 1
 
 
+def test_repeated_passages_of_over_fifty_words_go(spark):
+    import random
+    rng = random.Random(9)
+
+    def prose(n):
+        return " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(n))
+    passages = [prose(51) for _ in range(12)]
+    texts = [f"{prose(80)} {passages[n % 12]} {prose(80)}" for n in range(36)]
+    clean = [prose(200) for _ in range(30)]
+    df = spark.createDataFrame([(n, t, "en", "a", len(t)) for n, t in enumerate(texts + clean)], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_passages(spark, df, SF_SMALL).collect()}
+    assert all(len(passages[n % 12].encode()) >= corpus_pipeline.PASSAGE for n in range(36))
+    assert all(len(t) - len(got[n]) >= len(passages[n % 12]) for n, t in enumerate(texts))
+    assert all(got[36 + n] == t for n, t in enumerate(clean))
+
+
 def test_odd_and_empty_tables(spark, tmp_path):
     labels = spark.createDataFrame([(2, 0), (4, 1)], "doc_id long, toxic int")
     for name, rows in (("odd", ROWS), ("empty", [])):
@@ -86,7 +102,7 @@ def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
 
 
