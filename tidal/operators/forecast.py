@@ -2,21 +2,21 @@
 
 Closed-form forecasters (naive, drift, linear extrapolation) are column
 expressions plus ``explode(sequence(...))`` for the horizon.  Order-selected
-ARIMA has no closed form: ``fit_candidates`` runs a small numpy estimator per
-key inside ``groupBy(key).applyInPandas``.  Each group is one key's series
-(bounded by the length of the period axis, not by the data volume), so no
-group grows with the table even when a key owns a third of the raw rows.
+ARIMA has no closed form: ``fit_candidates`` gathers each key's series into one
+row (bounded by the length of the period axis, not by the data volume, even when
+a key owns a third of the raw rows) and fits the keys of an Arrow batch side by side.
 Selection among candidates (window, order) is plain DataFrame aggregation.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidal.functions.scalar import finite_or_null
+from tidal.operators import arima
 from tidal.operators.order_stats import exact_quantile
 from tidal.session import ship_package
 
@@ -25,7 +25,6 @@ from tidal.session import ship_package
 ORDERS = ((0, 1, 0), (0, 1, 1), (1, 1, 1), (1, 1, 2), (2, 1, 1))
 TRAIN_CAP = 18
 TIE_TOL = 0.12
-MIN_POINTS = 5
 
 
 def _nan_true(cond: Column) -> Column:
@@ -151,73 +150,28 @@ def choose_order(cands: DataFrame, rule: str = "simple", key: str = "key",
     return c.withColumn("_rn", rn).filter(F.col("_rn") == 1).drop("_rn", "_best")
 
 
-# ---------------------------------------------------------------- ARIMA (numpy)
+# ---------------------------------------------------------------- ARIMA (maximum likelihood)
 
-def _ols(X: np.ndarray, y: np.ndarray) -> np.ndarray:
-    coef, *_ = np.linalg.lstsq(X, y, rcond=None)
-    return coef
+def arima_fit_forecast(y: np.ndarray, p: int, d: int, q: int, steps: int):
+    """(fitted, forecast) of one series by exact maximum likelihood, or None; see ``arima.fit``."""
+    return arima.fit([np.asarray(y, dtype=float)], p, d, q, steps)[0]
 
 
-def _shrink(coefs: np.ndarray, limit: float = 0.98) -> np.ndarray:
-    s = np.abs(coefs).sum()
-    return coefs * (limit / s) if s >= limit else coefs
+#: Series that are fitted side by side.
+SIDE_BY_SIDE = 256
 
 
-def arima_fit_forecast(y: np.ndarray, p: int, d: int, q: int, steps: int):
-    """Hannan-Rissanen ARIMA(p, d, q) without constant; returns (fitted, forecast) or None.
+def _whole_series(rows: DataFrame, key: str, period: str, value: str, *more: str) -> DataFrame:
+    """One row per key: its periods and values in order (a key has one row per period, so this is bounded)."""
+    each = F.sort_array(F.collect_list(F.struct(period, value)))
+    return (rows.groupBy(key, *more).agg(each.alias("_s"))
+            .select(key, *more, F.col(f"_s.{period}").alias("periods"), F.col(f"_s.{value}").alias("values")))
 
-    (0, 1, 0) is exact: the last value repeated, fitted = previous value.
-    Coefficients are shrunk into the stationary / invertible region.  The
-    first ``d`` fitted values are undefined (NaN).
-    """
-    if d > 1:
-        raise ValueError("differences of order 0 or 1 only")
-    y = np.asarray(y, dtype=float)
-    if len(y) < MIN_POINTS or not np.all(np.isfinite(y)):
-        return None
-    z = np.diff(y, n=d) if d else y.copy()
-    n = len(z)
-    phi = np.zeros(p)
-    theta = np.zeros(q)
-    if p or q:
-        m = min(max(p, q) + 3, max(1, n // 3))
-        if n - m < p + q + 2:
-            return None
-        Xl = np.column_stack([z[m - i - 1:n - i - 1] for i in range(m)])
-        a = _ols(Xl, z[m:])
-        resid = np.zeros(n)
-        resid[m:] = z[m:] - Xl @ a
-        start = m + max(p, q)
-        if n - start < p + q + 1:
-            return None
-        cols = [z[start - i - 1:n - i - 1] for i in range(p)]
-        cols += [resid[start - j - 1:n - j - 1] for j in range(q)]
-        coef = _ols(np.column_stack(cols), z[start:])
-        phi, theta = _shrink(coef[:p]), _shrink(coef[p:])
-    e = np.zeros(n)
-    zhat = np.full(n, np.nan)
-    for t in range(n):
-        ar = sum(phi[i] * z[t - i - 1] for i in range(p) if t - i - 1 >= 0)
-        ma = sum(theta[j] * e[t - j - 1] for j in range(q) if t - j - 1 >= 0)
-        zhat[t] = ar + ma
-        e[t] = z[t] - zhat[t]
-    zh = list(z)
-    eh = list(e)
-    fut = []
-    for _ in range(steps):
-        ar = sum(phi[i] * zh[-i - 1] for i in range(p))
-        ma = sum(theta[j] * eh[-j - 1] for j in range(q))
-        zh.append(ar + ma)
-        eh.append(0.0)
-        fut.append(ar + ma)
-    if d:
-        fitted = np.concatenate([[np.nan] * d, y[d - 1:-1] + zhat]) if d == 1 else None
-        forecast = y[-1] + np.cumsum(fut)
-    else:
-        fitted, forecast = zhat, np.asarray(fut)
-    if fitted is None or not np.all(np.isfinite(forecast)):
-        return None
-    return fitted, forecast
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as float arrays; null items become NaN."""
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return np.split(flat, np.cumsum(column.value_lengths().to_numpy())[:-1]) if len(column) else []
 
 
 def naive_fallback(grid: DataFrame, fitted_keys: DataFrame, train_to: int, key: str = "key", period: str = "period",
@@ -242,21 +196,33 @@ def forecast_chosen(history: DataFrame, chosen: DataFrame, steps: int, cap: int
     periods of the whole history; a key without a chosen order takes (0, 1, 0),
     one whose fit fails repeats its last value (0 where it has none).
     """
-    schema = f"{key} {dict(history.dtypes)[key]}, {period} int, forecast double"
-    rows = history.select(key, period, value).join(chosen.select(key, "p", "d", "q"), key, "left")
-
-    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(period)
-        y = pdf[value].to_numpy(dtype=float)[-cap:]
-        order = [0, 1, 0] if pdf["p"].isna().any() else [int(pdf[c].iloc[0]) for c in "pdq"]
-        res = arima_fit_forecast(y, *order, steps)
-        known = y[np.isfinite(y)]
-        future = res[1] if res is not None else np.full(steps, known[-1] if len(known) else 0.0)
-        at = int(pdf[period].iloc[-1]) + 1 + np.arange(steps)
-        return pd.DataFrame({key: pdf[key].iloc[0], period: at.astype("int32"), "forecast": future})
+    kind = dict(history.dtypes)[key]
+    schema = f"{key} {kind}, {period} int, forecast double"
+    order = F.coalesce(F.when(F.col("p").isNotNull(), F.array("p", "d", "q")), F.array(*map(F.lit, (0, 1, 0))))
+    rows = (_whole_series(history.select(key, period, value), key, period, value)
+            .join(chosen.select(key, "p", "d", "q"), key, "left")
+            .select(key, "periods", "values", order.cast("array<int>").alias("order")))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, SIDE_BY_SIDE):
+                part = whole.slice(at, SIDE_BY_SIDE)
+                series = [y[-cap:] for y in _arrays(part.column(2))]
+                orders = [tuple(o) for o in part.column(3).to_pylist()]
+                ahead = np.zeros((len(series), steps))
+                for o in set(orders):
+                    own = [i for i, x in enumerate(orders) if x == o]
+                    for i, got in zip(own, arima.fit([series[i] for i in own], *o, steps)):
+                        known = series[i][np.isfinite(series[i])]
+                        ahead[i] = got[1] if got else (known[-1] if len(known) else 0.0)
+                last = np.array([p[-1] for p in _arrays(part.column(1))])
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(len(series)), steps)))
+                ends = (last[:, None] + 1 + np.arange(steps)).astype(np.int32).ravel()
+                yield pa.RecordBatch.from_arrays([keys, pa.array(ends), pa.array(ahead.ravel())],
+                                                 names=[key, period, "forecast"])
 
     ship_package(history.sparkSession)
-    return rows.groupBy(key).applyInPandas(per_key, schema)
+    return rows.mapInArrow(run, schema)
 
 
 CANDIDATE_SCHEMA = ("key string, train_window string, order_idx int, p int, q int, "
@@ -274,34 +240,35 @@ def fit_candidates(train: DataFrame, first_future: int, steps: int, cap: int = T
     points, non-finite output) yield no rows; ``naive_fallback`` serves such keys.
     """
     orders = tuple(orders)
-
-    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(period)
-        y = pdf[value].to_numpy(dtype=float)
-        per = pdf[period].to_numpy()
-        k = pdf[key].iloc[0]
-        parts = []
-        windows = [("full", y, per)]
-        if len(y) > cap:
-            windows.append(("capped", y[-cap:], per[-cap:]))
-        for wname, yy, pp in windows:
-            for idx, (p, d, q) in enumerate(orders):
-                res = arima_fit_forecast(yy, p, d, q, steps)
-                if res is None:
-                    continue
-                fitted, fc = res
-                n_fit, n_fc = len(pp), len(fc)
-                parts.append(pd.DataFrame({
-                    "train_window": wname, "order_idx": idx, "p": p, "q": q,
-                    "period": np.concatenate([pp, first_future + np.arange(n_fc)]).astype("int32"),
-                    "kind": ["fit"] * n_fit + ["fc"] * n_fc,
-                    "forecast": np.concatenate([fitted, fc])}))
-        if not parts:
-            return pd.DataFrame({c: [] for c in ["key", "train_window", "order_idx", "p", "q",
-                                                 "period", "kind", "forecast"]})
-        out = pd.concat(parts, ignore_index=True)
-        out.insert(0, "key", k)
-        return out
+    names = ["key", "train_window", "order_idx", "p", "q", "period", "kind", "forecast"]
+
+    def candidates(keys, periods, found, last, window, idx, p, q) -> pa.RecordBatch:
+        """The rows of one candidate of some keys: fitted values, then forecasts."""
+        own = [keys[i] for i, _ in found]
+        n_fit = [len(fitted) for _, (fitted, _) in found]
+        rows = sum(n_fit) + steps * len(found)
+        future = first_future + np.arange(steps)
+        at = np.concatenate([x for i, _ in found for x in (periods[i][-last:], future)]).astype(np.int32)
+        forecast = np.concatenate([x for _, got in found for x in got])
+        kind = [k for n in n_fit for k in ["fit"] * n + ["fc"] * steps]
+        same = [pa.array([x] * rows, t) for x, t in ((window, pa.string()), *((x, pa.int32()) for x in (idx, p, q)))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(own, pa.string()).take(pa.array(np.repeat(np.arange(len(own)), np.array(n_fit) + steps))), *same,
+             pa.array(at), pa.array(kind), pa.array(forecast, from_pandas=True)], names=names)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, SIDE_BY_SIDE):
+                part = whole.slice(at, SIDE_BY_SIDE)
+                keys = part.column(0).cast(pa.string()).to_pylist()
+                periods, values = _arrays(part.column(1)), _arrays(part.column(2))
+                long = [i for i, y in enumerate(values) if len(y) > cap]
+                for name, rows, last in (("full", range(len(keys)), 0), ("capped", long, cap)):
+                    series = [values[i][-last:] for i in rows]
+                    for idx, (p, d, q) in enumerate(orders):
+                        found = [(i, got) for i, got in zip(rows, arima.fit(series, p, d, q, steps)) if got]
+                        if found:
+                            yield candidates(keys, periods, found, last, name, idx, p, q)
 
     ship_package(train.sparkSession)
-    return train.select(key, period, value).groupBy(key).applyInPandas(per_key, CANDIDATE_SCHEMA)
+    return _whole_series(train.select(key, period, value), key, period, value).mapInArrow(run, CANDIDATE_SCHEMA)
