@@ -81,7 +81,7 @@ def test_likelihood_is_at_least_that_of_two_regressions_on_every_supplier(spark)
         found = arima.estimate(wide, start, p, q)[2]
         old = [two_regressions(z, p, q) for z in series]
         phi, theta = (np.stack([o[k] for o in old]).reshape(len(series), -1) for k in (0, 1))
-        assert (found >= arima.kalman(wide, start, phi, theta) - 1e-6).all(), (p, q)
+        assert (found >= arima.kalman(wide, start, phi, theta) - arima.GAIN).all(), (p, q)
 
 
 def test_series_side_by_side_equal_single_ones():

@@ -19,6 +19,8 @@ GRID = (-0.85, -0.4, 0.0, 0.4, 0.85)
 REACH = 4.0
 #: First and last step of the compass search, in inverse hyperbolic tangents of partial autocorrelations.
 STEP, LAST_STEP = 0.4, 0.004
+#: Least gain of log likelihood that counts.
+GAIN = 1e-5
 #: Fewest observations that are fitted.
 MIN_POINTS = 5
 
@@ -33,26 +35,26 @@ def coefficients(partial: np.ndarray) -> np.ndarray:
 
 
 def _model(phi: np.ndarray, theta: np.ndarray):
-    """First column of the transition (the others shift), noise and stationary state covariance, for each row."""
+    """First column of the transition (the others shift), noise and stationary state covariance; models along the last axis."""
     n, r = len(phi), max(phi.shape[1], theta.shape[1] + 1)
-    first = np.zeros((n, r))
-    first[:, :phi.shape[1]] = phi
+    first = np.zeros((r, n))
+    first[:phi.shape[1]] = phi.T
     move = np.zeros((n, r, r))
-    move[:, :, 0] = first
+    move[:, :, 0] = first.T
     move[:, np.arange(r - 1), np.arange(1, r)] = 1.0
-    load = np.zeros((n, r))
-    load[:, 0] = 1.0
-    load[:, 1:theta.shape[1] + 1] = theta
-    noise = load[:, :, None] * load[:, None, :]
+    load = np.zeros((r, n))
+    load[0] = 1.0
+    load[1:theta.shape[1] + 1] = theta.T
+    noise = load[:, None] * load[None]
     kron = np.einsum("nij,nkl->nikjl", move, move).reshape(n, r * r, r * r)
-    cov = np.linalg.solve(np.eye(r * r) - kron, noise.reshape(n, r * r, 1)).reshape(n, r, r)
-    return first, noise, cov
+    cov = np.linalg.solve(np.eye(r * r) - kron, noise.reshape(r * r, n).T[:, :, None])[:, :, 0]
+    return first, noise, np.ascontiguousarray(cov.T).reshape(r, r, n)
 
 
 def _next(first: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """The states (rows of vectors or of matrices) one step on."""
-    out = (first if state.ndim == 2 else first[:, :, None]) * state[:, :1]
-    out[:, :-1] += state[:, 1:]
+    """The states one step on."""
+    out = first * state[0]
+    out[:-1] += state[1:]
     return out
 
 
@@ -62,24 +64,33 @@ def kalman(z: np.ndarray, start: np.ndarray, phi: np.ndarray, theta: np.ndarray,
     With ``ahead`` also the one-step predictions and as many forecasts after the last column.
     """
     n, steps = z.shape
+    columns = np.ascontiguousarray(z.T)
     first, noise, cov = _model(phi, theta)
     state = np.zeros(first.shape)
     square, logs = np.zeros(n), np.zeros(n)
     fitted = np.full(z.shape, np.nan)
     late = int(start.max(initial=0))
     for t in range(int(start.min(initial=0)), steps):
-        on = start <= t
-        var = np.maximum(cov[:, 0, 0], 1e-12)
-        error = np.where(on, z[:, t] - state[:, 0], 0.0)
-        square += error * error / var
-        logs += np.where(on, np.log(var), 0.0)
+        all_on = t >= late
+        on = True if all_on else start <= t
+        var = np.maximum(cov[0, 0], 1e-12)
+        error = columns[t] - state[0]
+        if all_on:
+            logs += np.log(var)
+        else:
+            error = np.where(on, error, 0.0)
+            logs += np.where(on, np.log(var), 0.0)
         if ahead is not None:
-            fitted[:, t] = np.where(on, state[:, 0], np.nan)
-        gain = cov[:, :, 0] / var[:, None]
-        state = _next(first, state + gain * error[:, None])
-        after = _next(first, cov - gain[:, :, None] * cov[:, :1, :])
-        after = np.swapaxes(_next(first, np.swapaxes(after, 1, 2)), 1, 2) + noise
-        cov = after if t >= late else np.where(on[:, None, None], after, cov)
+            fitted[:, t] = np.where(on, state[0], np.nan)
+        gain = cov[:, 0] / var
+        square += error * error / var
+        state = _next(first, state + gain * error)
+        seen = cov - gain[:, None] * cov[0][None]
+        turned = first[:, None] * seen[0][None]
+        turned[:-1] += seen[1:]
+        after = turned[:, :1] * first[None] + noise
+        after[:, :-1] += turned[:, 1:]
+        cov = after if all_on else np.where(on, after, cov)
     count = (steps - start).astype(float)
     scale = np.maximum(square / count, 1e-300)
     value = -0.5 * (count * (np.log(2 * np.pi * scale) + 1) + logs)
@@ -87,7 +98,7 @@ def kalman(z: np.ndarray, start: np.ndarray, phi: np.ndarray, theta: np.ndarray,
         return value
     future = np.zeros((n, ahead))
     for h in range(ahead):
-        future[:, h] = state[:, 0]
+        future[:, h] = state[0]
         state = _next(first, state)
     return value, fitted, future
 
@@ -119,9 +130,10 @@ def estimate(z: np.ndarray, start: np.ndarray, p: int, q: int) -> tuple[np.ndarr
         tries = np.clip(at[live, None] + step[live, None, None] * ways, -REACH, REACH)
         got = value(live, tries)
         pick = got.argmax(axis=1)
-        better = got[np.arange(len(live)), pick] > top[live] + 1e-9
+        better = got[np.arange(len(live)), pick] > top[live] + GAIN
         won = live[better]
         at[won], top[won] = tries[better, pick[better]], got[better, pick[better]]
+        step[won] *= 1.5
         step[live[~better]] /= 2
         live = live[step[live] >= LAST_STEP]
     point = np.tanh(at)

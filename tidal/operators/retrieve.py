@@ -1,24 +1,27 @@
 """Vector retrieval: exact k-NN, band-dependent top-k, next-after-reject, context assembly.
 
-Exact k-NN scans the corpus once per block of queries.  A block is a matrix of
-at most ``BLOCK_BYTES`` that travels as one broadcast; each task scores its
-Arrow batches with one matrix product and emits the best k rows of the batch
-per query.  The final ``row_number() <= k`` is pre-limited inside every map
-task (WindowGroupLimit), so a query's group holds at most k rows per task,
-never the corpus.
+Exact k-NN is a grid: each Arrow batch of the corpus becomes one block, the
+queries become groups of at most ``BLOCK_BYTES``, and blocks meet groups in a
+join by vector length and a salt, on which the groups are repeated.  No vector
+passes the driver; Spark broadcasts the groups where they are small and deals
+both sides by the key where they are not.  A task scores a block
+against a group with one matrix product and emits the best k rows per query.  The
+final ``row_number() <= k`` is pre-limited inside every map task (WindowGroupLimit),
+so a query's group holds at most k rows per task, never the corpus.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidal.session import ship_package
+from tidal.session import materialize, ship_package
 
-BLOCK_BYTES = 32 << 20  # of query vectors in one broadcast
+BLOCK_BYTES = 4 << 20  # of query vectors in one group
 SCORES_PER_STEP = 1 << 22  # products held at once in a task
 RANK_DIGITS = 9  # scores are ranked at 1e-9 resolution so ties break by id, not by rounding noise
 
@@ -41,21 +44,6 @@ def _sound(df: DataFrame, vec_col: str) -> DataFrame:
     return df.filter(F.col(vec_col).isNotNull() & ok & (F.size(vec_col) > 0))
 
 
-def _query_blocks(queries: DataFrame, block_bytes: int):
-    """(ids, matrix) of at most ``block_bytes`` each, one vector length per block; one block on the driver at a time."""
-    held: dict[int, tuple[list, list]] = {}
-    for r in queries.toLocalIterator():
-        ids, vecs = held.setdefault(len(r["vec"]), ([], []))
-        ids.append(r["qid"])
-        vecs.append(np.asarray(r["vec"], float))
-        if len(ids) * len(r["vec"]) * 8 >= block_bytes:
-            yield list(ids), np.vstack(vecs)
-            ids.clear(), vecs.clear()
-    for ids, vecs in held.values():
-        if ids:
-            yield ids, np.vstack(vecs)
-
-
 def _best_of_batch(ids: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
     """Positions of the ``k`` smallest keys, ties by id."""
     at = np.arange(len(key))
@@ -82,42 +70,64 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         q, c = q.filter(norm(F.col("vec")) > 0), c.filter(norm(F.col("v")) > 0)
     out = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("id", c.schema["id"].dataType),
                         T.StructField("score", T.DoubleType()), T.StructField("key", T.DoubleType())])
-    ship_package(corpus.sparkSession)
-    sc, scored = corpus.sparkSession.sparkContext, None
-    for qids, matrix in _query_blocks(q, block_bytes or BLOCK_BYTES):
-        part = c.filter(F.size("v") == matrix.shape[1]).mapInPandas(
-            _scorer(sc.broadcast((qids, matrix)), k, metric), out)
-        scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
-        scored = corpus.sparkSession.createDataFrame([], out)
+    spark = corpus.sparkSession
+    ship_package(spark)
+    q = materialize(q, "knn-queries")
+    total = q.agg(F.sum(F.size("vec") * F.lit(8).cast("long"))).first()[0] or 0
+    groups = int(-(-total // (block_bytes or BLOCK_BYTES))) or 1
+    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    grouped = (q.withColumn("group", F.pmod(F.xxhash64("qid"), F.lit(groups)))
+               .groupBy(F.size("vec").alias("length"), "group")
+               .agg(F.collect_list("qid").alias("qids"), F.flatten(F.collect_list("vec")).alias("qvecs"))
+               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    id_type = c.schema["id"].dataType.simpleString()
+    blocks = c.mapInArrow(_blocks, f"length int, ids array<{id_type}>, vecs array<double>").withColumn(
+        "salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    met = blocks.join(grouped, ["length", "salt"]).select("length", "ids", "vecs", "qids", "qvecs")
+    scored = met.mapInArrow(_scorer(k, metric), out)
     rn = F.row_number().over(Window.partitionBy("qid").orderBy("key", "id"))
     return (scored.withColumn("rank", rn).filter(F.col("rank") <= k)
             .select(F.col("qid").alias(qid_col), "rank", F.col("id").alias(id_col), "score"))
 
 
-def _scorer(shared, k: int, metric: str):
-    """Task function: the best ``k`` rows of each batch for each query of the broadcast block."""
+def _blocks(batches):
+    """One row for each batch and vector length: length, ids, vectors end to end."""
+    for part in batches:
+        length = part.column(1).value_lengths().to_numpy()
+        for n in np.unique(length):
+            own = part.take(pa.array(np.flatnonzero(length == n)))
+            ends = pa.array([0, own.num_rows], pa.int32())
+            flat = own.column(1).flatten()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n], pa.int32()), pa.ListArray.from_arrays(ends, own.column(0)),
+                 pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], names=["length", "ids", "vecs"])
+
+
+def _scorer(k: int, metric: str):
+    """Task function: the best ``k`` rows of each block for each query of the group beside it."""
     digits = RANK_DIGITS
 
     def run(batches):
-        qids, matrix = shared.value
-        lengths = np.sqrt((matrix * matrix).sum(1))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            ids, v = pdf["id"].to_numpy(), np.vstack(pdf["v"].to_numpy())
-            step = max(1, SCORES_PER_STEP // (len(v) * (v.shape[1] if metric == "l2" else 1)))
-            for at in range(0, len(qids), step):
-                some = matrix[at:at + step]
-                if metric == "cosine":
-                    score = (v @ some.T) / np.outer(np.sqrt((v * v).sum(1)), lengths[at:at + step])
-                else:  # differences, not the expanded square: no cancellation between near vectors
-                    score = ((v[:, None, :] - some[None]) ** 2).sum(2)
-                key = np.round(-score if metric == "cosine" else score, digits)
-                best = [_best_of_batch(ids, key[:, j], k) for j in range(len(some))]
-                rows, col = np.concatenate(best), np.repeat(np.arange(len(some)), [len(b) for b in best])
-                yield pd.DataFrame({"qid": [qids[at + j] for j in col], "id": ids[rows], "score": score[rows, col],
-                                    "key": key[rows, col]})
+        for part in batches:
+            for row in range(part.num_rows):
+                width = part.column(0)[row].as_py()
+                ids, vecs, qids, qvecs = (part.column(c).slice(row, 1).flatten() for c in range(1, 5))
+                v, matrix = (x.to_numpy(zero_copy_only=False).reshape(-1, width) for x in (vecs, qvecs))
+                rank = np.empty(len(ids), np.int64)  # ids in order, of whatever type
+                rank[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+                step = max(1, SCORES_PER_STEP // (len(v) * (width if metric == "l2" else 1)))
+                for at in range(0, len(matrix), step):
+                    some = matrix[at:at + step]
+                    if metric == "cosine":
+                        score = (v @ some.T) / np.outer(np.sqrt((v * v).sum(1)), np.sqrt((some * some).sum(1)))
+                    else:  # differences, not the expanded square: no cancellation between near vectors
+                        score = ((v[:, None, :] - some[None]) ** 2).sum(2)
+                    key = np.round(-score if metric == "cosine" else score, digits)
+                    best = [_best_of_batch(rank, key[:, j], k) for j in range(len(some))]
+                    rows, col = np.concatenate(best), np.repeat(np.arange(len(some)), [len(b) for b in best])
+                    yield pa.RecordBatch.from_arrays(
+                        [qids.take(pa.array(at + col)), ids.take(pa.array(rows)), pa.array(score[rows, col]),
+                         pa.array(key[rows, col])], names=["qid", "id", "score", "key"])
 
     return run
 

@@ -395,14 +395,29 @@ def q_backtest_predictions(spark, sf_dir):
     return rounded(backtest_rows(spark, sf_dir))
 
 
-@register("arima_horizons")
-def q_arima_horizons(spark, sf_dir):
-    """The next 10 periods by the order of least val MAE, fitted again on the last 18 of all history."""
-    p = shared_predictions(spark, sf_dir)
+def arima_future(spark, sf_dir, p, hist):
+    """The next 10 periods of every key by the order of least val MAE, fitted again on the last 18 of ``hist``."""
     maes = candidate_maes(arima_candidate_table(spark, sf_dir, p), p)
     best = forecast.choose_order(maes.join(forecast.choose_window(maes), ["key", "train_window"]), "best")
     order = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(o, "pdq")]) for o in forecast.ORDERS])
     chosen = best.select("key", F.element_at(order, F.col("order_idx") + 1).alias("o")).select("key", "o.*")
+    return forecast.forecast_chosen(hist, chosen, max(b for _, b in HORIZONS.values()) - TEST[1])
+
+
+@register("arima_horizons")
+def q_arima_horizons(spark, sf_dir):
+    """The next 10 periods by the order of least val MAE, fitted again on the last 18 of all history."""
+    p = shared_predictions(spark, sf_dir)
+    return rounded(arima_future(spark, sf_dir, p, series.impute_series_mean(history(spark, sf_dir, p))))
+
+
+@register("risk_from_arima")
+def q_risk_from_arima(spark, sf_dir):
+    """The risk path on the chosen models: history ++ ARIMA forecasts -> index chain -> components -> score."""
+    p = shared_predictions(spark, sf_dir)
     hist = series.impute_series_mean(history(spark, sf_dir, p))
-    steps = max(b for _, b in HORIZONS.values()) - TEST[1]
-    return rounded(forecast.forecast_chosen(hist, chosen, steps))
+    future = arima_future(spark, sf_dir, p, hist).withColumnRenamed("forecast", "value")
+    lo, hi = min(a for a, _ in HORIZONS.values()), max(b for _, b in HORIZONS.values())
+    chain = series.index_chain(hist.select("key", "period", "value").unionByName(future))
+    rows = chain.filter(F.col("period").between(lo, hi)).select("key", "period", "ofr_change", "inflation_pct")
+    return risk_from(materialize(rows, "arima_horizon_rows"))

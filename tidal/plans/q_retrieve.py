@@ -121,16 +121,17 @@ def q_next_recommendation(spark, sf_dir):
 
 
 @register("assemble_context", f"""WITH {_SQL_VEC}, {_sql_knn(_COS, True, K)},
-t AS (SELECT nn.qid, nn.rank, d.text AS txt FROM nn JOIN documents d ON d.doc_id = nn.vec_id)
+t AS (SELECT nn.qid, nn.rank, coalesce(d.text, '') AS txt FROM nn LEFT JOIN documents d ON d.doc_id = nn.vec_id)
 SELECT qid, string_agg('[' || CAST(rank AS VARCHAR) || '] ' || txt, chr(10) || chr(10) ORDER BY rank) AS context
 FROM t GROUP BY qid""")
 def q_assemble_context(spark, sf_dir):
-    """Numbered context text per query from its ranked neighbours' source documents."""
+    """Numbered context text per query from its ranked neighbours' source documents, empty where there is none."""
     emb = read_table(spark, sf_dir, "embeddings")
     top = retrieve.knn(emb, _queries(spark, sf_dir), K, "cosine")
     docs = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("vec_id"), F.col("text").alias("txt"))
-    return retrieve.assemble_context(top.join(docs, "vec_id"), "qid", "txt")
+    found = top.join(docs, "vec_id", "left").withColumn("txt", F.coalesce("txt", F.lit("")))
+    return retrieve.assemble_context(found, "qid", "txt")
 
 
 @register("context_with_sources", f"""WITH {_SQL_VEC}, {_sql_knn(_COS, True, K)},

@@ -213,3 +213,16 @@ def q_knn_lsh(spark, sf_dir):
     from tidal.operators.retrieve import label_queries
     emb = read_table(spark, sf_dir, "embeddings")
     return knn_lsh(emb, label_queries(emb), 5)
+
+
+@register("knn_cells")
+def q_knn_cells(spark, sf_dir):
+    """Approximate cosine neighbours from an inverted file of k-means cells, exact re-rank."""
+    import uuid
+
+    from tidal.operators import ann
+    from tidal.operators.retrieve import label_queries
+    from tidal.session import checkpoint_dir
+    emb = read_table(spark, sf_dir, "embeddings")
+    index = ann.build_cells(emb, f"{checkpoint_dir(spark).rstrip('/')}/tables/cells-{uuid.uuid4().hex}")
+    return ann.knn_cells(index, label_queries(emb), 5)
