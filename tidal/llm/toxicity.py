@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidal.llm.common import batch, filled, held_out, map_arrow, steps, words
+from tidal.llm.common import batch, filled, held_out, map_arrow, steps, trim, words
 from tidal.session import materialize
 
 #: A window is a word; longer words are cut into windows that overlap by a quarter.
@@ -33,6 +33,10 @@ _PARAMS = {"window_log": 14, "hash_log": 14, "chain_log": 14, "search_log": 6, "
            "strategy": zstandard.STRATEGY_LAZY2}
 
 
+#: Texts whose segments are counted together.
+GROUP = 64
+
+
 def _segments(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Every distinct (segment of ``n`` bytes packed into an integer, text that holds it), in order."""
     buf = np.frombuffer(b"".join(texts), np.uint8)
@@ -51,6 +55,26 @@ def _segments(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return key[new], doc[new]
 
 
+def _groups(texts: list[bytes], n: int):
+    """Segments of a few texts at a time, so that arrays stay small at any number of texts; texts keep their numbers."""
+    for at in range(0, len(texts), GROUP):
+        key, doc = _segments(texts[at:at + GROUP], n)
+        yield key, doc + np.int32(at)
+
+
+def _held(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct segments, in order, and how many texts hold each."""
+    key, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for more, _ in _groups(texts, n):
+        more, times = np.unique(more, return_counts=True)
+        i = np.minimum(np.searchsorted(key, more), max(0, len(key) - 1))
+        old = key[i] == more if len(key) else np.zeros(len(more), bool)
+        count[i[old]] += times[old]
+        where = np.searchsorted(key, more[~old])
+        key, count = np.insert(key, where, more[~old]), np.insert(count, where, times[~old])
+    return key, count
+
+
 def train(toxic: list[bytes], ordinary: list[bytes], size: int = 4096, common: int = 1000) -> tuple[bytes, bytes]:
     """Contents of the toxic and of the ordinary dictionary, from sampled texts.
 
@@ -65,16 +89,22 @@ def train(toxic: list[bytes], ordinary: list[bytes], size: int = 4096, common: i
     held: dict[bytes, tuple[np.ndarray, float]] = {}
     nt, no = len(toxic), len(ordinary)
     for n in SEGMENTS if nt and no else ():
-        (kt, dt), (ko, _) = _segments(toxic, n), _segments(ordinary, n)
-        key, first, count = np.unique(kt, return_index=True, return_counts=True)
-        other, times = np.unique(ko, return_counts=True)
-        if not len(other):
-            other, times = np.zeros(1, np.uint64), np.zeros(1, np.int64)
-        i = np.minimum(np.searchsorted(other, key), len(other) - 1)
-        against = np.where(other[i] == key, times[i], 0)
+        key, count = _held(toxic, n)
+        key, count = key[count >= min(4, nt)], count[count >= min(4, nt)]
+        against = np.zeros(len(key), np.int64)
+        for other, _ in _groups(ordinary, n):
+            at = np.searchsorted(key, other)
+            at = at[(at < len(key)) & (key[np.minimum(at, max(0, len(key) - 1))] == other)] if len(key) else at[:0]
+            against += np.bincount(at, minlength=len(key))
         odds = np.log((count + 0.5) / (nt + 1)) - np.log((against + 0.5) / (no + 1))
-        for k in np.flatnonzero((count >= min(4, nt)) & (odds >= 2.5)):
-            held[int(key[k]).to_bytes(8, "big")[8 - n:]] = (dt[first[k]:first[k] + count[k]], float(odds[k]))
+        key, odds = key[odds >= 2.5], odds[odds >= 2.5]
+        holders: list[list[np.ndarray]] = [[] for _ in key]
+        for more, doc in _groups(toxic, n):
+            low, high = np.searchsorted(more, key, side="left"), np.searchsorted(more, key, side="right")
+            for k in np.flatnonzero(high > low):
+                holders[k].append(doc[low[k]:high[k]])
+        for k, docs in enumerate(holders):
+            held[int(key[k]).to_bytes(8, "big")[8 - n:]] = (np.concatenate(docs), float(odds[k]))
     worth = np.ones(nt)
 
     def gain(s: bytes) -> float:
@@ -237,7 +267,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_row
     texts: list[list[bytes]] = [[], []]
     for r in rows:
         texts[r["toxic"]].append(r["text"].encode().lower())
-    marks = materialize(evidence(docs, Compressors(*train(texts[1], texts[0])), doc_id, text, key), "toxicity-marks")
+    made = Compressors(*train(texts[1], texts[0]))
+    del rows, texts
+    trim()  # the driver's share goes back before the scoring starts
+    marks = materialize(evidence(docs, made, doc_id, text, key), "toxicity-marks")
     # labelled rows in cells of a grid: a bounded number at any number of rows
     grid = [F.round(f * 8).cast("int").alias(f"f{i}") for i, f in enumerate(features())]
     cells = marks.join(known, marks["doc_id"] == known["id"]).groupBy("toxic", *grid).count().collect()
