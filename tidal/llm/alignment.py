@@ -28,15 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidal.llm.common import filled, map_arrow, steps, text_bytes
+from tidal.llm.common import filled, map_arrow, steps, text_bytes, trim
 from tidal.session import materialize
 
 #: Bytes of text that make one chunk, whose distinct links are counted and looked up together.
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 #: Pairs whose counts are broadcast at most (about 17 bytes each); the others are joined.
 HEAD = 1 << 18
 #: Units a worker remembers at most.
-MOST = 400_000
+MOST = 300_000
 
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _MARK = "▁"
@@ -346,7 +346,10 @@ def _documents(body: dict[str, pa.Array], pairs: np.ndarray, count: np.ndarray,
         stop = np.cumsum(units)
         return total[stop] - total[stop - units]
 
-    texts = _group_texts(links, pairs[place], ends, digits)
+    texts: list[str] = []
+    for at in range(0, len(links), 20_000):  # some units at a time: their tokens are many small strings
+        own = slice(int(start[at]), int(start[at:at + 20_000][-1] + links[at:at + 20_000][-1]))
+        texts += _group_texts(links[at:at + 20_000], pairs[place[own]], ends[own], digits)
     at = np.concatenate([[0], np.cumsum(units)]).tolist()
     each = unit.tolist()
     groups = [";".join([texts[u] for u in each[a:b]]) for a, b in itertools.pairwise(at)]
@@ -419,7 +422,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
             "CAST(NULL AS array<struct<pair: bigint, n: bigint, best: boolean>>)").alias("found"))
 
     def finish(batches):
-        _TOKENS.clear()  # the worker's units are done with
+        if _TOKENS:  # the worker's units are done with
+            _TOKENS.clear()
+            trim()
         known, n_known, best_known = cached.value
         digits = list(map(str, range(1 << 17)))
         for part in batches:
