@@ -75,14 +75,56 @@ def test_upsert_rejects_duplicate_batch_keys(spark):
         io.upsert(_target(spark), batch, ["key", "period", "horizon"], ["v"])
 
 
-def test_versioned_upsert_table(spark):
+def _times(base):
+    return {str(f): f.stat().st_mtime_ns for f in Path(base).rglob("*.parquet")}
+
+
+def test_upsert_table_rewrites_only_touched_buckets(spark):
+    base = f"{_tmp()}/table"
+    first = spark.range(2000).select(F.col("id").alias("k"), F.col("id").cast("double").alias("v"), F.lit("c").alias("note"))
+    assert io.read_upsert_table(spark, base) is None
+    io.upsert_table(spark, base, first, ["k"], ["v"], buckets=16)
+    before = _times(base)
+    assert len({Path(f).parent for f in before}) == 16
+    one = spark.createDataFrame([(7, -1.0)], "k int, v double")  # a narrower key type meets the stored one
+    io.upsert_table(spark, base, one, ["k"], ["v"], buckets=3)   # the table's own number holds
+    after = _times(base)
+    changed = {Path(f).parent for f in before.keys() ^ after.keys()} | {
+        Path(f).parent for f in before.keys() & after.keys() if before[f] != after[f]}
+    assert len(changed) == 1
+    rows = {r.k: r for r in io.read_upsert_table(spark, base).collect()}
+    assert len(rows) == 2000 and rows[7].v == -1.0 and rows[7].note == "c" and rows[8].v == 8.0
+
+
+def test_upsert_table_reads_only_touched_buckets(spark):
+    base = f"{_tmp()}/table"
+    io.upsert_table(spark, base, spark.range(100).withColumn("v", F.lit(1)), ["id"], ["v"], buckets=8)
+    plan = io.read_upsert_table(spark, base).filter(F.col("bucket").isin([1, 2]))._jdf.queryExecution().executedPlan()
+    assert "PartitionFilters: [bucket" in plan.toString()
+
+
+def test_upsert_table_finishes_a_merge_that_was_cut_off(spark):
+    import shutil
+    base = f"{_tmp()}/table"
+    io.upsert_table(spark, base, spark.range(50).withColumn("v", F.lit(1)), ["id"], ["v"], buckets=4)
+    rows = spark.read.parquet(base)
+    rows.filter("bucket < 2").withColumn("v", F.lit(2)).write.parquet(f"{base}-pending")  # decided, not yet moved
+    shutil.rmtree(f"{base}/buckets=4/bucket=0")  # removed, its new folder not yet in place
+    got = io.read_upsert_table(spark, base)
+    assert got.count() == 50 and got.filter("bucket < 2 AND v <> 2").isEmpty() and got.filter("bucket > 1 AND v <> 1").isEmpty()
+    assert not Path(f"{base}-pending").exists()
+
+
+def test_upsert_table_empty_batch_and_null_keys(spark):
     base = f"{_tmp()}/table"
-    first = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "key string, v double")
-    p1 = io.upsert_table(spark, base, first, ["key"], ["v"])
-    p2 = io.upsert_table(spark, base, spark.createDataFrame([("b", 5.0)], "key string, v double"), ["key"], ["v"])
-    assert p1.endswith("v=000001") and p2.endswith("v=000002")
-    assert io.latest_version(spark, base) == p2
-    assert sorted(tuple(r) for r in spark.read.parquet(p2).collect()) == [("a", 1.0), ("b", 5.0)]
+    none = spark.createDataFrame([], "k string, v double")
+    io.upsert_table(spark, base, none, ["k"], ["v"])
+    assert io.read_upsert_table(spark, base) is None
+    io.upsert_table(spark, base, spark.createDataFrame([("a", 1.0), (None, 2.0)], "k string, v double"), ["k"], ["v"])
+    io.upsert_table(spark, base, none, ["k"], ["v"])
+    io.upsert_table(spark, base, spark.createDataFrame([(None, 3.0)], "k string, v double"), ["k"], ["v"])
+    rows = [(r.k, r.v) for r in io.read_upsert_table(spark, base).collect()]
+    assert sorted(rows, key=str) == sorted([("a", 1.0), (None, 2.0), (None, 3.0)], key=str)
 
 
 def test_streaming_upsert(spark):
@@ -97,7 +139,7 @@ def test_streaming_upsert(spark):
     q = start_upsert_stream(stream, table, ["key", "period"], ["v"], name=f"t_upsert_{uuid.uuid4().hex}",
                             order_col="ts", trigger_once=True)
     q.awaitTermination(120)
-    out = sorted(tuple(r)[:3] for r in spark.read.parquet(io.latest_version(spark, table)).collect())
+    out = sorted(tuple(r)[:3] for r in io.read_upsert_table(spark, table).collect())
     assert out == [("a", 1, 9.0), ("b", 1, 2.0)]
 
 

@@ -50,11 +50,11 @@ def test_upsert_first_load_and_retry(spark, tmp_path):
     assert row["note"] == "a" and row["updated_at"] is not None
     with pytest.raises(ValueError):
         io.upsert_table(spark, base, batch.unionAll(batch), ["k"], ["v"])
-    left = Path(base) / "v=000002"  # an aborted write: files, no success mark
+    left = Path(f"{base}-pending")  # an aborted write: files, no success mark
     left.mkdir()
     (left / "part-0.parquet").write_bytes(b"x")
     out = io.upsert_table(spark, base, batch.withColumn("v", F.lit(3.0)), ["k"], ["v"], touch="updated_at")
-    assert out.endswith("v=000002") and spark.read.parquet(out).first()["v"] == 3.0
+    assert out == base and spark.read.parquet(out).first()["v"] == 3.0 and not left.exists()
 
 
 def test_python_tasks_run_from_another_folder(tmp_path):

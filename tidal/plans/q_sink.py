@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidal.functions import scalar
@@ -12,7 +14,7 @@ from tidal.plans.q_forecast import (RISK_CTE, SQL_HORIZON, horizon_rows, horizon
 from tidal.plans.q_text import _SQL_SENT, _sql_html_text, _sql_lines, _sql_pack, q_page_chunks, q_pack_chunks
 from tidal.plans.registry import register, rounded
 from tidal.plans.views import FUTURE, shared_predictions
-from tidal.session import materialize
+from tidal.session import checkpoint_dir, materialize
 from tidal.sources import io
 from tidal.sources.tables import read_table
 from tidal.operators import text
@@ -43,12 +45,15 @@ tgt AS (SELECT key, period, round(ofr_change, 6) + 0.0 AS ofr_change, round(infl
         WHERE period BETWEEN lo AND hi)"""
 
 
-@register("upsert_forecast", SQL_HORIZON + _SQL_BATCH + """
+_SQL_UPSERT = SQL_HORIZON + _SQL_BATCH + """
 SELECT coalesce(t.key, s.key) AS key, coalesce(t.period, s.period) AS period,
        CASE WHEN s.key IS NOT NULL THEN s.ofr_change ELSE t.ofr_change END AS ofr_change,
        CASE WHEN s.key IS NOT NULL THEN s.inflation_pct ELSE t.inflation_pct END AS inflation_pct,
        coalesce(t.horizon, s.horizon) AS horizon, t.context_meaning
-FROM tgt t FULL OUTER JOIN src s ON t.key = s.key AND t.period = s.period AND t.horizon = s.horizon""")
+FROM tgt t FULL OUTER JOIN src s ON t.key = s.key AND t.period = s.period AND t.horizon = s.horizon"""
+
+
+@register("upsert_forecast", _SQL_UPSERT)
 def q_upsert_forecast(spark, sf_dir):
     """ON CONFLICT (key, period, horizon) DO UPDATE of the two value columns; context survives."""
     p = shared_predictions(spark, sf_dir)
@@ -56,6 +61,18 @@ def q_upsert_forecast(spark, sf_dir):
     return io.upsert(target, upsert_batch(p), KEYS, ["ofr_change", "inflation_pct"])
 
 
+@register("upsert_loads", _SQL_UPSERT)
+def q_upsert_loads(spark, sf_dir):
+    """The same merge as two loads of a stored table, partitioned by key bucket: horizons first, then the batch."""
+    p = shared_predictions(spark, sf_dir)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/tables/forecast-{uuid.uuid4().hex}"
+    first = horizons_from(horizon_rows(spark, sf_dir, p)).withColumn("context_meaning", F.lit("base forecast"))
+    values = ["ofr_change", "inflation_pct"]
+    for batch in (first, upsert_batch(p)):
+        io.upsert_table(spark, base, batch, KEYS, values)
+    return io.read_upsert_table(spark, base).drop("buckets", "bucket")
+
+
 @register("forecast_sink_types", SQL_HORIZON + f"""
 SELECT key, period, horizon, CAST(CAST(round(ofr_change, 6) AS DECIMAL(38,12)) AS DECIMAL(12,6)) AS ofr_change,
        CAST(CAST(round(inflation_pct, 6) AS DECIMAL(38,12)) AS DECIMAL(12,6)) AS inflation_pct
@@ -218,11 +235,8 @@ def q_knn_lsh(spark, sf_dir):
 @register("knn_cells")
 def q_knn_cells(spark, sf_dir):
     """Approximate cosine neighbours from an inverted file of k-means cells, exact re-rank."""
-    import uuid
-
     from tidal.operators import ann
     from tidal.operators.retrieve import label_queries
-    from tidal.session import checkpoint_dir
     emb = read_table(spark, sf_dir, "embeddings")
     index = ann.build_cells(emb, f"{checkpoint_dir(spark).rstrip('/')}/tables/cells-{uuid.uuid4().hex}")
     return ann.knn_cells(index, label_queries(emb), 5)

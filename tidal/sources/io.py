@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidal.functions.scalar import standardize_name, to_numeric
+from tidal.session import materialize
 
 # Text tokens read as missing (the pandas CSV defaults).
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -91,38 +92,70 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], update_cols: li
     return j.select(*cols)
 
 
-def latest_version(spark: SparkSession, base: str) -> str | None:
-    """Path of the newest committed version folder ``base/v=NNNNNN`` (or None)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(base)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    versions = sorted(st.getPath().getName() for st in fs.listStatus(p)
-                      if st.getPath().getName().startswith("v=")
-                      and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
-    return f"{base.rstrip('/')}/{versions[-1]}" if versions else None
+#: Number of key buckets of a new table; one bucket is what a merge rewrites at least.
+BUCKETS = 64
 
 
-def upsert_table(spark: SparkSession, base: str, batch: DataFrame, keys: list[str],
-                 update_cols: list[str], touch: str | None = None) -> str:
-    """Merge ``batch`` into the versioned parquet table at ``base``; returns the new version path.
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    Each merge writes a new version folder (never overwriting what it reads),
-    so a failed or retried job leaves the previous version intact.  The first
-    load takes the same path as later ones: keys must be unique, ``touch`` is set.
+
+def _pending(base: str) -> str:
+    return f"{base.rstrip('/')}-pending"
+
+
+def _replace_buckets(spark: SparkSession, base: str) -> None:
+    """Replace the buckets of ``base`` that the pending merge holds, then remove it."""
+    pending = _pending(base)
+    rows = spark.read.parquet(pending).hint("rebalance", "bucket")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(base)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pending)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def read_upsert_table(spark: SparkSession, base: str) -> DataFrame | None:
+    """The table that ``upsert_table`` keeps at ``base`` (with its ``buckets`` and ``bucket``), or None before its first load.
+
+    A merge that was cut off after it had been decided is finished first.
+    """
+    if _exists(spark, f"{_pending(base)}/_SUCCESS"):
+        _replace_buckets(spark, base)
+    return spark.read.parquet(base) if _exists(spark, base) else None
+
+
+def upsert_table(spark: SparkSession, base: str, batch: DataFrame, keys: list[str], update_cols: list[str],
+                 touch: str | None = None, buckets: int = BUCKETS) -> str:
+    """Merge ``batch`` into the parquet table at ``base``, partitioned by key bucket; returns ``base``.
+
+    Only buckets that hold a key of the batch are read, merged and replaced (dynamic partition
+    overwrite); files of all others stay.  ``buckets`` counts for the first load, later ones read it from
+    the table's folders; it should grow with the table, so that one bucket stays a task's work.  The
+    merged buckets are written beside the table before they replace anything: Spark's overwrite removes a
+    folder before it moves the new one there, and a job that ends in between is finished from them by the next reader or
+    merge.  Merging a batch again gives the same rows (``touch`` excepted), so a retry does no harm.  One
+    writer at a time.  An empty batch changes nothing; a key twice in a batch is an error; rows with a null key match none.
     """
-    cur = latest_version(spark, base)
-    target = spark.createDataFrame([], batch.schema) if cur is None else spark.read.parquet(cur)
-    if touch and touch not in target.columns:
-        target = target.withColumn(touch, F.lit(None).cast("timestamp"))
-    merged = upsert(target, batch, keys, update_cols, touch)
-    n = 1 if cur is None else int(cur.rsplit("v=", 1)[1]) + 1
-    out = f"{base.rstrip('/')}/v={n:06d}"
-    # a folder without its success mark is what an aborted write left: it is written anew
-    merged.write.mode("overwrite").parquet(out)
-    return out
+    stored = read_upsert_table(spark, base)
+    if stored is not None:
+        buckets = stored.select("buckets").first()[0]
+        types = dict(stored.dtypes)  # a key hashes by its type
+        batch = batch.select([F.col(c).cast(types.get(c, t)).alias(c) for c, t in batch.dtypes])
+    bucket = F.pmod(F.xxhash64(*sorted(keys)), F.lit(buckets)).cast("int")
+    batch = materialize(batch.withColumn("bucket", bucket), "upsert_batch")
+    touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return base
+    if stored is None:
+        target = spark.createDataFrame([], batch.schema)
+        if touch and touch not in target.columns:
+            target = target.withColumn(touch, F.lit(None).cast("timestamp"))
+    else:
+        target = stored.filter(F.col("bucket").isin(touched)).drop("buckets")
+    merged = upsert(target, batch, [*keys, "bucket"], update_cols, touch)
+    merged.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(_pending(base))
+    _replace_buckets(spark, base)
+    return base
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split", mode: str = "overwrite") -> None:

@@ -4,8 +4,8 @@ The reference loads forecast and risk rows into keyed tables with
 ``INSERT ... ON CONFLICT DO UPDATE``.  When those rows arrive continuously
 (new forecast files landing in a folder), the same merge runs per
 micro-batch through ``foreachBatch``: each batch is de-duplicated on the
-keys (last row by an ordering column wins), merged into the versioned
-parquet table, and the stream's checkpoint (under the shared
+keys (last row by an ordering column wins), merged into the key buckets
+of the parquet table that it touches, and the stream's checkpoint (under the shared
 ``spark.checkpoint.dir``) makes the load restartable after executor or
 driver loss.
 """
