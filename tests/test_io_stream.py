@@ -28,6 +28,21 @@ def test_read_observations(spark):
     assert rows == [("South Korea", 2004, 1.0), ("United States", 2001, 5.0), ("Usa", 2001, 10.0)]
 
 
+def test_load_observations_counts_and_keeps_rejected_rows(spark):
+    d = Path(_tmp())
+    (d / "obs.csv").write_text(
+        "Country,Year,Catch\n"
+        " usa ,2001,10\n,2001,1\nnorway,NA,1\nnorway,2002,n/a\nnorway,2002.5,3\nnorway,x,3\n"
+        "norway,99999999999,3\nnorway,2002,inf\nnorway,2002,ten\n,,\n")
+    counts = io.load_observations(spark, str(d / "obs.csv"), str(d / "out"))
+    assert counts == {"kept": 1, "missing_key": 2, "missing_period": 1, "missing_value": 1, "bad_period": 3, "bad_value": 2}
+    out = spark.read.parquet(str(d / "out"))
+    left = {(r.reason, r.raw_period, r.raw_value) for r in out.filter("status = 'rejected'").collect()}
+    assert ("bad_value", "2002", "ten") in left and ("bad_period", "2002.5", "3") in left and out.count() == 10
+    (d / "none.csv").write_text("Country,Year,Catch\n")
+    assert set(io.load_observations(spark, str(d / "none.csv"), str(d / "out2")).values()) == {0}
+
+
 def test_read_observations_missing_columns(spark):
     d = Path(_tmp())
     (d / "bad.csv").write_text("Country,Year\nA,2001\n")

@@ -53,11 +53,13 @@ def _code_point(code: Column) -> Column:
 def decode_references(text: Column) -> Column:
     """Every character reference decoded once: all HTML 5 names and decimal or hexadecimal numbers.
 
-    References end with a semicolon; unknown names stay as they are.
+    Numbers and the old names (``&amp``, ``&copy``) need no semicolon: without a full name, the longest old name that
+    the text begins with counts, as in HTML 5.  Unknown names stay as they are.
     """
     first = ("amp", "nbsp", "quot", "lt", "gt", "apos", "copy", "middot")  # the most frequent ones are found first
     names = {n: html5[f"{n};"] for n in first} | {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
     table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    old = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))  # longest first
 
     def number(ref: Column) -> Column:
         base = F.when(F.substring(ref, 2, 1).isin("x", "X"), 16).otherwise(10)
@@ -68,10 +70,16 @@ def decode_references(text: Column) -> Column:
     def char(ref: Column) -> Column:
         return F.when(ref == "", None).when(ref.startswith("#"), number(ref)).otherwise(F.try_element_at(table, ref))
 
+    def without_semicolon(s: Column) -> Column:
+        def use(name):
+            return F.when(name != "", F.concat(F.try_element_at(table, name), F.substring(s, F.length(name) + 1, F.length(s))))
+        return _once(F.regexp_extract(s, f"^(?:{'|'.join(old)})", 0), use)
+
     def piece(s: Column) -> Column:
-        rest = F.substring(s, F.locate(";", s) + 1, F.length(s))
-        found = _once(F.regexp_extract(s, r"^(#[0-9]{1,12}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);", 1), char)
-        return F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), s))
+        def use(ref):
+            return F.concat(char(F.rtrim(ref, F.lit(";"))), F.substring(s, F.length(ref) + 1, F.length(s)))
+        found = _once(F.regexp_extract(s, r"^(?:#[0-9]{1,12};?|#[xX][0-9a-fA-F]{1,8};?|[A-Za-z][A-Za-z0-9]*;)", 0), use)
+        return F.coalesce(found, without_semicolon(s), F.concat(F.lit("&"), s))
 
     def joined(parts: Column) -> Column:
         return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
@@ -79,12 +87,29 @@ def decode_references(text: Column) -> Column:
     return _once(F.split(text, "&"), joined)
 
 
-def html_text(html: Column, drop_tags=("script", "style")) -> Column:
-    """Body text with the given elements and comments removed, tags turned into line breaks."""
-    body = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1), F.lit("")), html)
-    drop = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in drop_tags)
-    body = F.regexp_replace(body, rf"(?is){drop}|<!--.*?-->", "")
-    return decode_references(F.regexp_replace(body, r"<[^>]*>", "\n"))
+# The rest of a tag after its name: an equals sign may be followed by a quoted value, in which ``>`` is text.
+# Possessive throughout: the matcher loops over attributes instead of recursing, and never tries a tag twice.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+(?:>|\z)"""
+_TAG = r"""</?[a-z](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+_OPEN = rf"</?[a-z]{_ATTRIBUTES}"  # a tag that the page ends in is no text
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\z))|<[!?][^>]*+(?:>|\z)|</[^a-z][^>]*+(?:>|\z)"
+
+
+def html_text(html: Column, drop_tags=("script", "style"), open_body: bool = False) -> Column:
+    """Body text with the given elements and comments removed, tags turned into line breaks.
+
+    One pass from left to right reads comments, elements whose content is no markup (``drop_tags``), declarations and
+    tags with quoted attributes; a ``<`` that opens none of them is text.  What is not closed runs to the end of the page; a
+    quote without its partner ends with the tag.  A page without a body counts whole; so does one whose body has no
+    end tag, unless ``open_body`` lets it run to the end of the page.
+    """
+    raw = rf"<({'|'.join(drop_tags)})(?=[\s/>]){_ATTRIBUTES}.*?(?:</\1(?=[\s/>]){_ATTRIBUTES}|\z)"
+    # U+0000 keeps what stood apart from growing together to a new tag
+    marked = F.regexp_replace(F.translate(html, "\0", ""), rf"(?is){raw}|{_COMMENT}|({_TAG})|{_OPEN}", "$2\0")
+    end = r"</body[\s/>]|\z" if open_body else r"</body[\s/>]"
+    body = F.regexp_extract(marked, rf"(?is)<body(?=[\s/>]){_ATTRIBUTES}.*?(?={end})", 0)
+    marked = F.coalesce(F.nullif(body, F.lit("")), marked)
+    return decode_references(F.translate(F.regexp_replace(marked, rf"(?is){_TAG}\x00", "\n"), "\0", ""))
 
 
 def text_lines(text: Column, min_chars: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidal.functions import scalar
@@ -9,6 +11,8 @@ from tidal.plans import sql
 from tidal.plans.registry import register, rounded
 from tidal.operators import series
 from tidal.plans.views import month_index, supplier_month, supplier_month_zero
+from tidal.session import checkpoint_dir
+from tidal.sources import io
 from tidal.sources.tables import read_table
 
 WS = scalar.WS
@@ -131,3 +135,45 @@ def q_attach_coordinates(spark, sf_dir):
     """
     out = supplier_month(spark, sf_dir).join(coordinates(spark, sf_dir), "key", "left")
     return rounded(out)
+
+
+# Observations as text, some unusable: fields left out, quarters of periods, words and infinities for values.
+_SQL_OBSERVATIONS = """WITH n AS (SELECT event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+raw AS (SELECT CASE WHEN k <> 10 THEN event_type END AS country,
+               CASE WHEN k <> 20 THEN k / 4.0 END AS year_,
+               CASE WHEN k = 30 THEN 'missing_value' WHEN k IN (41, 44) THEN 'bad_value' END AS bad, value FROM n),
+tagged AS (SELECT *, CASE WHEN country IS NULL THEN 'missing_key' WHEN year_ IS NULL THEN 'missing_period'
+                          WHEN bad = 'missing_value' THEN bad WHEN year_ <> floor(year_) THEN 'bad_period'
+                          WHEN bad = 'bad_value' THEN bad ELSE 'kept' END AS reason FROM raw)"""
+
+
+def observations_csv(spark, sf_dir) -> str:
+    """``events`` written as an observation file (Country, Year, Catch) into the shared folder; its path."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/observations-{uuid.uuid4().hex}"
+    io.write_csv(read_table(spark, sf_dir, "events").select(
+        F.when(k != 10, F.concat(F.lit(" "), "event_type")).alias("Country"),
+        F.when(k != 20, (k / 4).cast("string")).otherwise("").alias("Year"),
+        F.when(k == 30, "NA").when(k == 41, "inf").when(k == 44, "none given")
+        .otherwise(F.col("value").cast("string")).alias("Catch")), path)
+    return path
+
+
+@register("observation_rejects", _SQL_OBSERVATIONS + f"""
+SELECT r AS reason, count(t.reason) AS n_rows
+FROM (VALUES ('kept'), {", ".join(f"('{r}')" for r in io.REASONS)}) v(r) LEFT JOIN tagged t ON t.reason = r GROUP BY r""")
+def q_observation_rejects(spark, sf_dir):
+    """Rows of an observation file, kept and left out by reason, as counted by the write of both."""
+    path = observations_csv(spark, sf_dir)
+    counts = io.load_observations(spark, path, f"{path}-loaded")
+    return spark.createDataFrame(sorted(counts.items()), "reason string, n_rows long")
+
+
+@register("observation_load", _SQL_OBSERVATIONS + """
+SELECT upper(country[1]) || lower(country[2:]) AS key, CAST(year_ AS INTEGER) AS period, round(sum(value), 6) + 0.0 AS value
+FROM tagged WHERE reason = 'kept' GROUP BY 1, 2""")
+def q_observation_load(spark, sf_dir):
+    """The sound rows of the loaded file, summed per key and period."""
+    path = observations_csv(spark, sf_dir)
+    io.load_observations(spark, path, f"{path}-loaded")
+    return rounded(io.aggregate_observations(spark.read.parquet(f"{path}-loaded").filter("status = 'kept'")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidal.functions.scalar import standardize_name, to_numeric
@@ -17,6 +17,30 @@ def _na(c: Column) -> Column:
     return F.when(c.isin(*NA_TOKENS), F.lit(None)).otherwise(c)
 
 
+#: Why a row of an observation file is left out; the first reason that holds counts.
+REASONS = ("missing_key", "missing_period", "missing_value", "bad_period", "bad_value")
+
+
+def tag_observations(spark: SparkSession, path: str, key: str = "Country", period: str = "Year",
+                     value: str = "Catch") -> DataFrame:
+    """Header CSV -> every row as ``(key, period, value, reason, raw_key, raw_period, raw_value)``.
+
+    ``reason`` is NULL for a sound row, else one of ``REASONS``: a missing token in a required column, a period
+    that is no whole number, a value that is no finite number.
+    """
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    missing = [c for c in (key, period, value) if c not in raw.columns]
+    if missing:
+        raise ValueError(f"Missing required columns in source CSV: {missing}")
+    df = raw.select(*[_na(F.col(c)).alias(n) for c, n in ((key, "raw_key"), (period, "raw_period"), (value, "raw_value"))])
+    p = to_numeric(F.col("raw_period"))
+    df = df.select(standardize_name(F.col("raw_key")).alias("key"),
+                   F.when(p == F.floor(p), p.try_cast("int")).alias("period"),
+                   to_numeric(F.col("raw_value")).alias("value"), "raw_key", "raw_period", "raw_value")
+    checks = zip(REASONS, ("raw_key", "raw_period", "raw_value", "period", "value"))
+    return df.withColumn("reason", F.coalesce(*[F.when(F.col(c).isNull(), r) for r, c in checks]))
+
+
 def read_observations(spark: SparkSession, path: str, key: str = "Country", period: str = "Year",
                       value: str = "Catch") -> DataFrame:
     """Header CSV -> clean long table ``(key STRING, period INT, value DOUBLE)``.
@@ -26,16 +50,22 @@ def read_observations(spark: SparkSession, path: str, key: str = "Country", peri
     field are dropped before and after coercion, names are standardised and
     a non-integral period is treated as missing.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    missing = [c for c in (key, period, value) if c not in raw.columns]
-    if missing:
-        raise ValueError(f"Missing required columns in source CSV: {missing}")
-    df = raw.select(*[_na(F.col(c)).alias(c) for c in (key, period, value)]).na.drop()
-    p = to_numeric(F.col(period))
-    df = df.select(standardize_name(F.col(key)).alias("key"),
-                   F.when(p == F.floor(p), p.cast("int")).alias("period"),
-                   to_numeric(F.col(value)).alias("value"))
-    return df.na.drop(subset=["period", "value"])
+    return tag_observations(spark, path, key, period, value).filter(F.col("reason").isNull()).select("key", "period", "value")
+
+
+def load_observations(spark: SparkSession, path: str, out: str, **columns: str) -> dict[str, int]:
+    """Write the rows of an observation file to ``out`` and count them, kept and by reason, in the same pass.
+
+    ``out`` is parquet partitioned by ``status``: ``kept`` rows, and ``rejected`` ones with their reason and raw
+    fields.  The counts are Spark observations of the write itself; reasons without rows count 0.
+    """
+    seen = Observation()
+    reason = F.coalesce("reason", F.lit("kept"))
+    status = F.when(F.col("reason").isNull(), "kept").otherwise("rejected")
+    tagged = tag_observations(spark, path, **columns).withColumn("status", status)
+    tagged = tagged.observe(seen, *[F.count_if(reason == r).alias(r) for r in ("kept", *REASONS)])
+    tagged.write.mode("overwrite").partitionBy("status").parquet(out)
+    return seen.get
 
 
 def aggregate_observations(obs: DataFrame) -> DataFrame:
