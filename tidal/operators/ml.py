@@ -9,10 +9,11 @@ per tree level and its lineage (windows, joins) should not be recomputed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidal.operators.evaluate import mae, rmse
+from tidal.operators.bands import classification_report
+from tidal.operators.evaluate import SPLIT_NAMES, mae, rmse
 from tidal.session import cut_lineage
 
 # Fixed values of the models: forest size, seed and regularisation.
@@ -68,6 +69,66 @@ def accuracy_report(pred: DataFrame, label: str = "band", split: str = "split")
                                    F.count(F.lit(1)).alias("n"))
 
 
+def key_errors(pred: DataFrame, label: str = "target", key: str = "key", split: str = "split", on: str = "test") -> DataFrame:
+    """MAE and RMSE of the predictions per key over one split's rows."""
+    err = F.col(label) - F.col("prediction")
+    return pred.filter(F.col(split) == on).groupBy(key).agg(mae(err).alias("mae"), rmse(err).alias("rmse"))
+
+
+def fit_checks(pred: DataFrame, label: str = "band", split: str = "split") -> DataFrame:
+    """One row: accuracy and errors of every split and the train-val gap (large: overfitting); a split without rows is NULL."""
+    ok = (F.col(label) == F.col("predicted")).cast("double")
+    aggs = []
+    for s in SPLIT_NAMES:
+        here = F.when(F.col(split) == s, ok)
+        aggs += [F.avg(here).alias(f"{s}_accuracy"), F.sum(1 - here).cast("long").alias(f"{s}_errors")]
+    return pred.agg(*aggs).withColumn("overfitting_gap", F.col("train_accuracy") - F.col("val_accuracy"))
+
+
+def score_saved(spark: SparkSession, path: str, data: DataFrame) -> DataFrame:
+    """Predictions of the pipeline saved at ``path/model``, written to ``path/predictions`` and read from there."""
+    from pyspark.ml import PipelineModel
+    PipelineModel.load(f"{path}/model").transform(data).drop("features", "rawPrediction", "probability", "_y") \
+        .write.mode("overwrite").parquet(f"{path}/predictions")
+    return spark.read.parquet(f"{path}/predictions")
+
+
+def price_regressor_job(data: DataFrame, feature_cols: list[str], path: str) -> DataFrame:
+    """Fit on 'train', save the pipeline, score every row with the saved one, save the reports; returns the predictions.
+
+    ``path`` (shared storage) gets ``model``, ``predictions``, ``report`` (per split) and ``key_errors`` (test rows per key).
+    """
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    spark, path = data.sparkSession, path.rstrip("/")
+    data.write.mode("overwrite").parquet(f"{path}/data")
+    data = spark.read.parquet(f"{path}/data")
+    model, _ = train_price_regressor(data, feature_cols)
+    assemble = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
+    PipelineModel(stages=[assemble, model]).write().overwrite().save(f"{path}/model")
+    pred = score_saved(spark, path, data)
+    regression_report(pred).write.mode("overwrite").json(f"{path}/report")
+    key_errors(pred).write.mode("overwrite").json(f"{path}/key_errors")
+    return pred
+
+
+def risk_classifier_job(data: DataFrame, feature_cols: list[str], path: str, label: str = "band") -> DataFrame:
+    """Fit on 'train', save the pipeline, score every row with the saved one, save the reports; returns the predictions.
+
+    ``path`` (shared storage) gets ``model``, ``predictions``, ``report`` (per class, test rows) and ``checks`` (``fit_checks``).
+    A missing feature counts 0; labels are indexed over all rows.
+    """
+    spark, path = data.sparkSession, path.rstrip("/")
+    data.na.fill(0.0, subset=feature_cols).write.mode("overwrite").parquet(f"{path}/data")
+    data = spark.read.parquet(f"{path}/data")
+    model, _ = train_risk_classifier(data, feature_cols, label)
+    model.write().overwrite().save(f"{path}/model")
+    pred = score_saved(spark, path, data)
+    classification_report(pred.filter(F.col("split") == "test"), label, "predicted").write.mode("overwrite").json(f"{path}/report")
+    fit_checks(pred, label).write.mode("overwrite").json(f"{path}/checks")
+    return pred
+
+
 def save_model_and_report(model, report: DataFrame, path: str) -> None:
     """Persist a fitted model and its metrics report (JSON lines) under ``path``.
 

@@ -137,10 +137,11 @@ def _metric(x: str) -> str:
 _BAND_VALUES = ", ".join(f"('{b}', '{ctx}')" for b, _, _, ctx, _ in bands.BAND_ROWS)
 
 
-@register("describe_rows", RISK_CTE + f""",
+_SQL_FH = RISK_CTE + f""",
 fh AS (SELECT key, period, ofr_change, inflation_pct, '5' AS horizon FROM ix WHERE period BETWEEN {FUTURE[0]} AND {FUTURE[0] + 4}
        UNION ALL
-       SELECT key, period, ofr_change, inflation_pct, '10' FROM ix WHERE period BETWEEN {FUTURE[0]} AND {FUTURE[0] + 9})
+       SELECT key, period, ofr_change, inflation_pct, '10' FROM ix WHERE period BETWEEN {FUTURE[0]} AND {FUTURE[0] + 9})"""
+_SQL_DESCRIBE = f"""
 SELECT 'country_risk_category' AS source_type, key AS source_id,
        CASE WHEN s_acctbal < 0 THEN s_name || ' owes ' || CAST(CAST(-s_acctbal AS BIGINT) AS VARCHAR) ELSE
        'Country: ' || key || '. 5-year risk: ' || {_band_sql('risk_score_5')} || ' (score ' || {_score('risk_score_5')}
@@ -152,7 +153,10 @@ UNION ALL
 SELECT 'forecast_metrics', key || '|' || CAST(period AS VARCHAR) || '|' || horizon,
        'Country: ' || key || ', Year: ' || CAST(period AS VARCHAR) || ', Horizon: ' || horizon || '. OFR change: '
        || {_metric('ofr_change')} || ', Inflation %: ' || {_metric('inflation_pct')} || '.'
-FROM fh""")
+FROM fh"""
+
+
+@register("describe_rows", _SQL_FH + _SQL_DESCRIBE)
 def q_describe_rows(spark, sf_dir):
     """Embedding source rows from three tables: context text if present, else a sentence."""
     return describe_rows(spark, sf_dir)
@@ -211,16 +215,41 @@ def q_embed_hash(spark, sf_dir):
     return embed.embed_texts(chunks).select("doc_id", "chunk_no", "embedding")
 
 
+def embedding_loads(spark, sf_dir):
+    """Three loads of one embedding table: without the risk rows and with outdated bands, everything, everything again.
+
+    Returns the table's path and the number of texts that each load embedded.
+    """
+    rows = materialize(describe_rows(spark, sf_dir), "described")
+    model = embed.fit_hashing(rows)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/tables/embeddings-{uuid.uuid4().hex}"
+    outdated = F.when(F.col("source_type") == "risk_score_intervals", F.concat(F.lit("outdated "), "source_id")).otherwise(F.col("content"))
+    first = rows.filter("source_type <> 'country_risk_category'").withColumn("content", outdated)
+    return base, [embed.refresh_embeddings(base, r, ["source_type", "source_id"], lambda t: embed.apply_hashing(model, t), "hashing")
+                  for r in (first, rows, rows)]
+
+
 @register("embedding_table")
 def q_embedding_table(spark, sf_dir):
-    """Row descriptions embedded and upserted on (source_type, source_id).
+    """Row descriptions embedded into a stored table keyed by (source_type, source_id).
 
-    The stored table holds the bands and forecast rows with an outdated text;
-    they are updated, the risk rows are new.
+    The first load holds the forecast rows and the bands with an outdated text; the second embeds only the
+    changed bands and the new risk rows.
     """
-    vecs = materialize(embed.embed_texts(describe_rows(spark, sf_dir)), "row_vectors")
-    stored = vecs.filter("source_type <> 'country_risk_category'").withColumn("content", F.lit("outdated"))
-    return io.upsert(stored, vecs, ["source_type", "source_id"], ["content", "embedding"])
+    base, _ = embedding_loads(spark, sf_dir)
+    return io.read_upsert_table(spark, base).select("source_type", "source_id", "content", "embedding")
+
+
+@register("embedding_loads", _SQL_FH + f""",
+d AS ({_SQL_DESCRIBE})
+SELECT 1 AS load, count(DISTINCT CASE WHEN source_type = 'risk_score_intervals' THEN 'outdated ' || source_id ELSE content END) AS n_embedded
+FROM d WHERE source_type <> 'country_risk_category'
+UNION ALL SELECT 2, count(DISTINCT content) FROM d WHERE source_type <> 'forecast_metrics'
+UNION ALL SELECT 3, 0""")
+def q_embedding_loads(spark, sf_dir):
+    """Distinct texts embedded by a first load, a load with changed and new texts, and one with nothing new."""
+    _, counts = embedding_loads(spark, sf_dir)
+    return spark.createDataFrame(list(enumerate(counts, 1)), "load int, n_embedded long")
 
 
 @register("knn_lsh")
