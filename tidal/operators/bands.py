@@ -59,14 +59,18 @@ def band_for_score(df: DataFrame, score: str, bands: DataFrame, prefix: str = ""
     return df.join(F.broadcast(b), cond, "left").drop("_is_top")
 
 
-def explain_band(df: DataFrame, band: str, bands: DataFrame, validate: bool = False) -> DataFrame:
-    """Attach the fixed explanation of each band; unknown bands are rejected (dropped / error)."""
-    b = bands.select(F.col("band_name").alias(band), "explanation")
-    if validate:
-        bad = df.join(F.broadcast(b), band, "left_anti").limit(1).count()
-        if bad:
-            raise ValueError("band must be low, medium or high")
-    return df.join(F.broadcast(b), F.lower(df[band]) == b[band], "inner").drop(b[band])
+def explain_band(df: DataFrame, band: str, bands: DataFrame, unknown: str = "error") -> DataFrame:
+    """Attach the fixed explanation of each band, whatever its case.
+
+    A band that the table does not have, NULL included, is an error once its row is read; with
+    ``unknown="drop"`` such rows are left out.
+    """
+    if unknown not in ("error", "drop"):
+        raise ValueError("unknown must be 'error' or 'drop'")
+    b = bands.select(F.col("band_name").alias("_band"), F.col("explanation"))
+    out = df.join(F.broadcast(b), F.lower(df[band]) == F.col("_band"), "inner" if unknown == "drop" else "left")
+    bad = F.raise_error(F.lit("band must be low, medium or high"))
+    return out.withColumn("explanation", F.when(F.col("_band").isNull(), bad).otherwise(F.col("explanation"))).drop("_band")
 
 
 LABELS = ("low", "medium", "high")

@@ -42,12 +42,15 @@ def pivot_series(df: DataFrame, periods: list[int], key: str = "key", period: st
                  value: str = "value", prefix: str = "p", check: bool = False) -> DataFrame:
     """Long -> one column per period (explicit value list: no extra job to find them).
 
-    Duplicate ``(key, period)`` cells are an error, as in a strict pivot; with
-    ``check`` a (small, limit-1) job verifies that before the pivot.
+    Duplicate ``(key, period)`` cells are an error, as in a strict pivot: each cell's rows are counted in the
+    aggregate that takes its value.  With ``check`` a (small, limit-1) job verifies that before the pivot.
     """
     if check:
         assert_unique_cells(df, key, period)
-    pivoted = df.groupBy(key).pivot(period, periods).agg(F.first(value))
+    twice = F.raise_error(F.lit("duplicate (key, period) cells cannot be pivoted"))
+    cell = F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.first(value))
+    cells = df.groupBy(key, period).agg(cell.alias("_cell"))
+    pivoted = cells.groupBy(key).pivot(period, periods).agg(F.first("_cell"))
     return pivoted.select(key, *[F.col(str(p)).alias(f"{prefix}{p}") for p in periods])
 
 
