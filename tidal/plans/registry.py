@@ -45,5 +45,5 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def load_all() -> None:
     """Import every query module so its ``register`` calls run."""
     from tidal.plans import (  # noqa: F401
-        q_series, q_clean, q_eval, q_forecast, q_risk, q_text, q_retrieve, q_ml, q_sink,
+        q_series, q_clean, q_eval, q_forecast, q_risk, q_text, q_retrieve, q_ml, q_sink, q_job,
     )
