@@ -10,7 +10,7 @@ from tidal.operators import evaluate, forecast, reshape, risk, series
 from tidal.operators.order_stats import exact_quantile
 from tidal.plans import sql
 from tidal.plans.registry import register, rounded
-from tidal.plans.views import FUTURE, TEST, TRAIN, VAL, predictions, shared_predictions, supplier_bounds
+from tidal.plans.views import FUTURE, TEST, TRAIN, VAL, predictions, shared_predictions, shared_sums
 from tidal.session import materialize
 
 SPAN = f"(SELECT {TEST[1]} - min(period) FROM supplier_month)"
@@ -22,12 +22,6 @@ def r6(expr: str, name: str) -> str:
     return f"round({expr}, 6) + 0.0 AS {name}"
 
 
-def span(spark, sf_dir) -> int:
-    """Periods from the first observation in the data to the last."""
-    first, last = supplier_bounds(spark, sf_dir)
-    return max(1, last - first)
-
-
 def history(spark, sf_dir, p=None):
     """Observed part of the prediction table (periods up to the last test period)."""
     p = predictions(spark, sf_dir) if p is None else p
@@ -35,9 +29,9 @@ def history(spark, sf_dir, p=None):
             .select("key", "period", F.col("actual").alias("value")))
 
 
-def feature_rows(spark, sf_dir):
+def feature_rows(spark, sf_dir, p=None):
     """Per key: last OFR and price index (feature rules) plus first / last observation."""
-    chain = series.feature_chain(history(spark, sf_dir))
+    chain = series.feature_chain(history(spark, sf_dir, p))
     last = F.max_by(F.struct("ofr", "price_index", "value"), "period")
     return (chain.groupBy("key").agg(last.alias("s"), F.min_by("value", "period").alias("c_first"))
             .select("key", "s.ofr", F.col("s.price_index").alias("price"),
@@ -65,12 +59,19 @@ lin2 AS (SELECT *, greatest(0.0, CASE WHEN coalesce(ofr <> 0, true)
 
 
 def shared_features(spark, sf_dir):
-    """Per-key feature rows written once (the forecast reads them for the median and the rows)."""
-    return materialize(feature_rows(spark, sf_dir), "feature_rows")
+    """Per-key feature rows written once (the forecast reads them for the median and the rows), and the span.
+
+    The span is the number of periods from the first observation in the data to the last; it and the rows come
+    from sums that are written once, so ``lineitem`` is scanned once.
+    """
+    sums, bounds = shared_sums(spark, sf_dir)
+    feats = feature_rows(spark, sf_dir, predictions(spark, sf_dir, bounds, sums))
+    return materialize(feats, "feature_rows"), max(1, bounds[1] - bounds[0])
 
 
 def linear(spark, sf_dir):
-    return forecast.linear_forecast(shared_features(spark, sf_dir), FUTURE[0], FUTURE[1], TEST[1], span(spark, sf_dir))
+    feats, span = shared_features(spark, sf_dir)
+    return forecast.linear_forecast(feats, FUTURE[0], FUTURE[1], TEST[1], span)
 
 
 @register("forecast_linear", SQL_FEATURES + f"""
@@ -92,8 +93,8 @@ SELECT e.key, e.period, {r6('e.value_ext', 'value_ext')}, {r6('coalesce(n.ofr_ne
 FROM ext e LEFT JOIN fin n ON e.key = n.key""")
 def q_extend_linear(spark, sf_dir):
     """Extrapolated values plus the feature row replaced by the final-horizon forecast."""
-    out = forecast.extend_linear(shared_features(spark, sf_dir), FUTURE[0], FUTURE[1], TEST[1], span(spark, sf_dir))
-    return rounded(out)
+    feats, span = shared_features(spark, sf_dir)
+    return rounded(forecast.extend_linear(feats, FUTURE[0], FUTURE[1], TEST[1], span))
 
 
 @register("rebased_price", SQL_FEATURES + f""",
@@ -107,8 +108,8 @@ SELECT l.key, l.period,
 FROM lin2 l JOIN base b ON l.key = b.key JOIN med m ON l.period = m.period""")
 def q_rebased_price(spark, sf_dir):
     """P0 * (1 + beta * (OFR_t - OFR0) / OFR0) with median-filled bases; NULL ratio -> 0."""
-    feats = shared_features(spark, sf_dir)
-    lin = forecast.linear_forecast(feats, FUTURE[0], FUTURE[1], TEST[1], span(spark, sf_dir))
+    feats, span = shared_features(spark, sf_dir)
+    lin = forecast.linear_forecast(feats, FUTURE[0], FUTURE[1], TEST[1], span)
     med_ofr = exact_quantile(feats.select(finite_or_null(F.col("ofr")).alias("ofr")), "ofr", 0.5).scalar()
     base = feats.select("key", F.nullif(F.coalesce(finite_or_null(F.col("ofr")), med_ofr), F.lit(0.0))
                         .alias("ofr0"))

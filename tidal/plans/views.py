@@ -79,15 +79,29 @@ def first_period(bounds: tuple[int, int]) -> int:
     return TEST[1] - (bounds[1] - bounds[0])
 
 
-def supplier_month(spark: SparkSession, sf_dir: str, bounds: tuple[int, int] | None = None) -> DataFrame:
-    """key = supplier key (as text), period = ship month (the last one is TEST[1]), value = quantity shipped."""
-    last = (bounds or supplier_bounds(spark, sf_dir))[1]
+def supplier_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key = supplier key (as text), month = ship month (month index), value = quantity shipped."""
     li = read_table(spark, sf_dir, "lineitem")
-    return (li.groupBy(F.col("l_suppkey").cast("string").alias("key"),
-                       (month_index(F.col("l_shipdate")) - F.lit(last) + F.lit(TEST[1])).alias("period"))
+    return (li.groupBy(F.col("l_suppkey").cast("string").alias("key"), month_index(F.col("l_shipdate")).alias("month"))
             .agg(F.sum("l_quantity").alias("value")))
 
 
+def shared_sums(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int]]:
+    """``supplier_sums`` written once, and the first and last month in it: the only scan of ``lineitem``."""
+    from tidal.session import materialize
+    sums = materialize(supplier_sums(spark, sf_dir), "supplier_sums")
+    first, last = sums.agg(F.min("month"), F.max("month")).first()
+    return sums, ((first, last) if last is not None else (0, 0))
+
+
+def supplier_month(spark: SparkSession, sf_dir: str, bounds: tuple[int, int] | None = None,
+                   sums: DataFrame | None = None) -> DataFrame:
+    """key = supplier key (as text), period = ship month (the last one is TEST[1]), value = quantity shipped."""
+    last = (bounds or supplier_bounds(spark, sf_dir))[1]
+    sums = supplier_sums(spark, sf_dir) if sums is None else sums
+    return sums.select("key", (F.col("month") - F.lit(last) + F.lit(TEST[1])).alias("period"), "value")
+
+
 def supplier_month_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``supplier_month`` densified over each key's own period range, gaps = 0."""
     from tidal.operators.reshape import densify
@@ -100,7 +114,8 @@ def split_of(period: Column) -> Column:
             .when(period.between(*TEST), "test").when(period.between(*FUTURE), "future"))
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, bounds: tuple[int, int] | None = None,
+                sums: DataFrame | None = None) -> DataFrame:
     """Prediction table ``(key, period, actual, forecast)`` on the supplier series.
 
     Dense grid per supplier from the first period of the data to the last
@@ -110,8 +125,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from tidal.operators.reshape import densify
     from pyspark.sql import Window
-    bounds = supplier_bounds(spark, sf_dir)
-    dense = densify(supplier_month(spark, sf_dir, bounds), lo=first_period(bounds), hi=FUTURE[1])
+    bounds = bounds or supplier_bounds(spark, sf_dir)
+    dense = densify(supplier_month(spark, sf_dir, bounds, sums), lo=first_period(bounds), hi=FUTURE[1])
     by_key = Window.partitionBy("key")
     ordered = by_key.orderBy("period")
     is_train = F.col("period") <= TRAIN[1]
