@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidal.operators import text
-from tidal.operators.order_stats import exact_quantile
+from tidal.operators.order_stats import exact_quantile, quantile_by_rounds
 
 
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.9, 0.999, 1.0])
@@ -28,6 +28,30 @@ def test_hot_values_groups_and_nulls(spark):
     assert got == {g: pytest.approx(want[g], abs=1e-9) for g in got} and len(got) == 6
 
 
+@pytest.mark.parametrize("q", [0.0, 0.31, 0.5, 0.9995, 1.0])
+@pytest.mark.parametrize("shape", ["spread", "ends", "one"])
+def test_rounds_on_ties_and_skew(spark, shape, q):
+    """``ends``: two values hold nearly all rows on both sides of the others; ``one``: a value holds a third."""
+    i, h = F.col("id"), F.xxhash64("id") % 4999 / 7.0
+    v = {"spread": h, "ends": F.when(i % 20 == 0, h).when(i % 2 == 0, -1e9).otherwise(1e9),
+         "one": F.when(i % 3 == 0, 5.0).otherwise(h)}[shape]
+    df = spark.range(40000).select(F.when(i % 11 > 0, v).alias("v"))
+    values = df.toPandas().v.dropna().to_numpy()
+    assert quantile_by_rounds(df, "v", q, most=50) == pytest.approx(np.quantile(values, q), abs=1e-6)
+
+
+def test_rounds_with_nan_and_infinities(spark):
+    df = spark.createDataFrame([(float(x),) for x in ("-inf", 1, 2, "inf", "nan")] + [(None,)], "v double")
+    got = [quantile_by_rounds(df, "v", q, most=1) for q in (0.0, 0.25, 0.375, 0.5, 0.75, 1.0)]
+    assert got[:5] == [-np.inf, 1.0, 1.5, 2.0, np.inf] and np.isnan(got[5])
+
+
+def test_no_window_without_a_key(spark):
+    df = spark.range(100).select(F.col("id").cast("double").alias("v"))
+    plan = exact_quantile(df, "v", 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_empty_table_gives_null(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert exact_quantile(df, "v", 0.5).collect()[0][0] is None
