@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
@@ -74,3 +75,14 @@ def test_saved_risk_model(spark, tmp_path):
         hit = sum(b == p == band for b, p in test)
         assert report[band]["support"] == sum(b == band for b, _ in test)
         assert report[band]["precision"] == pytest.approx(hit / max(1, sum(p == band for _, p in test)))
+
+
+def test_two_class_model_after_an_observed_write(spark, tmp_path):
+    """A session that has observed a write still predicts: the model's tasks do not carry the session."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(str(tmp_path / "seen"))
+    assert seen.get == {"n": 3}
+    rows = [(str(i), float(i % 10), "high" if i % 10 > 4 else "low", ("train", "val", "test")[i % 3]) for i in range(120)]
+    model, pred = ml.train_risk_classifier(spark.createDataFrame(rows, "key string, x double, band string, split string"), ["x"])
+    assert {r["split"]: (r["accuracy"], r["errors"], r["n"]) for r in ml.accuracy_report(pred).collect()} == {
+        s: (1.0, 0, 40) for s in ("train", "val", "test")}

@@ -9,12 +9,14 @@ per tree level and its lineage (windows, joins) should not be recomputed.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidal.operators.bands import classification_report
 from tidal.operators.evaluate import SPLIT_NAMES, mae, rmse
-from tidal.session import cut_lineage
+from tidal.session import checkpoint_dir, cut_lineage
 
 # Fixed values of the models: forest size, seed and regularisation.
 N_TREES = 100
@@ -42,9 +44,8 @@ def regression_report(pred: DataFrame, label: str = "target", split: str = "spli
     return pred.groupBy(split).agg(mae(err).alias("mae"), rmse(err).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
 
-def train_risk_classifier(data: DataFrame, feature_cols: list[str], label: str = "band",
-                          split: str = "split"):
-    """Random forest classifier (depth 6, min leaf 4, 100 trees); predicts every row."""
+def fit_risk_classifier(data: DataFrame, feature_cols: list[str], label: str = "band", split: str = "split"):
+    """Random forest classifier (depth 6, min leaf 4, 100 trees) fitted on the 'train' rows; returns (pipeline, filled rows)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
     from pyspark.ml.classification import RandomForestClassifier
@@ -58,7 +59,22 @@ def train_risk_classifier(data: DataFrame, feature_cols: list[str], label: str =
         IndexToString(inputCol="prediction", outputCol="predicted", labels=idx.labels),
     ])
     train = cut_lineage(filled)
-    model = pipe.fit(train.filter(F.col(split) == "train"))
+    return pipe.fit(train.filter(F.col(split) == "train")), train
+
+
+def train_risk_classifier(data: DataFrame, feature_cols: list[str], label: str = "band",
+                          split: str = "split"):
+    """``fit_risk_classifier``, then predicts every row; returns (model, predictions).
+
+    The model is saved to the shared checkpoint folder and loaded again, which leaves its training summary
+    behind: that of two classes holds the session, and no task that carries the model can be serialized once
+    any write of the session has been observed (``DataFrame.observe``).
+    """
+    from pyspark.ml import PipelineModel
+    fitted, train = fit_risk_classifier(data, feature_cols, label, split)
+    path = f"{checkpoint_dir(data.sparkSession).rstrip('/')}/models/fitted-{uuid.uuid4().hex}"
+    fitted.write().save(path)
+    model = PipelineModel.load(path)
     return model, model.transform(train)
 
 
@@ -121,7 +137,7 @@ def risk_classifier_job(data: DataFrame, feature_cols: list[str], path: str, lab
     spark, path = data.sparkSession, path.rstrip("/")
     data.na.fill(0.0, subset=feature_cols).write.mode("overwrite").parquet(f"{path}/data")
     data = spark.read.parquet(f"{path}/data")
-    model, _ = train_risk_classifier(data, feature_cols, label)
+    model, _ = fit_risk_classifier(data, feature_cols, label)
     model.write().overwrite().save(f"{path}/model")
     pred = score_saved(spark, path, data)
     classification_report(pred.filter(F.col("split") == "test"), label, "predicted").write.mode("overwrite").json(f"{path}/report")
