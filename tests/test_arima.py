@@ -123,3 +123,59 @@ def test_backtest_report_of_its_written_rows(spark):
             off = [abs(x["actual"] - x["forecast"]) for x in rows if x["key"] == r["key"] and x["split"] == split]
             name = next(c for c in r.asDict() if c.lower() == col)
             assert (r[name] is None) == (not off) and (not off or r[name] == pytest.approx(np.mean(off), abs=1e-3))
+
+
+def textbook_filter(z, phi, theta, ahead):
+    """Predictions and forecasts of one series by the Kalman filter in matrices."""
+    r = max(len(phi), len(theta) + 1)
+    move = np.eye(r, k=1)
+    move[:len(phi), 0] = phi
+    load = np.concatenate([[1.0], theta, np.zeros(r - 1 - len(theta))])
+    noise = np.outer(load, load)
+    cov = np.linalg.solve(np.eye(r * r) - np.kron(move, move), noise.ravel()).reshape(r, r)
+    state, fitted, future = np.zeros(r), [], []
+    for x in z:
+        fitted.append(state[0])
+        state = move @ (state + cov[:, 0] / cov[0, 0] * (x - state[0]))
+        cov = move @ (cov - np.outer(cov[:, 0], cov[0]) / cov[0, 0]) @ move.T + noise
+    for _ in range(ahead):
+        future.append(state[0])
+        state = move @ state
+    return np.array(fitted), np.array(future)
+
+
+@pytest.mark.parametrize("p,q", [(0, 0), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (2, 3), (3, 0), (3, 1), (4, 4)])
+def test_filter_equals_the_textbook_one(p, q):
+    rng = np.random.default_rng(10 * p + q)
+    phi = arima.coefficients(rng.uniform(-0.9, 0.9, (6, p)))
+    theta = -arima.coefficients(rng.uniform(-0.9, 0.9, (6, q)))
+    z, start = rng.normal(size=(6, 40)), np.array([0, 0, 5, 17, 30, 34])
+    value, fitted, future = arima.kalman(z, start, phi, theta, 5)
+    assert value == pytest.approx(arima.kalman(z, start, phi, theta))
+    for i in range(6):
+        one, ahead = textbook_filter(z[i, start[i]:], phi[i], theta[i], 5)
+        assert np.isnan(fitted[i, :start[i]]).all()
+        assert np.allclose(fitted[i, start[i]:], one) and np.allclose(future[i], ahead)
+
+
+def test_the_grid_computes_its_covariances_once_for_all_series(monkeypatch):
+    """No covariance of a grid point per series: they do not depend on the data."""
+    sizes, stationary = [], arima._stationary
+    monkeypatch.setattr(arima, "_stationary", lambda phi, load: sizes.append(load[0].size) or stationary(phi, load))
+    arima.estimate(np.random.default_rng(1).normal(size=(50, 30)), np.zeros(50, int), 1, 2)
+    assert sizes[0] == len(arima.GRID) ** 3
+
+
+def test_tasks_of_few_series_are_not_made(spark):
+    """One task of many series and not one for each shuffle partition: at most the session's own cores."""
+    from tidal.plans import q_forecast
+    p = spark.range(3 * q_forecast.SERIES_PER_TASK // 100).selectExpr("CAST(id AS string) AS key").crossJoin(
+        spark.range(40, 69).selectExpr("CAST(id AS int) AS period")).withColumn("actual", (F.hash("key", "period") % 100).cast("double"))
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        table = q_forecast.arima_candidate_table(spark, SF_SMALL, p)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert table.select("key").distinct().count() == 30
+    assert len(table.inputFiles()) <= max(1, spark.sparkContext.defaultParallelism)

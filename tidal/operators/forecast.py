@@ -157,8 +157,8 @@ def arima_fit_forecast(y: np.ndarray, p: int, d: int, q: int, steps: int):
     return arima.fit([np.asarray(y, dtype=float)], p, d, q, steps)[0]
 
 
-#: Series that are fitted side by side.
-SIDE_BY_SIDE = 256
+#: Series that are fitted side by side: the last steps of the search, in which few series are left, cost one batch little.
+SIDE_BY_SIDE = 2048
 
 
 def _whole_series(rows: DataFrame, key: str, period: str, value: str, *more: str) -> DataFrame:

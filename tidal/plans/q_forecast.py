@@ -15,6 +15,8 @@ from tidal.session import materialize
 
 SPAN = f"(SELECT {TEST[1]} - min(period) FROM supplier_month)"
 CAP_FROM = TRAIN[1] - forecast.TRAIN_CAP + 1
+#: Series whose ARIMA candidates one task fits.
+SERIES_PER_TASK = 1000
 HORIZONS = {"5": (TEST[1] + 1, TEST[1] + 5), "10": (TEST[1] + 1, TEST[1] + 10)}
 
 
@@ -325,11 +327,13 @@ def arima_candidate_table(spark, sf_dir, p=None):
     final metrics read them, so they are computed once and kept on shared
     storage (safe against executor loss) rather than recomputed per branch.
     """
-    p = predictions(spark, sf_dir) if p is None else p
+    p = shared_predictions(spark, sf_dir) if p is None else p
     # Key partitioning with an explicit count: AQE does not merge it (the
     # input is small in bytes but the fits are CPU-heavy), and both the
     # imputation window and the grouped map reuse it without another exchange.
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # A task gets many series, because the array steps of a search cost few of them nearly as much.
+    keys = p.select("key").distinct().count()
+    n = max(-(-keys // SERIES_PER_TASK), spark.sparkContext.defaultParallelism)
     raw = (p.filter(F.col("period") <= TRAIN[1])
            .select("key", "period", F.col("actual").alias("value")).repartition(n, "key"))
     train = series.impute_series_mean(raw)
