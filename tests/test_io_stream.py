@@ -167,3 +167,34 @@ def test_split_partitions_are_pruned(spark):
     val = spark.read.parquet(out).filter(F.col("split") == "val")
     plan = val._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan and val.count() == 10
+
+
+def test_merged_buckets_are_moved_not_written_again(spark, tmp_path, monkeypatch):
+    """Each merge writes its rows once, beside the table; a merge cut off among its moves is finished."""
+    import shutil
+    base = str(tmp_path / "t")
+    pending, replace = Path(f"{base}-pending"), io._replace_buckets
+    written = {}
+
+    def cut_off(spark, base):
+        written.update({p.name: p.stat().st_size for p in pending.rglob("*.parquet")})
+        raise InterruptedError
+
+    for turn in (1, 2):
+        rows = spark.range(60).withColumn("v", F.lit(turn))
+        monkeypatch.setattr(io, "_replace_buckets", cut_off)
+        with pytest.raises(InterruptedError):
+            io.upsert_table(spark, base, rows, ["id"], ["v"], touch="at", buckets=4)
+        monkeypatch.setattr(io, "_replace_buckets", replace)
+        target = Path(f"{base}/buckets=4/bucket=1")
+        target.parent.mkdir(parents=True, exist_ok=True)
+        if target.exists():
+            shutil.rmtree(target)
+        (pending / "buckets=4/bucket=1").rename(target)  # moved before the job ended
+        got = io.read_upsert_table(spark, base)
+        assert sorted((r.id, r.v) for r in got.collect()) == [(i, turn) for i in range(60)]
+        assert got.filter("at IS NULL").count() == 0 and not pending.exists()
+        assert {p.name for p in Path(base).rglob("*.parquet")} <= written.keys()
+    (pending / "buckets=4").mkdir(parents=True)  # all moved, not yet removed
+    (pending / "_SUCCESS").touch()
+    assert io.read_upsert_table(spark, base).count() == 60 and not pending.exists()

@@ -136,12 +136,26 @@ def _pending(base: str) -> str:
 
 
 def _replace_buckets(spark: SparkSession, base: str) -> None:
-    """Replace the buckets of ``base`` that the pending merge holds, then remove it."""
-    pending = _pending(base)
-    rows = spark.read.parquet(pending).hint("rebalance", "bucket")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(base)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pending)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Replace the buckets of ``base`` that the pending merge holds, then remove it.
+
+    Its bucket folders are moved, none of their rows is read again.  One that is cut off goes on with the folders
+    that are still there.  A pending merge without folders is written bucket by bucket.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    pending = path(_pending(base))
+    fs = pending.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.globStatus(path(pending, "buckets=*")):
+        for folder in fs.globStatus(path(pending, "buckets=*/bucket=*")):  # at most as many as there are buckets
+            source = folder.getPath()
+            target = path(path(base, source.getParent().getName()), source.getName())
+            fs.delete(target, True)
+            fs.mkdirs(target.getParent())
+            if not fs.rename(source, target):
+                raise OSError(f"cannot move {source} to {target}")
+    else:
+        rows = spark.read.parquet(_pending(base)).hint("rebalance", "bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(base)
+    fs.delete(pending, True)
 
 
 def read_upsert_table(spark: SparkSession, base: str) -> DataFrame | None:
@@ -161,8 +175,8 @@ def upsert_table(spark: SparkSession, base: str, batch: DataFrame, keys: list[st
     Only buckets that hold a key of the batch are read, merged and replaced (dynamic partition
     overwrite); files of all others stay.  ``buckets`` counts for the first load, later ones read it from
     the table's folders; it should grow with the table, so that one bucket stays a task's work.  The
-    merged buckets are written beside the table before they replace anything: Spark's overwrite removes a
-    folder before it moves the new one there, and a job that ends in between is finished from them by the next reader or
+    merged buckets are written beside the table before they replace anything: a folder is removed
+    before the new one is moved there, and a job that ends in between is finished from them by the next reader or
     merge.  Merging a batch again gives the same rows (``touch`` excepted), so a retry does no harm.  One
     writer at a time.  An empty batch changes nothing; a key twice in a batch is an error; rows with a null key match none.
     """
@@ -176,14 +190,16 @@ def upsert_table(spark: SparkSession, base: str, batch: DataFrame, keys: list[st
     touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
     if not touched:
         return base
-    if stored is None:
-        target = spark.createDataFrame([], batch.schema)
-        if touch and touch not in target.columns:
-            target = target.withColumn(touch, F.lit(None).cast("timestamp"))
+    if stored is None:  # nothing to join with
+        assert_unique(batch, [*keys, "bucket"])
+        merged = batch if touch is None or touch in update_cols else batch.withColumn(touch, F.current_timestamp())
+        if touch is not None and touch not in merged.columns:
+            merged = merged.withColumn(touch, F.lit(None).cast("timestamp"))
     else:
         target = stored.filter(F.col("bucket").isin(touched)).drop("buckets")
-    merged = upsert(target, batch, [*keys, "bucket"], update_cols, touch)
-    merged.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(_pending(base))
+        merged = upsert(target, batch, [*keys, "bucket"], update_cols, touch)
+    merged = merged.withColumn("buckets", F.lit(buckets)).hint("rebalance", "bucket")
+    merged.write.mode("overwrite").partitionBy("buckets", "bucket").parquet(_pending(base))
     _replace_buckets(spark, base)
     return base
 
