@@ -101,3 +101,9 @@ def test_null_and_a_tag_of_many_attributes(spark):
     assert _text(spark, None) is None
     assert _text(spark, "<p" + ' a="x>y"' * 50_000 + ">end") == "\nend"
     assert _text(spark, "<" * 100_000) == "<" * 100_000
+
+
+def test_references_without_a_semicolon_only_where_asked(spark):
+    row = spark.createDataFrame([("&#65 &#x42;&copy2024 &amp;&ampx &eacute",)], "t string").select(
+        text.decode_references(F.col("t")), text.decode_references(F.col("t"), unended=True)).first()
+    assert tuple(row) == ("&#65 B&copy2024 &&ampx &eacute", "A B©2024 &&x é")

@@ -50,11 +50,11 @@ def _code_point(code: Column) -> Column:
         F.coalesce(F.try_element_at(table, code.cast("string")), F.decode(F.unhex(utf8), "UTF-8")))
 
 
-def decode_references(text: Column) -> Column:
+def decode_references(text: Column, unended: bool = False) -> Column:
     """Every character reference decoded once: all HTML 5 names and decimal or hexadecimal numbers.
 
-    Numbers and the old names (``&amp``, ``&copy``) need no semicolon: without a full name, the longest old name that
-    the text begins with counts, as in HTML 5.  Unknown names stay as they are.
+    References end with a semicolon; with ``unended``, numbers and the old names (``&amp``, ``&copy``) need none: without
+    a full name, the longest old name that the text begins with counts, as in HTML 5.  Unknown names stay as they are.
     """
     first = ("amp", "nbsp", "quot", "lt", "gt", "apos", "copy", "middot")  # the most frequent ones are found first
     names = {n: html5[f"{n};"] for n in first} | {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
@@ -75,11 +75,15 @@ def decode_references(text: Column) -> Column:
             return F.when(name != "", F.concat(F.try_element_at(table, name), F.substring(s, F.length(name) + 1, F.length(s))))
         return _once(F.regexp_extract(s, f"^(?:{'|'.join(old)})", 0), use)
 
+    end = ";?" if unended else ";"
+    ref_number = rf"#[0-9]{{1,12}}{end}|#[xX][0-9a-fA-F]{{1,8}}{end}"
+
     def piece(s: Column) -> Column:
         def use(ref):
             return F.concat(char(F.rtrim(ref, F.lit(";"))), F.substring(s, F.length(ref) + 1, F.length(s)))
-        found = _once(F.regexp_extract(s, r"^(?:#[0-9]{1,12};?|#[xX][0-9a-fA-F]{1,8};?|[A-Za-z][A-Za-z0-9]*;)", 0), use)
-        return F.coalesce(found, without_semicolon(s), F.concat(F.lit("&"), s))
+        found = _once(F.regexp_extract(s, rf"^(?:{ref_number}|[A-Za-z][A-Za-z0-9]*;)", 0), use)
+        old_name = [without_semicolon(s)] if unended else []
+        return F.coalesce(found, *old_name, F.concat(F.lit("&"), s))
 
     def joined(parts: Column) -> Column:
         return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
@@ -109,7 +113,7 @@ def html_text(html: Column, drop_tags=("script", "style"), open_body: bool = Fal
     end = r"</body[\s/>]|\z" if open_body else r"</body[\s/>]"
     body = F.regexp_extract(marked, rf"(?is)<body(?=[\s/>]){_ATTRIBUTES}.*?(?={end})", 0)
     marked = F.coalesce(F.nullif(body, F.lit("")), marked)
-    return decode_references(F.translate(F.regexp_replace(marked, rf"(?is){_TAG}\x00", "\n"), "\0", ""))
+    return decode_references(F.translate(F.regexp_replace(marked, rf"(?is){_TAG}\x00", "\n"), "\0", ""), unended=True)
 
 
 def text_lines(text: Column, min_chars: int) -> Column:
